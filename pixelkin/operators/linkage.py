@@ -200,11 +200,11 @@ def _round(edges: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(_live(folded), "linkage-edges"), materialize(placed, "linkage-placed")
 
 
-def complete_linkage(edges: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+def complete_linkage(edges: DataFrame, cfg: DedupConfig = DedupConfig(), ordered: bool = False) -> DataFrame:
     """Merge clusters -> (cid, final, seq) for every cluster that an initiating pair touches.
 
-    ``seq`` orders the clusters of a final group (in points); it is only meaningful for groups above
-    ``cfg.max_group_size`` files, the only place where member order matters.
+    ``seq`` orders the clusters of a final group (in points). Member order only matters for groups above
+    ``cfg.max_group_size`` files; for smaller ones it is left at 0 unless ``ordered``.
     """
     id_type = edges.schema["a"].dataType
     live = materialize(_live(edges), "linkage-live")
@@ -219,7 +219,11 @@ def complete_linkage(edges: DataFrame, cfg: DedupConfig = DedupConfig()) -> Data
     counts = counts.join(nodes.groupBy("component").agg(F.count("*").alias("nodes")), "component")
     n, m = F.col("nodes"), F.col("edges")
     # In a complete graph every cluster ends n - 1 edges, so its files are counted n - 1 times.
-    is_whole = (m * 2 == n * (n - 1)) & (F.col("ends") <= cfg.max_group_size * (n - 1))
+    is_whole = m * 2 == n * (n - 1)
+    if ordered:
+        is_whole = F.lit(False)
+    else:
+        is_whole &= F.col("ends") <= cfg.max_group_size * (n - 1)
     kinds = counts.select(
         "component",
         F.when(is_whole, "whole").when(m <= cfg.component_edge_limit, "bounded").otherwise("large").alias("kind"),
@@ -242,7 +246,7 @@ def complete_linkage(edges: DataFrame, cfg: DedupConfig = DedupConfig()) -> Data
         current, placed = _round(current, placed)
         if is_empty(current.where(F.col("k").isNotNull())):
             return materialize(result.unionByName(placed.withColumnRenamed("current", "final")), "linkage")
-    deeper = complete_linkage(current, cfg).select(F.col("cid").alias("current"), "final", F.col("seq").alias("shift"))
+    deeper = complete_linkage(current, cfg, ordered).select(F.col("cid").alias("current"), "final", F.col("seq").alias("shift"))
     placed = placed.join(deeper, "current", "left").select(
         "cid",
         F.coalesce("final", "current").alias("final"),

@@ -8,7 +8,7 @@ v AS (SELECT vec_id * 4 + k AS fid, vec_id AS owner,
   list_transform(embedding, lambda x, i: CASE WHEN ((i - 1) * 29 + vec_id * 11 + k * 17) % 64 < (vec_id % 5) * k
     THEN -0.25 * x ELSE x END::DOUBLE) w FROM embeddings, k),
 n AS (SELECT fid, owner, w, sqrt(list_sum(list_transform(w, lambda x: x * x))) nrm FROM v),
-m AS (SELECT CAST(fid AS VARCHAR) AS file_id, fid, owner,
+m AS MATERIALIZED (SELECT CAST(fid AS VARCHAR) AS file_id, fid, owner,
   concat('/library/', lpad(CAST(fid AS VARCHAR), 9, '0'), '.jpg') AS path,
   list_transform(w, lambda x: x / nrm) AS vector,
   md5(CASE WHEN owner % 5 = 0 THEN concat('o', owner) ELSE concat('f', fid) END) AS md5,
@@ -77,21 +77,21 @@ GREEDY = """
     ) q, cst
   )
 ),
-{name} AS (SELECT lab, merged FROM {name}s ORDER BY k DESC LIMIT 1)"""
+{name} AS MATERIALIZED (SELECT lab, merged FROM {name}s ORDER BY k DESC LIMIT 1)"""
 
 RANKED = M + """,
 r AS (SELECT row_number() OVER (ORDER BY phash, path) AS i, * FROM m),
-r5 AS (SELECT *, min(i) OVER (PARTITION BY md5) AS unit FROM r),
-cst AS (SELECT list(phash ORDER BY i) AS hs, list(vector ORDER BY i) AS vs, list(unit ORDER BY i) AS us FROM r5),
-ap AS (SELECT a.i AS i, b.i AS j, bit_count(xor(a.phash, b.phash)) AS d FROM r5 a JOIN r5 b ON a.i < b.i AND a.unit <> b.unit),
-p8 AS (SELECT row_number() OVER (ORDER BY d, i, j) AS k, i, j FROM ap WHERE d <= 8)"""
+r5 AS MATERIALIZED (SELECT *, min(i) OVER (PARTITION BY md5) AS unit FROM r),
+cst AS MATERIALIZED (SELECT list(phash ORDER BY i) AS hs, list(vector ORDER BY i) AS vs, list(unit ORDER BY i) AS us FROM r5),
+ap AS MATERIALIZED (SELECT a.i AS i, b.i AS j, bit_count(xor(a.phash, b.phash)) AS d FROM r5 a JOIN r5 b ON a.i < b.i AND a.unit <> b.unit),
+p8 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d, i, j) AS k, i, j FROM ap WHERE d <= 8)"""
 
 HASH_RUN = RANKED + "," + GREEDY.format(
     name="g8", start="us FROM cst", pairs="p8", similar="bit_count(xor(hs[x], hs[y])) <= 8"
 ).replace("SELECT 0::BIGINT AS k, us FROM cst AS lab, 0::BIGINT AS merged", "SELECT 0::BIGINT AS k, us AS lab, 0::BIGINT AS merged FROM cst")
 
 NAMED = """
-fin AS (SELECT r5.*, f.lab[r5.i] AS cl FROM r5, {name} f),
+fin AS MATERIALIZED (SELECT r5.*, f.lab[r5.i] AS cl FROM r5, {name} f),
 nm AS (SELECT cl, min(file_id) AS group_id, count(*) AS cnt FROM fin GROUP BY cl HAVING count(*) >= 2)"""
 
 # Evicted files leave their group before suspects are confirmed: each gets a cluster of its own.
@@ -100,7 +100,7 @@ f8 AS (SELECT r5.i, r5.vector, g8.lab[r5.i] AS cl FROM r5, g8),
 low AS (SELECT a.i, min(list_inner_product(a.vector, b.vector)) AS sim FROM f8 a JOIN f8 b ON a.cl = b.cl AND a.i <> b.i GROUP BY a.i),
 l2 AS (SELECT list(CASE WHEN low.sim < 0.93 THEN f8.i + 1000000000 ELSE f8.cl END ORDER BY f8.i) AS lab0 FROM f8 LEFT JOIN low ON low.i = f8.i),
 sp AS (SELECT ap.i, ap.j, list_inner_product(a.vector, b.vector) AS sim FROM ap JOIN r5 a ON a.i = ap.i JOIN r5 b ON b.i = ap.j WHERE d > 8 AND d <= 12),
-p12 AS (SELECT row_number() OVER (ORDER BY i, j) AS k, i, j FROM sp WHERE sim >= 0.93),""" + GREEDY.format(
+p12 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i, j) AS k, i, j FROM sp WHERE sim >= 0.93),""" + GREEDY.format(
     name="g12",
     start="lab0",
     pairs="p12",
@@ -109,7 +109,7 @@ p12 AS (SELECT row_number() OVER (ORDER BY i, j) AS k, i, j FROM sp WHERE sim >=
 
 VECTOR_RUN = RANKED + """,
 vp AS (SELECT ap.i, ap.j, round(list_inner_product(a.vector, b.vector), 9) AS sim FROM ap JOIN r5 a ON a.i = ap.i JOIN r5 b ON b.i = ap.j),
-pv AS (SELECT row_number() OVER (ORDER BY sim DESC, i, j) AS k, i, j FROM vp WHERE sim >= 0.93),""" + GREEDY.format(
+pv AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sim DESC, i, j) AS k, i, j FROM vp WHERE sim >= 0.93),""" + GREEDY.format(
     name="gv", start="us", pairs="pv", similar="list_inner_product(vs[x], vs[y]) >= 0.93"
 ).replace("us AS lab, 0::BIGINT AS merged", "us AS lab, 0::BIGINT AS merged FROM cst")
 
@@ -201,14 +201,14 @@ FROM (SELECT file_id, {DATE} AS dp FROM d), (SELECT unnest(['YYYY/MM/DD', 'YYYY/
     "hamming_two_band": _with(M + _HASH_PAIRS, "SELECT *, dist <= 8 AS sure FROM hp WHERE dist <= 12"),
     "cosine_pairs": _with(
         M,
-        """SELECT a.fid AS a, b.fid AS b, round(list_inner_product(a.vector, b.vector), 6) AS sim FROM m a JOIN m b ON a.fid < b.fid
+        """SELECT a.fid AS a, b.fid AS b, round(list_inner_product(a.vector, b.vector), 9) AS sim FROM m a JOIN m b ON a.fid < b.fid
 WHERE list_inner_product(a.vector, b.vector) >= 0.93""",
     ),
     "similarity_components": _with(
         M + _HASH_PAIRS
         + """, e AS (SELECT a, b FROM hp WHERE dist <= 8 UNION ALL SELECT b, a FROM hp WHERE dist <= 8),
-reach AS (SELECT DISTINCT a AS node, a AS at FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.at)""",
-        "SELECT node, min(at) AS component FROM reach GROUP BY node",
+reach AS (SELECT DISTINCT a AS node, a AS tip FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.tip)""",
+        "SELECT node, min(tip) AS component FROM reach GROUP BY node",
         recursive=True,
     ),
     "md5_groups": _with(D, "SELECT file_id, min(file_id) OVER (PARTITION BY md5) AS md5_group FROM d"),

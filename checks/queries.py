@@ -114,8 +114,7 @@ def hamming_two_band(spark, sf):
 
 def cosine_pairs(spark, sf):
     points = inputs.near_files(spark, sf).select(F.col("file_id").cast("long").alias("id"), "vector")
-    found = vectors.cosine_pairs(points, 0.93)
-    return found.select("a", "b", F.round("sim", 6).alias("sim"))
+    return vectors.cosine_pairs(points, 0.93)
 
 
 def similarity_components(spark, sf):

@@ -32,16 +32,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _are_stars(edges: DataFrame) -> bool:
-    if not is_empty(edges.groupBy("u").count().where(F.col("count") > 1)):
-        return False
-    centres = edges.select(F.col("v").alias("u")).distinct()
-    return is_empty(edges.join(centres, "u", "left_semi"))
+    """Every node points at most once, and none that points is pointed at."""
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("u").alias("n"), F.lit(1).alias("out")),
+                F.struct(F.col("v").alias("n"), F.lit(0).alias("out")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    seen = ends.groupBy("n").agg(F.sum("out").alias("outs"), F.min("out").alias("least"))
+    return is_empty(seen.where((F.col("outs") > 1) | ((F.col("outs") == 1) & (F.col("least") == 0))))
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``pairs``; a component is named by its smallest node."""
-    edges = materialize(_downward(pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))), "stars")
-    while not _are_stars(edges):
+    edges = _downward(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    while True:
         edges = materialize(_small_star(_large_star(edges)), "stars")
-    centres = edges.select("v").distinct()
-    return edges.toDF("node", "component").unionByName(centres.select(F.col("v").alias("node"), F.col("v").alias("component")))
+        if _are_stars(edges):
+            break
+    centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.toDF("node", "component").unionByName(centres)

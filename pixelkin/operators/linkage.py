@@ -200,19 +200,25 @@ def _round(edges: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(_live(folded), "linkage-edges"), materialize(placed, "linkage-placed")
 
 
-def complete_linkage(edges: DataFrame, cfg: DedupConfig = DedupConfig(), ordered: bool = False) -> DataFrame:
+def complete_linkage(
+    edges: DataFrame, cfg: DedupConfig = DedupConfig(), ordered: bool = False, all_initiate: bool = False
+) -> DataFrame:
     """Merge clusters -> (cid, final, seq) for every cluster that an initiating pair touches.
 
     ``seq`` orders the clusters of a final group (in points). Member order only matters for groups above
-    ``cfg.max_group_size`` files; for smaller ones it is left at 0 unless ``ordered``.
+    ``cfg.max_group_size`` files; for smaller ones it may be left at 0 unless ``ordered``.
+    ``all_initiate`` tells that every edge has a key, so both of its ends share a component.
     """
     id_type = edges.schema["a"].dataType
     live = materialize(_live(edges), "linkage-live")
-    nodes = materialize(components(live.where(F.col("k").isNotNull())), "linkage-components")
-    inside = live
-    for side in ("a", "b"):
-        inside = inside.join(nodes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
-    inside = inside.where(F.col("ca") == F.col("cb")).withColumnRenamed("ca", "component").drop("cb")
+    nodes = components(live.where(F.col("k").isNotNull()))
+    inside = live.join(nodes.select(F.col("node").alias("a"), "component"), "a")
+    if not all_initiate:
+        inside = inside.join(nodes.select(F.col("node").alias("b"), F.col("component").alias("other")), "b")
+        inside = inside.where(F.col("component") == F.col("other")).drop("other")
+    if live.count() <= cfg.component_edge_limit:
+        return _merge_bounded(inside, id_type)
+    nodes = materialize(nodes, "linkage-components")
     counts = inside.groupBy("component").agg(
         F.count("*").alias("edges"), F.sum(F.col("wa") + F.col("wb")).alias("ends")
     )
@@ -246,7 +252,7 @@ def complete_linkage(edges: DataFrame, cfg: DedupConfig = DedupConfig(), ordered
         current, placed = _round(current, placed)
         if is_empty(current.where(F.col("k").isNotNull())):
             return materialize(result.unionByName(placed.withColumnRenamed("current", "final")), "linkage")
-    deeper = complete_linkage(current, cfg, ordered).select(F.col("cid").alias("current"), "final", F.col("seq").alias("shift"))
+    deeper = complete_linkage(current, cfg, ordered, all_initiate).select(F.col("cid").alias("current"), "final", F.col("seq").alias("shift"))
     placed = placed.join(deeper, "current", "left").select(
         "cid",
         F.coalesce("final", "current").alias("final"),

@@ -262,12 +262,17 @@ def band_hamming_pairs(
     return pairs.unionByName(hot_part) if hot_part is not None else pairs
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int, hot_rows: int = HOT_BAND_ROWS) -> DataFrame:
+def hamming_pairs(
+    hashes: DataFrame, threshold: int, hot_rows: int = HOT_BAND_ROWS, collapsed: bool = False
+) -> DataFrame:
     """All pairs ``a < b`` of distinct hashes with distance at most ``threshold`` -> (a, b, dist).
 
     ``hashes`` needs a ``phash`` column; equal hashes are collapsed first, so a family of copies is one row.
+    ``collapsed`` tells that they are, in a stored table.
     """
-    distinct = materialize(hashes.where(F.col("phash").isNotNull()).select("phash").distinct(), "hashes")
+    distinct = hashes.select("phash")
+    if not collapsed:
+        distinct = materialize(distinct.where(F.col("phash").isNotNull()).distinct(), "hashes")
     n = distinct.count()
     bands = choose_bands(threshold, n)
     if bands is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelkin.functions.paths import relative_folder
 from pixelkin.operators.ordinals import with_ordinal
+from pixelkin.operators.skew import keyed_join
 from pixelkin.session import materialize
 
 KEEP_ONLY, TOGGLE, KEEP_ALL, DELETE_ALL, SKIP_BELOW = "keep_only", "toggle", "keep_all", "delete_all", "skip_below"
@@ -23,13 +24,11 @@ def keepers(members: DataFrame) -> DataFrame:
 
 def group_members(groups: DataFrame, files: DataFrame) -> DataFrame:
     """Files of groups that still have two or more of them, with the group's size and the keeper flag."""
-    rows = files.join(groups.select("file_id", "group_id"), "file_id")
-    best = rows.groupBy("group_id").agg(
-        F.count("*").alias("group_size"),
-        F.min(F.struct(F.negative("file_size").alias("s"), F.col("path").alias("p"), F.col("file_id").alias("f"))).alias("_b"),
-    )
-    shown = rows.join(best.where("group_size >= 2"), "group_id")
-    return shown.withColumn("recommended", F.col("file_id") == F.col("_b.f")).drop("_b")
+    rows = materialize(files.join(groups.select("file_id", "group_id"), "file_id"), "group-files")
+    sizes = rows.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size >= 2")
+    shown = keyed_join(rows, materialize(sizes, "group-sizes"), "group_id", "group_size")
+    best = keepers(rows).select("file_id", F.lit(True).alias("_best"))
+    return shown.join(best, "file_id", "left").withColumn("recommended", F.col("_best").isNotNull()).drop("_best")
 
 
 def group_listing(groups: DataFrame, files: DataFrame) -> DataFrame:
@@ -70,20 +69,23 @@ def decide(members: DataFrame, ordinals: DataFrame, actions: DataFrame) -> DataF
     The last action on a whole group sets the state, toggles of a file after it flip the file. Actions on
     groups that do not exist change nothing.
     """
-    ordinals = materialize(ordinals, "ordinals")
-    members = members.join(keepers(members).withColumnRenamed("file_id", "keeper"), "group_id").join(ordinals, "group_id")
+    members = materialize(members.select("group_id", "file_id", "file_size", "path"), "review-members")
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
+    ordinals = materialize(ordinals.join(sizes, "group_id"), "ordinals")
+    best = keepers(members).select("file_id", F.lit(True).alias("_best"))
     whole = actions.where(F.col("action").isin(KEEP_ONLY, KEEP_ALL, DELETE_ALL))
     last = whole.groupBy("group_ordinal").agg(F.max(F.struct("seq", "action", "file_id")).alias("l"))
     states = ordinals.join(last, "group_ordinal", "left").join(_last_skip(actions, ordinals), "group_ordinal", "left")
     skipped = F.coalesce(F.col("skip_seq") > F.coalesce(F.col("l.seq"), F.lit(-1)), F.lit(False))
     states = states.select(
         "group_ordinal",
+        "group_id",
+        "n",
         F.when(skipped, F.lit(KEEP_ALL)).otherwise(F.col("l.action")).alias("action"),
         F.when(~skipped, F.col("l.file_id")).alias("chosen"),
         F.coalesce(F.greatest("skip_seq", F.col("l.seq")), F.lit(-1)).alias("since"),
     )
     states = materialize(states, "states")
-    # Toggles are counted per file and sequence block before they meet the group's state.
     toggles = actions.where(F.col("action") == TOGGLE).select("group_ordinal", F.col("file_id").alias("t"), "seq")
     flips = (
         toggles.join(states.select("group_ordinal", "since"), "group_ordinal")
@@ -95,9 +97,10 @@ def decide(members: DataFrame, ordinals: DataFrame, actions: DataFrame) -> DataF
         F.when(F.col("action") == KEEP_ALL, F.lit(True))
         .when(F.col("action") == DELETE_ALL, F.lit(False))
         .when(F.col("action") == KEEP_ONLY, F.col("file_id") == F.col("chosen"))
-        .otherwise(F.col("file_id") == F.col("keeper"))
+        .otherwise(F.col("_best").isNotNull())
     )
-    placed = members.join(states, "group_ordinal").join(flips, F.col("file_id") == F.col("t"), "left")
+    placed = keyed_join(members, states, "group_id", "n").join(best, "file_id", "left")
+    placed = placed.join(flips, F.col("file_id") == F.col("t"), "left")
     odd = F.coalesce(F.col("flips"), F.lit(0)) % 2 == 1
     return placed.select("group_id", "file_id", "file_size", (set_to != odd).alias("keep"))
 

@@ -19,6 +19,7 @@ from pixelkin.config import DedupConfig
 from pixelkin.functions.paths import path_key, under_dir
 from pixelkin.operators.linkage import cluster_edges, complete_linkage
 from pixelkin.operators.pairs import hamming_pairs
+from pixelkin.operators.skew import keyed_join
 from pixelkin.operators.split import split_by_first_fit
 from pixelkin.operators.vectors import (
     cosine_pairs,
@@ -91,10 +92,10 @@ def first_per_path_key(files: DataFrame) -> DataFrame:
 
 def exact_groups(files: DataFrame) -> DataFrame:
     """(file_id, md5_group): the smallest file id with the same content; files without MD5 stay alone."""
-    heads = files.where(F.col("md5").isNotNull()).groupBy("md5").agg(F.min("file_id").alias("_head"))
-    return files.join(heads, "md5", "left").select(
-        "file_id", F.coalesce("_head", "file_id").alias("md5_group")
-    )
+    known = files.where(F.col("md5").isNotNull()).select("file_id", "md5")
+    heads = known.groupBy("md5").agg(F.min("file_id").alias("md5_group"), F.count("*").alias("n"))
+    alone = files.where(F.col("md5").isNull()).select("file_id", F.col("file_id").alias("md5_group"))
+    return keyed_join(known, materialize(heads, "heads"), "md5", "n").select("file_id", "md5_group").unionByName(alone)
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -117,9 +118,10 @@ def _start_clusters(rows: DataFrame, value: str) -> tuple[DataFrame, bool]:
         F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("known"), F.count("*").alias("n")
     )
     mixed = per_md5.where((F.col("lo") != F.col("hi")) | ((F.col("known") > 0) & (F.col("known") < F.col("n"))))
-    mixed = materialize(mixed.select("md5"), "mixed-md5")
+    mixed = mixed.select("md5")
     if is_empty(mixed):
         return rows.withColumn("cid", F.col(value)), True
+    mixed = materialize(mixed, "mixed-md5")
     of_mixed = rows.join(mixed, "md5", "left_semi")
     touched = of_mixed.where(F.col(value).isNotNull()).select(value).distinct().withColumn("_touched", F.lit(True))
     flagged = rows.join(touched, value, "left").join(mixed.withColumn("_mixed", F.lit(True)), "md5", "left")
@@ -151,19 +153,20 @@ def _hash_edges(points: DataFrame, pairs: DataFrame, plain: bool) -> DataFrame:
 
 
 def _placed(points: DataFrame, merged: DataFrame) -> DataFrame:
-    """(cid, cl, seq, files): final cluster of every starting cluster and its number of files."""
-    sizes = points.groupBy("cid").agg(F.sum("w").alias("w"))
+    """(cid, cl, seq, files, head): final cluster of every starting cluster, its size and smallest file id."""
+    sizes = points.groupBy("cid").agg(F.sum("w").alias("w"), F.min("first_id").alias("first_id"))
     placed = sizes.join(merged, "cid", "left").select(
-        "cid", F.coalesce("final", "cid").alias("cl"), F.coalesce("seq", F.lit(0)).alias("seq"), "w"
+        "cid", F.coalesce("final", "cid").alias("cl"), F.coalesce("seq", F.lit(0)).alias("seq"), "w", "first_id"
     )
-    totals = placed.groupBy("cl").agg(F.sum("w").alias("files"))
-    return placed.join(totals, "cl").select("cid", "cl", "seq", "files")
+    totals = placed.groupBy("cl").agg(F.sum("w").alias("files"), F.min("first_id").alias("head"))
+    return placed.join(totals, "cl").select("cid", "cl", "seq", "files", "head")
 
 
 def _named(members: DataFrame) -> DataFrame:
     """(file_id, group_id) of ``members`` (file_id, cl): groups of two or more, named by their smallest id."""
+    members = materialize(members, "members")
     heads = members.groupBy("cl").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n")).where("n >= 2")
-    return members.join(heads, "cl").select("file_id", "group_id")
+    return keyed_join(members, materialize(heads, "heads"), "cl", "n").select("file_id", "group_id")
 
 
 def _split(members: DataFrame, metric: str, limit: float, cfg: DedupConfig) -> DataFrame:
@@ -201,11 +204,15 @@ def _drop_far_members(members: DataFrame, cfg: DedupConfig) -> DataFrame:
     return members.join(out, ["cl", "phash"], "left_anti")
 
 
-def _finish_by_hash(members: DataFrame, plain: bool, cfg: DedupConfig) -> DataFrame:
-    """Validation and split of members (file_id, cl, phash, path, order)."""
+def _finish_by_hash(members: DataFrame, sound: bool, cfg: DedupConfig) -> DataFrame:
+    """Validation and split of members (file_id, cl, phash, path, order, head).
+
+    ``sound`` tells that no cluster is oversized and none holds unequal MD5 twins: nothing can change then.
+    """
+    if sound:
+        return members.select("file_id", F.col("head").alias("group_id"))
     members = materialize(members, "members")
-    if not plain:
-        members = materialize(_drop_far_members(members, cfg), "members")
+    members = materialize(_drop_far_members(members, cfg), "members")
     sizes = members.groupBy("cl").agg(F.count("*").alias("files"))
     members = members.join(sizes, "cl").select(
         "file_id",
@@ -215,29 +222,30 @@ def _finish_by_hash(members: DataFrame, plain: bool, cfg: DedupConfig) -> DataFr
         F.col("phash").cast("string").alias("key"),
         F.col("phash").alias("value"),
     )
-    if is_empty(sizes.where(F.col("files") > cfg.max_group_size)):
-        return _named(members.select("file_id", "cl"))
     return _named(_split(members, "hamming", cfg.split_phash, cfg))
 
 
-def _hash_stage(rows: DataFrame, pairs: DataFrame, cfg: DedupConfig, ordered: bool):
-    """Clusters of the sure pairs: rows with ``cid``, points, placement and the plain flag."""
+def _hash_stage(rows: DataFrame, reach: int, cfg: DedupConfig, ordered: bool):
+    """Hash pairs within ``reach`` and the clusters of the sure ones: pairs, rows, points, placement, plain flag."""
     clustered, plain = _start_clusters(rows, "phash")
-    points = clustered.groupBy("cid", "phash").agg(F.count("*").alias("w"), F.min("path").alias("first_path"))
+    points = clustered.groupBy("cid", "phash").agg(
+        F.count("*").alias("w"), F.min("path").alias("first_path"), F.min("file_id").alias("first_id")
+    )
     points = materialize(points, "points")
+    pairs = materialize(hamming_pairs(points, reach, collapsed=plain), "hash-pairs")
     edges = _hash_edges(points, pairs.where(F.col("dist") <= cfg.phash_threshold), plain)
-    merged = complete_linkage(edges, cfg, ordered)
-    return clustered, points, materialize(_placed(points, merged), "placed"), plain
+    merged = complete_linkage(edges, cfg, ordered, all_initiate=True)
+    return pairs, clustered, points, materialize(_placed(points, merged), "placed"), plain
 
 
 def _run_phash(rows: DataFrame, cfg: DedupConfig, stages: _Stages):
-    pairs = materialize(hamming_pairs(rows, cfg.phash_threshold), "hash-pairs")
-    clustered, _, placed, plain = _hash_stage(rows, pairs, cfg, ordered=False)
+    _, clustered, _, placed, plain = _hash_stage(rows, cfg.phash_threshold, cfg, ordered=False)
     stages.mark("hash comparison")
-    members = clustered.join(placed.where("files >= 2"), "cid").select(
-        "file_id", "cl", "phash", "path", F.struct("seq").alias("order")
+    members = keyed_join(clustered, placed.where("files >= 2"), "cid", "files").select(
+        "file_id", "cl", "phash", "path", F.struct("seq").alias("order"), "head"
     )
-    groups = materialize(_finish_by_hash(members, plain, cfg), "groups")
+    sound = plain and is_empty(placed.where(F.col("files") > cfg.max_group_size))
+    groups = materialize(_finish_by_hash(members, sound, cfg), "groups")
     stages.mark("in-group validation")
     return groups, 0, 0, None
 
@@ -285,15 +293,14 @@ def _attach_vectors(rows: DataFrame, vectors: DataFrame | None, embedder: Embedd
 
 
 def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages: _Stages):
-    pairs = materialize(hamming_pairs(rows, cfg.suspect_max), "hash-pairs")
-    clustered, points, placed, plain = _hash_stage(rows, pairs, cfg, ordered=True)
+    pairs, clustered, points, placed, plain = _hash_stage(rows, cfg.suspect_max, cfg, ordered=True)
     stages.mark("hash comparison")
 
     suspects = pairs.where(F.col("dist") > cfg.phash_threshold)
     suspect_count = _suspect_count(points, suspects, plain, cfg)
     hashes = suspects.select(F.col("a").alias("phash")).union(suspects.select("b")).distinct()
     need = materialize(needed_for_vectors(placed, hashes, points), "needed")
-    wanted = clustered.join(need, ["cid", "phash"])
+    wanted = keyed_join(clustered.drop("phash"), need, "cid", "files") if plain else clustered.join(need, ["cid", "phash"])
     wanted, fresh = _attach_vectors(wanted.select("file_id", "path", "phash", "cid", "cl", "seq", "files"), vectors, embedder)
     wanted = materialize(wanted, "vectors")
     spots = wanted.groupBy("cl", "cid", "phash", "vkey").agg(
@@ -348,6 +355,7 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
         F.count_if("loose").alias("loose_homes"),
         F.max((~F.col("loose")).cast("int")).alias("kept"),
         F.sum("w").alias("files2"),
+        F.min("pid").alias("head"),
     )
     # Kept members may come from several earlier groups, each of them one cluster.
     homes = final.where(~F.col("loose")).groupBy("cl").agg(F.count_distinct("home").alias("kept_homes"))
@@ -356,19 +364,21 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     confirmed = parts.where(joined).agg(
         F.coalesce(F.sum(F.col("single") + F.col("kept_homes") - 1), F.lit(0))
     ).first()[0]
-    whole = parts.where((F.col("files2") >= 2) & (joined | (F.col("kept") == 1))).select("cl")
+    whole = parts.where((F.col("files2") >= 2) & (joined | (F.col("kept") == 1))).select("cl", "head", "files2")
+    whole = materialize(whole, "whole")
+    sound = plain and is_empty(whole.where(F.col("files2") > cfg.max_group_size))
     stages.mark("suspect confirmation")
 
-    grouped_spots = final.join(whole, "cl", "left_semi").select("pid", F.col("cl").alias("end"), "late")
+    grouped_spots = final.join(whole, "cl").select("pid", F.col("cl").alias("end"), "late", "head")
     ids = state.select("pid", "cl", "cid", "phash", "vkey").join(grouped_spots, "pid")
     members = wanted.withColumn("_v", F.coalesce("vkey", F.lit(""))).join(
-        ids.select("cl", "cid", "phash", F.coalesce("vkey", F.lit("")).alias("_v"), "end", "late"),
+        ids.select("cl", "cid", "phash", F.coalesce("vkey", F.lit("")).alias("_v"), "end", "late", "head"),
         ["cl", "cid", "phash", "_v"],
     )
     members = members.select(
-        "file_id", F.col("end").alias("cl"), "phash", "path", F.struct("late", "seq").alias("order")
+        "file_id", F.col("end").alias("cl"), "phash", "path", F.struct("late", "seq").alias("order"), "head"
     )
-    groups = materialize(_finish_by_hash(members, plain, cfg), "groups")
+    groups = materialize(_finish_by_hash(members, sound, cfg), "groups")
     stages.mark("in-group validation")
     return groups, suspect_count, int(confirmed), fresh
 
@@ -406,7 +416,7 @@ def _run_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages: _Stage
     slim = seen.select("file_id", "path", "phash", "md5", "vkey")
     clustered, plain = _start_clusters(slim, "vkey")
     points = clustered.groupBy("cid", "vkey").agg(
-        F.count("*").alias("w"), F.min(F.struct("phash", "path")).alias("rank")
+        F.count("*").alias("w"), F.min(F.struct("phash", "path")).alias("rank"), F.min("file_id").alias("first_id")
     )
     points = materialize(points.where(F.col("cid").isNotNull()), "points")
     distinct = seen.where(F.col("vkey").isNotNull()).groupBy(F.col("vkey").alias("id")).agg(
@@ -438,7 +448,7 @@ def _run_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages: _Stage
         F.struct("far", F.col("i.rank").alias("ri"), F.col("j.rank").alias("rj")).alias("k"),
     )
     sizes = points.groupBy("cid").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    merged = complete_linkage(cluster_edges(ranked, sizes), cfg)
+    merged = complete_linkage(cluster_edges(ranked, sizes), cfg, all_initiate=True)
     placed = materialize(_placed(points, merged), "placed")
 
     apart = clustered.groupBy("cid").agg(F.count_distinct(_unit()).alias("units"))
@@ -446,7 +456,7 @@ def _run_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages: _Stage
     confirmed = apart.agg(F.coalesce(F.sum(F.col("units") - 1), F.lit(0))).first()[0]
     stages.mark("vector comparison")
 
-    named = clustered.join(placed.where("files >= 2"), "cid")
+    named = keyed_join(clustered, placed.where("files >= 2"), "cid", "files")
     members = named.select("file_id", F.col("cl"), "files", "seq", "phash", "path", "vkey")
     # Contents without vector are grouped by MD5 alone.
     blind = clustered.where(F.col("cid").isNull() & F.col("md5").isNotNull())

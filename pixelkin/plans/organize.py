@@ -1,7 +1,8 @@
 """Organizing: a plan of destinations first, its execution as a separate job.
 
 The plan is one DataFrame without side effects, so it can be inspected, stored, and executed again after a
-failure. All "first one wins" rules are minimum aggregates joined back, never a window over one hot key.
+failure. All "first one wins" rules are minimum aggregates whose winner is joined back by its path, which is
+unique, so neither a content nor a name shared by very many files gathers them in one task.
 """
 
 from __future__ import annotations
@@ -67,8 +68,9 @@ def resolve_conflicts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     settled = None
     for length in (6, 32):
         owners = _first_of(rest, "dest_path").join(taken, "dest_path", "left_anti")
-        decided = rest.join(owners, "dest_path", "left").withColumn("_own", F.coalesce(F.col("owner") == F.col("path"), F.lit(False)))
-        decided = materialize(decided.drop("owner"), "destinations")
+        owners = owners.select(F.col("owner").alias("path"), F.lit(True).alias("_own"))
+        decided = rest.join(owners, "path", "left").withColumn("_own", F.col("_own").isNotNull())
+        decided = materialize(decided, "destinations")
         won = decided.where("_own").select(*columns)
         settled = won if settled is None else settled.unionByName(won)
         rest = decided.where(~F.col("_own")).drop("_own")
@@ -96,14 +98,16 @@ def organize_plan(
     present = listing.select("path").distinct().withColumn("_there", F.lit(True))
     inside = under_dir(F.col("path"), base)
     target = files.where(inside).join(present, "path", "left_semi")
-    target_md5 = target.where(F.col("md5").isNotNull()).select("md5").distinct().withColumn("_held", F.lit(True))
+    target_md5 = target.where(F.col("md5").isNotNull()).select("md5").distinct()
     source = files.where(~inside).where(of_types(F.col("file_type"), file_types)).join(present, "path", "left")
-    claims = content_claims(source.where("_there"))
-    judged = source.join(target_md5, "md5", "left").join(claims, "md5", "left")
+    # One row per content on both sides of this join; the winners then go back to the files by path.
+    claims = content_claims(source.where("_there")).join(target_md5, "md5", "left_anti")
+    winners = claims.select(F.col("claim_path").alias("path"), F.lit(True).alias("_wins"))
+    judged = source.join(winners, "path", "left")
     parts = date_parts(F.col("taken_at"))
     reason = (
         F.when(F.col("_there").isNull(), SKIP_MISSING)
-        .when(F.col("_held").isNotNull() | (F.col("claim_path") != F.col("path")), SKIP_CONTENT)
+        .when(F.col("md5").isNotNull() & F.col("_wins").isNull(), SKIP_CONTENT)
         .when(F.col("taken_at").isNull(), SKIP_UNDATED)
         .when(parts.isNull(), SKIP_DATE)
     )

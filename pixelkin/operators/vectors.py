@@ -10,13 +10,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelkin.functions.fingerprints import dot
+from pixelkin.functions.fingerprints import cosine, dot, hamming
 from pixelkin.operators.chunks import batches_of, chunked, grid_chunks, grid_pairs, items_of, matrix_of, struct_field
-from pixelkin.session import materialize
+from pixelkin.operators.skew import keyed_join
+from pixelkin.session import is_empty, materialize
 
 DIGITS = 9
 _BLOCK_BYTES, _MIN_BLOCKS, _MAX_BLOCKS = 4 << 20, 1, 4096
@@ -118,8 +120,8 @@ def linked_cosine_pairs(links: DataFrame, points: DataFrame, threshold: float, c
 def _worst_kernel(metric: str):
     """Chunk pairs of one group -> (id, worst) for the items on the left.
 
-    ``worst`` is the largest distance or the lowest similarity to another file of the group; an item that
-    stands for several files also meets itself.
+    ``worst`` is the largest distance, or the lowest similarity with its sign turned, to another file of the
+    group; an item that stands for several files also meets itself.
     """
 
     def values(left, right):
@@ -135,30 +137,71 @@ def _worst_kernel(metric: str):
         for batch in batches:
             lo, lv = items_of(batch, "left")
             ro, rv = items_of(batch, "right")
-            same = batch.column(batch.schema.get_field_index("same")).to_pylist()
-            ids, lval, rval = struct_field(lv, "id"), struct_field(lv, "value"), struct_field(rv, "value")
-            files = struct_field(lv, "w").to_numpy()
+            ids, lval, files = struct_field(lv, "id"), struct_field(lv, "value"), struct_field(lv, "w").to_numpy()
+            other, rval = struct_field(rv, "id"), struct_field(rv, "value")
             rows = []
             for r in range(batch.num_rows):
                 at, size = int(lo[r]), int(lo[r + 1] - lo[r])
-                worst = values(lval.slice(at, size), rval.slice(int(ro[r]), int(ro[r + 1] - ro[r])))
-                if same[r]:
-                    single = np.nonzero(files[at : at + size] == 1)[0]
-                    worst[single, single] = -np.inf
-                rows.append({"id": ids.slice(at, size), "worst": worst.max(axis=1)})
+                to, more = int(ro[r]), int(ro[r + 1] - ro[r])
+                own = ids.slice(at, size)
+                worst = values(lval.slice(at, size), rval.slice(to, more))
+                twin = pc.index_in(own, value_set=other.slice(to, more)).to_numpy(zero_copy_only=False)
+                met = np.nonzero(~np.isnan(twin) & (files[at : at + size] == 1))[0]
+                worst[met, twin[met].astype(int)] = -np.inf
+                rows.append({"id": own, "worst": worst.max(axis=1)})
             yield from batches_of(rows, pa.schema([("id", ids.type), ("worst", pa.float64())]))
 
     return run
 
 
-def _worst_in_group(points: DataFrame, metric: str, chunk_rows: int) -> DataFrame:
-    """(id, worst) over ``points`` (grp, id, value, w)."""
+def _distance(metric: str, a, b) -> F.Column:
+    if metric == "hamming":
+        return hamming(a, b).cast("double")
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(cosine(a, b), DIGITS))))
+
+
+def _screen(points: DataFrame, metric: str, limit: float, chunk_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """(ids that are certainly too far, points to examine).
+
+    Only groups above ``chunk_rows`` are screened, against one member each: a point too far from it has its
+    witness; a point so close that even the farthest member of the group is within the limit (triangle
+    inequality) is settled too. The rest is compared with the whole group.
+    """
+    sizes = points.groupBy("grp").agg(
+        F.count("*").alias("n"), F.min_by("value", "id").alias("pivot"), F.min("id").alias("pivot_id")
+    )
+    large = materialize(sizes.where(F.col("n") > chunk_rows), "large-groups")
+    if is_empty(large):
+        return None, points
+    off_length = F.lit(0.0)
+    if metric == "cosine":
+        off_length = F.abs(dot(F.col("value"), F.col("value")) - 1)
+    measured = keyed_join(points, large, "grp", "n").withColumn("d", _distance(metric, F.col("value"), F.col("pivot")))
+    measured = materialize(measured.withColumn("off", off_length).drop("pivot"), "measured")
+    spans = measured.groupBy("grp").agg(F.max("d").alias("span"), F.max("off").alias("off"), F.max("n").alias("n"))
+    measured = keyed_join(measured.drop("n", "off"), materialize(spans, "spans"), "grp", "n")
+    # A hair of slack keeps every close call for the exact comparison; angles need vectors of length one.
+    slack, reach = (0.0, limit) if metric == "hamming" else (1e-4, math.acos(limit))
+    far = F.when(F.col("id") == F.col("pivot_id"), F.col("span")).otherwise(F.col("d")) > reach + slack
+    close = (F.col("d") + F.col("span") <= reach - slack) & (F.col("off") < 1e-6)
+    measured = measured.withColumn("far", far).withColumn("close", close)
+    small = points.join(large.select("grp"), "grp", "left_anti")
+    unsure = measured.where(~F.col("far") & ~F.col("close")).select("grp", "id", "value", "w")
+    return measured.where("far").select("id"), small.unionByName(unsure)
+
+
+def _too_far(points: DataFrame, metric: str, limit: float, chunk_rows: int) -> DataFrame:
+    """(id) of ``points`` (grp, id, value, w) with a peer beyond ``limit``."""
+    far, unsure = _screen(points, metric, limit, chunk_rows)
     schema = T.StructType([T.StructField("id", points.schema["id"].dataType), T.StructField("worst", T.DoubleType())])
-    chunks = materialize(chunked(points, ["grp"], "id", ["id", "value", "w"], chunk_rows), "chunks")
-    left = chunks.select("grp", F.col("chunk").alias("lc"), F.col("items").alias("left"))
-    right = chunks.select("grp", F.col("chunk").alias("rc"), F.col("items").alias("right"))
-    blocks = left.join(right, "grp").select("left", "right", (F.col("lc") == F.col("rc")).alias("same"))
-    return blocks.mapInArrow(_worst_kernel(metric), schema).groupBy("id").agg(F.max("worst").alias("worst"))
+    fields = ["id", "value", "w"]
+    right = materialize(chunked(points, ["grp"], "id", fields, chunk_rows), "chunks")
+    left = right if far is None else chunked(unsure, ["grp"], "id", fields, chunk_rows)
+    blocks = left.select("grp", F.col("items").alias("left")).join(right.select("grp", F.col("items").alias("right")), "grp")
+    worst = blocks.select("left", "right").mapInArrow(_worst_kernel(metric), schema).groupBy("id").agg(F.max("worst").alias("worst"))
+    beyond = F.col("worst") > (limit if metric == "hamming" else -limit)
+    found = worst.where(beyond).select("id")
+    return found if far is None else found.unionByName(far)
 
 
 def vector_evictions(points: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
@@ -170,14 +213,12 @@ def vector_evictions(points: DataFrame, threshold: float, chunk_rows: int) -> Da
     """
     blind = points.where(F.coalesce(F.size("vector"), F.lit(0)) <= 0).select("id")
     seeing = points.where(F.size("vector") > 0).select("grp", "id", F.col("vector").alias("value"), "w")
-    worst = _worst_in_group(seeing, "cosine", chunk_rows)
-    return blind.unionByName(worst.where(-F.col("worst") < threshold).select("id"))
+    return blind.unionByName(_too_far(seeing, "cosine", threshold, chunk_rows))
 
 
 def hash_evictions(points: DataFrame, limit: int, chunk_rows: int) -> DataFrame:
     """(id) of the points farther than ``limit`` from a member of their group; ``points``: (grp, id, phash, w)."""
-    worst = _worst_in_group(points.select("grp", "id", F.col("phash").alias("value"), "w"), "hamming", chunk_rows)
-    return worst.where(F.col("worst") > limit).select("id")
+    return _too_far(points.select("grp", "id", F.col("phash").alias("value"), "w"), "hamming", limit, chunk_rows)
 
 
 def self_similar(vector, threshold: float) -> F.Column:

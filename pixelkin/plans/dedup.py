@@ -198,21 +198,22 @@ def _split(members: DataFrame, metric: str, limit: float, cfg: DedupConfig) -> D
 
 def _drop_far_members(members: DataFrame, cfg: DedupConfig) -> DataFrame:
     """In-group hash check on members (file_id, cl, phash, ...); only mixed MD5 groups can fail it."""
-    points = members.groupBy("cl", "phash").agg(F.count("*").alias("w"))
-    points = points.select(F.col("cl").alias("grp"), F.struct("cl", "phash").alias("id"), "phash", "w")
-    out = hash_evictions(points, cfg.max_ingroup_phash, cfg.chunk_rows).select("id.*")
-    return members.join(out, ["cl", "phash"], "left_anti")
+    named = members.withColumn("_id", F.concat_ws("|", F.col("cl").cast("string"), F.col("phash").cast("string")))
+    points = named.groupBy(F.col("cl").alias("grp"), "phash", F.col("_id").alias("id")).agg(F.count("*").alias("w"))
+    out = hash_evictions(points, cfg.max_ingroup_phash, cfg.chunk_rows).select(F.col("id").alias("_id"))
+    return named.join(out, "_id", "left_anti").drop("_id")
 
 
-def _finish_by_hash(members: DataFrame, sound: bool, cfg: DedupConfig) -> DataFrame:
+def _finish_by_hash(members: DataFrame, plain: bool, oversized: bool, cfg: DedupConfig) -> DataFrame:
     """Validation and split of members (file_id, cl, phash, path, order, head).
 
-    ``sound`` tells that no cluster is oversized and none holds unequal MD5 twins: nothing can change then.
+    Without mixed MD5 groups every cluster passes the validation by construction.
     """
-    if sound:
+    if plain and not oversized:
         return members.select("file_id", F.col("head").alias("group_id"))
     members = materialize(members, "members")
-    members = materialize(_drop_far_members(members, cfg), "members")
+    if not plain:
+        members = materialize(_drop_far_members(members, cfg), "members")
     sizes = members.groupBy("cl").agg(F.count("*").alias("files"))
     members = members.join(sizes, "cl").select(
         "file_id",
@@ -244,8 +245,8 @@ def _run_phash(rows: DataFrame, cfg: DedupConfig, stages: _Stages):
     members = keyed_join(clustered, placed.where("files >= 2"), "cid", "files").select(
         "file_id", "cl", "phash", "path", F.struct("seq").alias("order"), "head"
     )
-    sound = plain and is_empty(placed.where(F.col("files") > cfg.max_group_size))
-    groups = materialize(_finish_by_hash(members, sound, cfg), "groups")
+    oversized = not is_empty(placed.where(F.col("files") > cfg.max_group_size))
+    groups = materialize(_finish_by_hash(members, plain, oversized, cfg), "groups")
     stages.mark("in-group validation")
     return groups, 0, 0, None
 
@@ -366,7 +367,7 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     ).first()[0]
     whole = parts.where((F.col("files2") >= 2) & (joined | (F.col("kept") == 1))).select("cl", "head", "files2")
     whole = materialize(whole, "whole")
-    sound = plain and is_empty(whole.where(F.col("files2") > cfg.max_group_size))
+    oversized = not is_empty(whole.where(F.col("files2") > cfg.max_group_size))
     stages.mark("suspect confirmation")
 
     grouped_spots = final.join(whole, "cl").select("pid", F.col("cl").alias("end"), "late", "head")
@@ -378,7 +379,7 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     members = members.select(
         "file_id", F.col("end").alias("cl"), "phash", "path", F.struct("late", "seq").alias("order"), "head"
     )
-    groups = materialize(_finish_by_hash(members, sound, cfg), "groups")
+    groups = materialize(_finish_by_hash(members, plain, oversized, cfg), "groups")
     stages.mark("in-group validation")
     return groups, suspect_count, int(confirmed), fresh
 

@@ -97,8 +97,10 @@ def plain_path(column) -> F.Column:
 def spark_images(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(path, height, width, channels, data) decoded by Spark's image source; size -1 when undecodable."""
     image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(roots)
+    # The origin is a URI, so blanks and the like come escaped; a plus sign does not.
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
     return image.select(
-        plain_path(F.col("image.origin")).alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data"
+        plain_path(origin).alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data"
     )
 
 

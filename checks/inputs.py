@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pixelkin import fixtures
 from pixelkin.functions.paths import classify_extension, file_name
 from pixelkin.operators.review import DELETE_ALL, KEEP_ALL, KEEP_ONLY, SKIP_BELOW, TOGGLE
+from pixelkin.session import materialize
 
 TARGET = "/library"
 
 
 def near_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files with hashes and vectors; the variants of every fifth owner are byte-equal copies."""
-    return fixtures.hashes(spark, sf).selectExpr(
+    rows = fixtures.hashes(spark, sf).selectExpr(
         "CAST(file_id AS STRING) AS file_id",
         "owner",
         "concat('/library/', lpad(CAST(file_id AS STRING), 9, '0'), '.jpg') AS path",
@@ -22,6 +23,8 @@ def near_files(spark: SparkSession, sf: str) -> DataFrame:
         "md5(CASE WHEN owner % 5 = 0 THEN concat('o', owner) ELSE concat('f', file_id) END) AS md5",
         "vec AS vector",
     )
+    # Stored once, because the queries read it several times.
+    return materialize(rows, "near-files")
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:

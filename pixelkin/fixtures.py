@@ -16,7 +16,7 @@ WITH v AS (
       THEN -0.25D * x ELSE CAST(x AS DOUBLE) END AS DOUBLE)) w
   FROM {embeddings} LATERAL VIEW explode(array(0, 1, 2, 3)) kk AS k),
 n AS (SELECT file_id, owner, w, sqrt(aggregate(w, 0D, (a, x) -> a + x * x)) nrm FROM v)
-SELECT file_id, owner, transform(w, x -> x / nrm) vec,
+SELECT file_id, owner, zip_with(w, array_repeat(nrm, size(w)), (x, r) -> x / r) vec,
   aggregate(transform(w, (x, i) -> CASE WHEN x <= 0 THEN 0L ELSE shiftleft(1L, 63 - i) END), 0L, (a, x) -> a | x) phash
 FROM n
 """
@@ -24,7 +24,9 @@ FROM n
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate hashes and vectors: four variants per embedding (file_id, owner, vec, phash)."""
-    return spark.sql(HASHES_SQL, embeddings=table(spark, sf_dir, "embeddings"))
+    # The table is one small file; without this everything would run in one task.
+    spread = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(HASHES_SQL, embeddings=spread)
 
 
 CATALOG_SQL = """

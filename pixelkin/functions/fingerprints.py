@@ -50,5 +50,6 @@ def l2_normalize(vector: Column) -> Column:
     """Unit-length vector; null for an empty one; unchanged when its norm is tiny."""
     norm = F.sqrt(dot(vector, vector))
     doubles = F.transform(vector, lambda x: x.cast("double"))
-    scaled = F.transform(doubles, lambda x: x / norm)
+    # The norm is an argument, not part of the lambda, where it would be computed once per element.
+    scaled = F.zip_with(doubles, F.array_repeat(norm, F.size(vector)), lambda x, n: x / n)
     return F.when(F.size(vector) > 0, F.when(norm < TINY_NORM, doubles).otherwise(scaled))

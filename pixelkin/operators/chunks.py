@@ -6,11 +6,15 @@ becomes many tasks of bounded size, and only matches leave a task, never candida
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelkin.session import materialize
+
 
 def chunked(df: DataFrame, key: list[str], spread_by: str, fields: list[str], size: int) -> DataFrame:
     """(key..., chunk, items): ``items`` holds about ``size`` structs of ``fields``.
@@ -25,6 +29,11 @@ def chunked(df: DataFrame, key: list[str], spread_by: str, fields: list[str], si
     return spread.groupBy(*key, "chunk").agg(F.collect_list(F.struct(*fields)).alias("items"))
 
 
+def busy_blocks(spark: SparkSession, rows: int) -> int:
+    """Blocks per side that give every core a few pairs of blocks, without blocks below 256 rows."""
+    return min(math.ceil(rows / 256), math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism)))
+
+
 def grid_chunks(df: DataFrame, spread_by: str, fields: list[str], pieces: int) -> DataFrame:
     """(chunk, items): the whole frame in ``pieces`` chunks."""
     return (
@@ -36,14 +45,18 @@ def grid_chunks(df: DataFrame, spread_by: str, fields: list[str], pieces: int) -
 
 def grid_pairs(chunks: DataFrame, pieces: int) -> DataFrame:
     """Every unordered pair of chunks once (left, right, same), as an equi-join on the partner's number."""
+    chunks = materialize(chunks, "blocks")
     left = chunks.select(
         F.col("chunk").alias("lc"),
         F.col("items").alias("left"),
         F.explode(F.sequence(F.col("chunk"), F.lit(pieces - 1).cast("long"))).alias("chunk"),
     )
-    return left.join(chunks, "chunk").select(
+    pairs = left.join(chunks, "chunk").select(
         "left", F.col("items").alias("right"), (F.col("lc") == F.col("chunk")).alias("same")
     )
+    # Every pair of blocks is the same amount of work, so deal them out evenly.
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return pairs.repartition(min(pieces * (pieces + 1) // 2, max(4 * cores, pieces)))
 
 
 def items_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelkin.functions.fingerprints import hamming
-from pixelkin.operators.chunks import batches_of, chunked, grid_chunks, grid_pairs, items_of, struct_field
+from pixelkin.operators.chunks import batches_of, busy_blocks, chunked, grid_chunks, grid_pairs, items_of, struct_field
 from pixelkin.session import is_empty, materialize
 
 PAIRS_SCHEMA = "a long, b long, dist int"
@@ -224,7 +224,8 @@ def _hot_pairs(left: DataFrame, right: DataFrame, bands: list[Band], threshold:
 
 def grid_hamming_pairs(hashes: DataFrame, threshold: int, n: int) -> DataFrame:
     """Pairs by comparing blocks of hashes; the exact way for thresholds that bands cannot prune."""
-    pieces = max(1, min(math.ceil(n / _BLOCK_ROWS), _MAX_BLOCKS))
+    pieces = max(math.ceil(n / _BLOCK_ROWS), busy_blocks(hashes.sparkSession, n))
+    pieces = max(1, min(pieces, _MAX_BLOCKS))
     chunks = grid_chunks(hashes, "phash", ["phash"], pieces)
     return grid_pairs(chunks, pieces).mapInArrow(_grid_kernel(threshold), PAIRS_SCHEMA)
 

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelkin.functions.fingerprints import cosine, dot, hamming
-from pixelkin.operators.chunks import batches_of, chunked, grid_chunks, grid_pairs, items_of, matrix_of, struct_field
+from pixelkin.operators.chunks import batches_of, busy_blocks, chunked, grid_chunks, grid_pairs, items_of, matrix_of, struct_field
 from pixelkin.operators.skew import keyed_join
 from pixelkin.session import is_empty, materialize
 
 DIGITS = 9
-_BLOCK_BYTES, _MIN_BLOCKS, _MAX_BLOCKS = 4 << 20, 1, 4096
+# Blocks of about this size, at most this many per side.
+_BLOCK_BYTES, _MAX_BLOCKS = 4 << 20, 4096
 
 
 def vector_key(vector) -> F.Column:
@@ -35,13 +36,13 @@ def _by_length(vectors: pa.Array) -> dict[int, np.ndarray]:
 
 
 def _similarities(left: pa.Array, right: pa.Array):
-    """(left positions, right positions, similarity matrix) for each shared vector length."""
+    """(left positions, right positions, unrounded similarity matrix) for each shared vector length."""
     lk, rk = _by_length(left), _by_length(right)
     for n in lk.keys() & rk.keys():
         li, ri = lk[n], rk[n]
         lm = matrix_of(left if len(li) == len(left) else left.take(pa.array(li))).astype(np.float64)
         rm = matrix_of(right if len(ri) == len(right) else right.take(pa.array(ri))).astype(np.float64)
-        yield li, ri, np.round(lm @ rm.T, DIGITS)
+        yield li, ri, lm @ rm.T
 
 
 def _pair_kernel(threshold: float):
@@ -59,16 +60,18 @@ def _pair_kernel(threshold: float):
                 left = lvec.slice(int(lo[r]), int(lo[r + 1] - lo[r]))
                 right = rvec.slice(int(ro[r]), int(ro[r + 1] - ro[r]))
                 for li, ri, sims in _similarities(left, right):
-                    i, j = np.nonzero(sims >= threshold)
+                    i, j = np.nonzero(sims >= threshold - 10.0**-DIGITS)
+                    close = np.round(sims[i, j], DIGITS)
+                    kept = close >= threshold
                     if same[r]:
-                        once = li[i] < ri[j]
-                        i, j = i[once], j[once]
+                        kept &= li[i] < ri[j]
+                    i, j, close = i[kept], j[kept], close[kept]
                     if len(i):
                         rows.append(
                             {
                                 "a": lid.take(pa.array(li[i] + lo[r])),
                                 "b": rid.take(pa.array(ri[j] + ro[r])),
-                                "sim": sims[i, j],
+                                "sim": close,
                             }
                         )
             yield from batches_of(rows, schema)
@@ -91,7 +94,8 @@ def cosine_pairs(points: DataFrame, threshold: float, blocks: int | None = None)
     points = points.where(F.size("vector") > 0)
     if blocks is None:
         n, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-        blocks = max(_MIN_BLOCKS, min(math.ceil(n * width * 8 / _BLOCK_BYTES), _MAX_BLOCKS))
+        blocks = max(math.ceil(n * width * 8 / _BLOCK_BYTES), busy_blocks(points.sparkSession, n))
+        blocks = max(1, min(blocks, _MAX_BLOCKS))
     chunks = grid_chunks(points, "id", ["id", "vector"], blocks)
     found = grid_pairs(chunks, blocks).mapInArrow(_pair_kernel(threshold), _pair_schema(points.schema["id"].dataType))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
@@ -128,7 +132,7 @@ def _worst_kernel(metric: str):
         if metric == "cosine":
             sims = np.zeros((len(left), len(right)))
             for li, ri, part in _similarities(left, right):
-                sims[np.ix_(li, ri)] = part
+                sims[np.ix_(li, ri)] = np.round(part, DIGITS)
             return -sims
         lh, rh = left.to_numpy(), right.to_numpy()
         return np.bitwise_count((lh[:, None] ^ rh[None, :]).view(np.uint64)).astype(np.float64)

@@ -11,7 +11,9 @@ from pixelkin.session import is_empty
 HOT_ROWS = 1_000_000
 
 
-def keyed_join(rows: DataFrame, facts: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def keyed_join(
+    rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, one row per key, whose ``count`` column tells its rows.
 
     Facts of keys above ``hot_rows`` are few by construction and are sent to the rows; all other keys meet
@@ -21,5 +23,6 @@ def keyed_join(rows: DataFrame, facts: DataFrame, key: str, count: str, hot_rows
     hot = facts.where(heavy)
     if is_empty(hot):
         return rows.join(facts, key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(~heavy), key)
+    names = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*names)), key, "left_anti").join(facts.where(~heavy), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -371,11 +371,11 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     stages.mark("suspect confirmation")
 
     grouped_spots = final.join(whole, "cl").select("pid", F.col("cl").alias("end"), "late", "head")
-    ids = state.select("pid", "cl", "cid", "phash", "vkey").join(grouped_spots, "pid")
-    members = wanted.withColumn("_v", F.coalesce("vkey", F.lit(""))).join(
-        ids.select("cl", "cid", "phash", F.coalesce("vkey", F.lit("")).alias("_v"), "end", "late", "head"),
-        ["cl", "cid", "phash", "_v"],
-    )
+    content = ["cl", "cid", "phash", "_v"]
+    no_null = F.coalesce("vkey", F.lit("")).alias("_v")
+    ids = state.select("pid", "cl", "cid", "phash", no_null, "w").join(grouped_spots, "pid")
+    ids = materialize(ids.select(*content, "w", "end", "late", "head"), "grouped-contents")
+    members = keyed_join(wanted.select("file_id", "path", "seq", "cl", "cid", "phash", no_null), ids, content, "w")
     members = members.select(
         "file_id", F.col("end").alias("cl"), "phash", "path", F.struct("late", "seq").alias("order"), "head"
     )

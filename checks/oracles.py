@@ -146,6 +146,20 @@ de AS (SELECT fa.group_id, fa.file_id, fa.file_size,
   FROM fa LEFT JOIN a s ON s.seq = fa.since)"""
 
 
+# First fit over the members of each group in order; ``parts`` holds the values placed so far.
+FIRST_FIT = """
+it AS MATERIALIZED ({members}),
+fs AS (
+  SELECT grp, 0::BIGINT AS k, NULL::VARCHAR AS id, []::{kind}[][] AS parts, 0::BIGINT AS part FROM (SELECT DISTINCT grp FROM it)
+  UNION ALL
+  SELECT grp, k, id, CASE WHEN home IS NULL THEN list_append(parts, [value])
+      ELSE list_transform(parts, lambda x, i: CASE WHEN i = home THEN list_append(x, value) ELSE x END) END,
+    coalesce(home - 1, len(parts))
+  FROM (SELECT it.grp, it.k, it.id, it.value, fs.parts,
+      list_filter(range(1, len(fs.parts) + 1), lambda i: len(list_filter(fs.parts[i], lambda y: NOT ({fits}))) = 0)[1] AS home
+    FROM fs JOIN it ON it.grp = fs.grp AND it.k = fs.k + 1))"""
+
+
 def _with(parts: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts.strip()}\n{body}"
 
@@ -236,6 +250,29 @@ GROUP BY a.file_id HAVING min(list_inner_product(a.vector, b.vector)) < 0.93""",
         """SELECT a.file_id FROM m a JOIN m b ON a.owner = b.owner AND a.fid <> b.fid
 GROUP BY a.file_id HAVING max(bit_count(xor(a.phash, b.phash))) > 12""",
     ),
+    "oversized_split_phash": _with(
+        M
+        + ","
+        + FIRST_FIT.format(
+            members="""SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY pos, id) AS k, id, value
+  FROM (SELECT owner % 25 AS grp, phash AS value, CAST(phash AS VARCHAR) AS id, min(path) AS pos FROM m GROUP BY 1, 2)""",
+            kind="BIGINT",
+            fits="bit_count(xor(y, it.value)) <= 4",
+        ),
+        "SELECT grp, id, part FROM fs WHERE k > 0",
+        recursive=True,
+    ),
+    "oversized_split_cosine": _with(
+        M
+        + ","
+        + FIRST_FIT.format(
+            members="SELECT owner % 25 AS grp, row_number() OVER (PARTITION BY owner % 25 ORDER BY path, file_id) AS k, file_id AS id, vector AS value FROM m",
+            kind="DOUBLE[]",
+            fits="list_inner_product(y, it.value) >= 0.965",
+        ),
+        "SELECT grp, id, part FROM fs WHERE k > 0",
+        recursive=True,
+    ),
     "dedup_phash": _with(HASH_RUN + "," + NAMED.format(name="g8"), MEMBERS, recursive=True),
     "dedup_phash_ai": _with(COMBINED_RUN + "," + NAMED.format(name="g12"), MEMBERS, recursive=True),
     "dedup_ai": _with(VECTOR_RUN + "," + NAMED.format(name="gv"), MEMBERS, recursive=True),

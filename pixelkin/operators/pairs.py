@@ -256,7 +256,8 @@ def band_hamming_pairs(
             left = left.join(keys, ["band", "key"], "left_anti")
             right = right.join(keys, ["band", "key"], "left_anti")
     a, b = F.col("a"), F.col("b")
-    joined = left.join(right, ["band", "key"]).where(
+    # The planner takes the listed keys to be as small as the hashes they come from; they must not be broadcast.
+    joined = left.join(right.hint("merge"), ["band", "key"]).where(
         (a < b) & (hamming(a, b) <= threshold) & _meets_once(bands, F.col("band"), F.col("key"), a, b)
     )
     pairs = joined.select("a", "b", hamming(a, b).alias("dist"))

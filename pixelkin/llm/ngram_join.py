@@ -39,7 +39,7 @@ BLOCK_SHINGLES = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
+def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
     """(row, distinct shingle hashes, hash of the set) of every row of a text column."""
     data, offsets = arrow_text.utf8(column)
     for first, last in arrow_text.slices(offsets):
@@ -56,7 +56,7 @@ def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes, refs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for row, distinct, ref in _sets(batch.column(1), width):
+            for row, distinct, ref in shingle_sets(batch.column(1), width):
                 sizes[row], refs[row] = len(distinct), ref
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(refs)], ["doc_id", "n_shingles", "ref"]
@@ -73,7 +73,7 @@ def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             seen, refs, parts = set(), [], []
-            for _, distinct, ref in _sets(batch.column(0), width):
+            for _, distinct, ref in shingle_sets(batch.column(0), width):
                 if len(distinct) and ref not in seen:
                     seen.add(ref)
                     refs.append(ref)
@@ -266,11 +266,28 @@ def _candidate_groups(profiles: DataFrame, percent: int) -> DataFrame:
     return components(materialize(edges, "candidates"), "gid", "rep")
 
 
-def _links(profiles: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    found = profiles.join(groups, F.col("gid") == F.col("node"), "left").withColumn(
-        "cluster", F.coalesce("component", "gid")
-    )
-    members = found.select("cluster", "ref", "n", "copies", "tokens")
+def members(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` without ``text``, with its distinct shingles packed in ``tokens``."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(rest).schema)
+
+    def run(batches):
+        for batch in batches:
+            packed = [b""] * batch.num_rows
+            for row, distinct, _ in shingle_sets(batch.column(len(rest)), width):
+                packed[row] = distinct.astype("<u8").tobytes()
+            arrays = [batch.column(k) for k in range(len(rest))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(packed, pa.binary())], [*rest, "tokens"])
+
+    return docs.select(*rest, "text").mapInArrow(run, f"{schema}, tokens binary")
+
+
+def verified_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links among ``members`` (cluster, ref, n, copies, tokens), all against all within a cluster.
+
+    Rows (a, b, null) span each linked part; rows (a, null, weight) count the documents that ``a`` links with.
+    """
+    members = members.select("cluster", "ref", "n", "copies", "tokens")
     sizes = (
         members.groupBy("cluster")
         .agg(F.count("*").alias("sets"), F.sum(F.length("tokens") / 8).alias("shingles"))
@@ -291,29 +308,16 @@ def _links(profiles: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
         "ref", "n", "copies", "tokens",
     )
-    verified = met.groupBy("cluster", "i", "j").applyInArrow(_verified(percent), "a long, b long, weight long")
-    return materialize(verified, "links")
+    return met.groupBy("cluster", "i", "j").applyInArrow(_verified(percent), "a long, b long, weight long")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text).
+def labelled(listed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``listed`` (doc_id, n_shingles, ref) with component_id and n_links; ``classes`` has (ref, copies, lowest).
 
-    Documents link when 100 * shared >= percent * union of their shingle sets. ``n_links`` counts the other rows
-    that a row links with, copies included; ``component_id`` is the smallest doc_id that links reach.
+    Only classes with copies or links need a lookup; all other documents stand alone.
     """
-    listed = materialize(shingle_classes(docs, width), "classes")
-    classes = (
-        listed.where("n_shingles > 0")
-        .groupBy("ref")
-        .agg(
-            F.first("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("lowest")
-        )
-    )
-    profiles = _profiles(docs, classes.select("ref", "n", "copies"), width, percent)
-    links = _links(profiles, _candidate_groups(profiles, percent), percent)
     joined = components(links.where("b IS NOT NULL").select("a", "b"))
     degrees = links.where("weight IS NOT NULL").groupBy("a").agg(F.sum("weight").alias("others"))
-    # Only classes with copies or links need a lookup; all other documents stand alone.
     known = (
         classes.join(joined.withColumnRenamed("node", "ref"), "ref", "left")
         .join(degrees.withColumnRenamed("a", "ref"), "ref", "left")
@@ -328,9 +332,32 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     known = materialize(known, "linked")
     lowest = known.groupBy("root").agg(F.min("lowest").alias("component_id"))
     facts = known.join(lowest, "root").select("ref", "component_id", "n_links", F.lit(True).alias("known"))
+    linked = F.col("known") & (F.col("n_shingles") > 0)
     return listed.join(facts, "ref", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("known") & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("known") & (F.col("n_shingles") > 0), F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
+        *(c for c in listed.columns if c != "ref"),
+        F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
+    )
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text).
+
+    Documents link when 100 * shared >= percent * union of their shingle sets. ``n_links`` counts the other rows
+    that a row links with, copies included; ``component_id`` is the smallest doc_id that links reach.
+    """
+    listed = materialize(shingle_classes(docs, width), "classes")
+    classes = (
+        listed.where("n_shingles > 0")
+        .groupBy("ref")
+        .agg(
+            F.first("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("lowest")
+        )
+    )
+    profiles = _profiles(docs, classes.select("ref", "n", "copies"), width, percent)
+    groups = _candidate_groups(profiles, percent)
+    clustered = profiles.join(groups, F.col("gid") == F.col("node"), "left").withColumn(
+        "cluster", F.coalesce("component", "gid")
     )
+    links = materialize(verified_links(clustered, percent), "links")
+    return labelled(listed, classes.drop("n"), links).select("doc_id", "n_shingles", "component_id", "n_links")

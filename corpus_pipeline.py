@@ -1,35 +1,78 @@
-"""From raw documents to packed training sequences: quality, near duplicates, secrets, packing."""
+"""From raw documents to packed training sequences: quality, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. Rows that share an id, or have none,
+are judged row by row.
+"""
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelkin.llm import ngram_join, queries, vector_packing
-from pixelkin.session import scratch_dir
+from pixelkin.llm import host_quality, ngram_join, queries, secret_scan, vector_packing
+from pixelkin.session import materialize, scratch_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor their host's verdict rejects."""
+    return host_quality.judged(host_quality.measured(docs)).where("_kept").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, the one with the smallest id stays."""
-    # Rows that share an id are told apart by a number of their own.
-    numbered = docs.withColumn("_row", F.struct("doc_id", F.monotonically_increasing_id()))
-    raise NotImplementedError
+    """Of documents that near-duplicate links connect, the one with the smallest id.
+
+    Of rows with that id all stay but those with equal sets. Groups are few against all documents; only the ids that
+    go are looked up.
+    """
+    groups = materialize(ngram_join.jaccard_join(docs), "groups")
+    # A row without an id cannot be told from its group, so it stays.
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced, and ``n_chars`` counted again where it changed."""
+    clean = secret_scan.redacted(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document and their places in sequences."""
+    return vector_packing.pack(
+        docs,
+        queries.RANKS_FILE,
+        queries.SPECIAL,
+        queries.END_ID,
+        vector_packing.Capacity(tokens=1024),
+        {"ids_crc32": ("long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))},
+    )
+
 
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_join", one_of_each_group),
+    ("secret_scan", without_secrets),
+    ("vector_packing", packed),
+]
 
-STAGES: list = []
+#: Tokens and randomness tests are beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each reading what the one before has written."""
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = f"{scratch_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

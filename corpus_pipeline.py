@@ -18,7 +18,9 @@ from pixelkin.session import materialize, scratch_dir
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor their host's verdict rejects."""
-    return host_quality.judged(host_quality.measured(docs)).where("_kept").select(*docs.columns)
+    # Stored once: hosts are counted from it, and a filter cannot repeat the measures.
+    scored = materialize(host_quality.measured(docs), "measured")
+    return host_quality.judged(scored).where("_kept").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

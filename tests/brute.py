@@ -1,7 +1,14 @@
-"""Plain sequential statement of the clustering rules, for small inputs only."""
+"""The clustering rules as relations over a table of files, for small inputs only.
+
+A clustering is two arrays: the label of every file, and its place among the files of its label. A rule is a boolean
+matrix over files. Merging asks whether a whole block of that matrix is true, eviction and splitting are row-wise
+conditions on the blocks of equal labels.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def popcount(a: int, b: int) -> int:
     return bin((a ^ b) & (1 << 64) - 1).count("1")
@@ -11,105 +18,94 @@ def dots(u, v) -> float:
     return 0.0 if u is None or v is None or len(u) != len(v) or not len(u) else float(sum(x * y for x, y in zip(u, v)))
 
 
-class Partition:
-    def __init__(self, n):
-        self.groups = {i: [i] for i in range(n)}
-        self.of = {i: i for i in range(n)}
-        self.fresh = n
-
-    def join(self, into, other):
-        self.groups[into] += self.groups.pop(other)
-        for m in self.groups[into]:
-            self.of[m] = into
-
-    def merge_if(self, i, j, similar) -> bool:
-        p, q = self.of[i], self.of[j]
-        if p == q or any(not similar(x, y) for x in self.groups[p] for y in self.groups[q]):
-            return False
-        self.join(q, p) if len(self.groups[p]) <= len(self.groups[q]) else self.join(p, q)
-        return True
-
-    def drop(self, m):
-        g = self.groups[self.of[m]]
-        if len(g) > 1:
-            g.remove(m)
-            self.groups[self.fresh] = [m]
-            self.of[m] = self.fresh
-            self.fresh += 1
-
-    def multiple(self):
-        return [list(g) for g in self.groups.values() if len(g) > 1]
+def pairwise(values, measure) -> np.ndarray:
+    return np.array([[measure(x, y) for y in values] for x in values]).reshape(len(values), len(values))
+
+
+def usable(rows):
+    """Files with a hash in order of hash and path, the first of each path whatever its case and slashes."""
+    ordered = sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1]))
+    by_path = {}
+    for r in ordered:
+        by_path.setdefault(r[1].replace("\\", "/").lower(), r)
+    return list(by_path.values())
+
+
+def start(md5) -> tuple[np.ndarray, np.ndarray]:
+    """Files of equal content share the label of the first; all others have their own."""
+    first = {}
+    label = np.array([i if m is None else first.setdefault(m, i) for i, m in enumerate(md5)], int)
+    place = np.array([(label[:i] == label[i]).sum() for i in range(len(label))], int)
+    return label, place
+
+
+def merge_in_order(label, place, pairs, allowed) -> int:
+    """Join the labels of each pair where every cross pair is allowed; how many pairs joined two."""
+    done = 0
+    for i, j in pairs:
+        a, b = label == label[i], label == label[j]
+        if label[i] != label[j] and allowed[np.ix_(a, b)].all():
+            # The larger side keeps its places; a tie keeps the second.
+            head, tail = (a, b) if a.sum() > b.sum() else (b, a)
+            place[tail] += place[head].max() + 1
+            label[tail] = label[head][0]
+            done += 1
+    return done
+
+
+def evict(label, place, doomed) -> None:
+    """Files of groups that are ``doomed`` become groups of one."""
+    together = (label[:, None] == label[None, :]).sum(axis=1) > 1
+    gone = np.flatnonzero(doomed & together)
+    # Were everyone to go, all are alone already.
+    label[gone] = label.max(initial=0) + 1 + np.arange(len(gone))
+    place[gone] = 0
+
+
+def split(label, place, fits, limit) -> None:
+    """Groups above ``limit``: each file, in order of place, joins the first part that it fits in whole."""
+    for name in np.unique(label):
+        members = np.flatnonzero(label == name)
+        if len(members) <= limit:
+            continue
+        members = members[np.argsort(place[members], kind="stable")]
+        part = np.full(len(members), -1)
+        for k in range(len(members)):
+            misfits = set(part[:k][~fits[members[k], members[:k]]].tolist())
+            part[k] = next(p for p in range(k + 1) if p not in misfits)
+        label[members] = label.max() + 1 + part
 
 
 def run(rows, mode, t=8, c=0.93, limit=20):
     """rows: (file_id, path, phash, md5, vector or None) -> (set of groups, suspects, confirmed)."""
-    rows = sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1]))
-    seen, kept = set(), []
-    for r in rows:
-        key = r[1].replace("\\", "/").lower()
-        if key not in seen:
-            seen.add(key)
-            kept.append(r)
-    n, h, vec = len(kept), [r[2] for r in kept], [r[4] for r in kept]
-    part, first = Partition(n), {}
-    for i, r in enumerate(kept):
-        if r[3] is not None:
-            if r[3] in first:
-                part.join(part.of[first[r[3]]], part.of[i])
-            else:
-                first[r[3]] = i
-    open_pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if part.of[i] != part.of[j]]
+    files = usable(rows)
+    n = len(files)
+    label, place = start([r[3] for r in files])
+    dist = pairwise([r[2] for r in files], popcount)
+    sim = pairwise([r[4] for r in files], dots)
+    seen = np.array([r[4] is not None for r in files], bool)
+    both = seen[:, None] & seen[None, :]
+    alike = both & (sim >= c)
+    apart = np.argwhere(np.triu(label[:, None] != label[None, :], 1)) if n else np.zeros((0, 2), int)
     suspects = confirmed = 0
-
-    def split(fits):
-        for g in part.multiple():
-            if len(g) <= limit:
-                continue
-            subs = []
-            for m in g:
-                home = next((s for s in subs if all(fits(m, x) for x in s)), None)
-                if home is None:
-                    subs.append([m])
-                else:
-                    home.append(m)
-            old = part.of[g[0]]
-            del part.groups[old]
-            for s in subs:
-                part.groups[part.fresh] = s
-                for m in s:
-                    part.of[m] = part.fresh
-                part.fresh += 1
-
-    def alike(x, y):
-        return vec[x] is not None and vec[y] is not None and dots(vec[x], vec[y]) >= c
-
     if mode == "ai":
-        ranked = [(i, j) for i, j in open_pairs if alike(i, j)]
-        ranked.sort(key=lambda p: -round(dots(vec[p[0]], vec[p[1]]), 9))
-        suspects = len(ranked)
-        confirmed = sum(part.merge_if(i, j, alike) for i, j in ranked)
-        strict = c + (1 - c) * 0.5
-        split(lambda x, y: vec[x] is not None and vec[y] is not None and dots(vec[x], vec[y]) >= strict)
+        ranked = apart[alike[tuple(apart.T)]]
+        ranked = ranked[np.argsort(-np.round(sim[tuple(ranked.T)], 9), kind="stable")]
+        suspects, confirmed = len(ranked), merge_in_order(label, place, ranked, alike)
+        split(label, place, both & (sim >= c + (1 - c) * 0.5), limit)
     else:
-        sure = [(i, j) for i, j in open_pairs if popcount(h[i], h[j]) <= t]
-        for i, j in sorted(sure, key=lambda p: popcount(h[p[0]], h[p[1]])):
-            part.merge_if(i, j, lambda x, y: popcount(h[x], h[y]) <= t)
+        gaps = dist[tuple(apart.T)]
+        merge_in_order(label, place, apart[np.argsort(gaps, kind="stable")][: (gaps <= t).sum()], dist <= t)
         if mode != "phash":
-            doubtful = [(i, j) for i, j in open_pairs if t < popcount(h[i], h[j]) <= t + 4]
+            doubtful = apart[(gaps > t) & (gaps <= t + 4)]
             suspects = len(doubtful)
-            for g in part.multiple():
-                out = []
-                for m in g:
-                    sims = [dots(vec[m], vec[o]) for o in g if o != m and vec[o] is not None]
-                    if vec[m] is None or (sims and min(sims) < c):
-                        out.append(m)
-                for m in out:
-                    part.drop(m)
-            for i, j in doubtful:
-                if part.of[i] != part.of[j] and alike(i, j):
-                    confirmed += part.merge_if(i, j, lambda x, y: popcount(h[x], h[y]) <= t + 4 and alike(x, y))
-        for g in part.multiple():
-            for m in [m for m in g if max(popcount(h[m], h[o]) for o in g if o != m) > t + 4]:
-                part.drop(m)
-        split(lambda x, y: popcount(h[x], h[y]) <= t // 2)
-    return {frozenset(kept[m][0] for m in g) for g in part.multiple()}, suspects, confirmed
+            peers = (label[:, None] == label[None, :]) & ~np.eye(n, dtype=bool)
+            evict(label, place, ~seen | (peers & both & (sim < c)).any(axis=1))
+            sure = doubtful[alike[tuple(doubtful.T)]]
+            confirmed = merge_in_order(label, place, sure, alike & (dist <= t + 4))
+        peers = label[:, None] == label[None, :]
+        evict(label, place, (peers & (dist > t + 4)).any(axis=1))
+        split(label, place, dist <= t // 2, limit)
+    names = [r[0] for r in files]
+    groups = {frozenset(names[k] for k in np.flatnonzero(label == g)) for g in np.unique(label)}
+    return {g for g in groups if len(g) > 1}, suspects, confirmed

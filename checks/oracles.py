@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from checks import file_queries
+
 M = """
 k AS (SELECT unnest([0, 1, 2, 3]) k),
 v AS (SELECT vec_id * 4 + k AS fid, vec_id AS owner,
@@ -341,6 +343,12 @@ WHERE (project_id, path) NOT IN (SELECT (project_id, path) FROM rt WHERE o_order
         """SELECT file_id FROM c WHERE path NOT LIKE '/library/%' AND md5 NOT IN (SELECT md5 FROM c WHERE path LIKE '/library/%')""",
     ),
     "existing_sources": _with(D, "SELECT file_id FROM c WHERE path IN (SELECT path FROM l)"),
+    "group_write": _with(
+        D,
+        """, og AS (SELECT file_id, project_id, lpad(CAST(min(file_id) OVER (PARTITION BY md5) AS VARCHAR), 12, '0') AS group_id,
+ count(*) OVER (PARTITION BY md5) AS n FROM c)
+SELECT project_id, CAST(file_id AS VARCHAR) AS file_id, group_id FROM og WHERE n >= 2 AND (project_id = 'p0' OR project_id = 'p1' AND file_id % 2 = 0)""",
+    ),
     "content_claims": _with(
         D, "SELECT md5, path AS claim_path FROM c QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY taken_at NULLS FIRST, path) = 1"
     ),
@@ -370,3 +378,4 @@ b AS (SELECT group_id, CASE WHEN NOT starts_with(f, '/library') THEN f ELSE rege
     "delete_list": _with(DECISIONS, "SELECT group_id, file_id, file_size FROM de WHERE NOT keep"),
     "reclaimable": _with(DECISIONS, "SELECT count(*) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes FROM de WHERE NOT keep"),
 }
+ORACLES |= file_queries.ORACLES

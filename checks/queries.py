@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import inputs
+from checks import file_queries, inputs
 from pixelkin import fixtures
 from pixelkin.config import DedupConfig
 from pixelkin.functions import dates, fingerprints, paths
@@ -376,7 +376,7 @@ QUERIES = [
     cascade_delete, project_files, hash_files, vector_cache_lookup, project_list, project_detail,
     root_registration, target_md5_anti, existing_sources, content_claims, destination_conflicts, organize_plan,
     organize_summary, organize_skip_reasons, group_listing, recommended_keeper, folder_breakdown, decisions,
-    delete_list, reclaimable,
+    delete_list, reclaimable, *file_queries.QUERIES,
 ]
 
 

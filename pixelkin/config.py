@@ -24,7 +24,7 @@ class DedupConfig:
     max_group_size: int = MAX_GROUP_SIZE
     component_edge_limit: int = 500_000
     chunk_rows: int = 512
-    split_point_limit: int = 20_000
+    split_point_limit: int = 8_000
 
     @property
     def suspect_max(self) -> int:

@@ -27,8 +27,14 @@ def usable_exif_date(raw: Column) -> Column:
 
 
 def rfc3339(moment: Column) -> Column:
-    """UTC text of a timestamp; needs a UTC session time zone."""
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss+00:00")
+    """UTC text of a timestamp with its fraction, in as few groups of three digits as it takes; needs a UTC session."""
+    micros = F.pmod(F.unix_micros(moment), F.lit(1_000_000))
+    fraction = (
+        F.when(micros == 0, "")
+        .when(micros % 1000 == 0, F.concat(F.lit("."), F.lpad((micros / 1000).cast("int").cast("string"), 3, "0")))
+        .otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+    )
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
 
 
 def taken_at(file_type: Column, exif: Column, modified_at: Column) -> Column:

@@ -26,6 +26,8 @@ def chunked(df: DataFrame, key: list[str], spread_by: str, fields: list[str], si
     spread = df.join(large, key, "left").withColumn(
         "chunk", F.pmod(F.xxhash64(spread_by), pieces.cast("long")).cast("long")
     )
+    # The join above may deal rows out by key alone, which would serve the grouping but leave a hot key in one task.
+    spread = spread.repartition(*key, "chunk")
     return spread.groupBy(*key, "chunk").agg(F.collect_list(F.struct(*fields)).alias("items"))
 
 

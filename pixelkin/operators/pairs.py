@@ -26,8 +26,8 @@ _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dist", pa.int3
 
 # Rough seconds per shuffled key, per candidate verified in the join, per pair compared in a block.
 _KEY_COST, _CANDIDATE_COST, _BLOCK_COST = 1e-6, 5e-8, 1.5e-9
-# Blocks: at least this many hashes each, and not more blocks than this per side.
-_BLOCK_ROWS, _MAX_BLOCKS = 4096, 512
+# Hashes in a block, whatever their number; more hashes make more blocks and tasks.
+_BLOCK_ROWS = 4096
 # Band values shared by more hashes than this are compared in blocks instead of inside one join task.
 HOT_BAND_ROWS = 50_000
 _MASK64 = (1 << 64) - 1
@@ -224,8 +224,7 @@ def _hot_pairs(left: DataFrame, right: DataFrame, bands: list[Band], threshold:
 
 def grid_hamming_pairs(hashes: DataFrame, threshold: int, n: int) -> DataFrame:
     """Pairs by comparing blocks of hashes; the exact way for thresholds that bands cannot prune."""
-    pieces = max(math.ceil(n / _BLOCK_ROWS), busy_blocks(hashes.sparkSession, n))
-    pieces = max(1, min(pieces, _MAX_BLOCKS))
+    pieces = max(1, math.ceil(n / _BLOCK_ROWS), busy_blocks(hashes.sparkSession, n))
     chunks = grid_chunks(hashes, "phash", ["phash"], pieces)
     return grid_pairs(chunks, pieces).mapInArrow(_grid_kernel(threshold), PAIRS_SCHEMA)
 

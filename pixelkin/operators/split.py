@@ -33,22 +33,35 @@ def _fit_matrix(metric: str, limit: float, left: pa.Array, right: pa.Array) -> n
     return fits
 
 
-def first_fit(count: int, allowed: list[list[int]], start: int, row_of) -> list[int]:
+#: Rows of the fit matrix worked out at once.
+_FIT_ROWS = 256
+
+
+def first_fit(count: int, allowed: list[list[int]], start: int, rows_of) -> list[int]:
     """Part number of each value in order.
 
-    ``allowed[i]`` lists the earlier parts, in order, that accept value i; new parts are numbered from
-    ``start``; ``row_of(i)`` tells which of the values fit value i.
+    ``allowed[i]`` lists the earlier parts that accept value i; new parts are numbered from ``start``, above all
+    earlier ones; ``rows_of(a, b)`` tells which of the values fit the values a to b. Each part keeps a mask of the
+    values that fit all of its members.
     """
-    added: dict[int, list[int]] = {}
-    part_of, fresh = [], start
-    for i in range(count):
-        fits = row_of(i)
-        options = [*allowed[i], *range(start, fresh)]
-        chosen = next((p for p in options if all(fits[m] for m in added.get(p, ()))), None)
-        if chosen is None:
-            chosen, fresh = fresh, fresh + 1
-        added.setdefault(chosen, []).append(i)
-        part_of.append(chosen)
+    names = sorted({p for parts in allowed for p in parts})
+    at = {p: k for k, p in enumerate(names)}
+    open_to = np.zeros((len(names) + 16, count), bool)
+    for i, parts in enumerate(allowed):
+        open_to[[at[p] for p in parts], i] = True
+    part_of: list[int] = []
+    for first in range(0, count, _FIT_ROWS):
+        fits = rows_of(first, min(first + _FIT_ROWS, count))
+        for i in range(first, first + len(fits)):
+            k = int(open_to[: len(names), i].argmax()) if names else 0
+            if not names or not open_to[k, i]:
+                k = len(names)
+                names.append(max(start, names[-1] + 1 if names else start))
+                if k == len(open_to):
+                    open_to = np.concatenate([open_to, np.zeros_like(open_to)])
+                open_to[k] = True
+            open_to[k] &= fits[i - first]
+            part_of.append(names[k])
     return part_of
 
 
@@ -70,7 +83,7 @@ def _place_kernel(metric: str, limit: float, grp_type: pa.DataType):
                     size,
                     [x or [] for x in allowed.slice(at, size).to_pylist()],
                     starts[r],
-                    lambda i, own=own: _fit_matrix(metric, limit, own.slice(i, 1), own)[0],
+                    lambda a, b, own=own: _fit_matrix(metric, limit, own.slice(a, b - a), own),
                 )
                 rows.append(
                     {
@@ -175,7 +188,7 @@ def _place_in_batches(points: DataFrame, metric: str, limit: float, batch_rows:
 
 
 def split_by_first_fit(
-    points: DataFrame, metric: str, limit: float, point_limit: int = 20_000, chunk_rows: int = 512
+    points: DataFrame, metric: str, limit: float, point_limit: int = 8_000, chunk_rows: int = 512
 ) -> DataFrame:
     """(grp, id, part) for ``points`` (grp, pos, id, value); ``pos`` orders the values of a group.
 

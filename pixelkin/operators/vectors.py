@@ -21,8 +21,8 @@ from pixelkin.operators.skew import keyed_join
 from pixelkin.session import is_empty, materialize
 
 DIGITS = 9
-# Blocks of about this size, at most this many per side.
-_BLOCK_BYTES, _MAX_BLOCKS = 4 << 20, 4096
+# Size of a block, whatever the number of vectors; more vectors make more blocks and tasks.
+_BLOCK_BYTES = 4 << 20
 
 
 def vector_key(vector) -> F.Column:
@@ -94,8 +94,7 @@ def cosine_pairs(points: DataFrame, threshold: float, blocks: int | None = None)
     points = points.where(F.size("vector") > 0)
     if blocks is None:
         n, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-        blocks = max(math.ceil(n * width * 8 / _BLOCK_BYTES), busy_blocks(points.sparkSession, n))
-        blocks = max(1, min(blocks, _MAX_BLOCKS))
+        blocks = max(1, math.ceil(n * width * 8 / _BLOCK_BYTES), busy_blocks(points.sparkSession, n))
     chunks = grid_chunks(points, "id", ["id", "vector"], blocks)
     found = grid_pairs(chunks, blocks).mapInArrow(_pair_kernel(threshold), _pair_schema(points.schema["id"].dataType))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")

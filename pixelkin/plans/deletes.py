@@ -14,8 +14,9 @@ WOULD_DELETE, DELETED, ABSENT, FAILED, OUTSIDE = "would_delete", "deleted", "abs
 
 
 def delete_plan(doomed: DataFrame, target_dir: str) -> DataFrame:
-    """(path, allowed): distinct paths to delete and whether they lie below the target folder."""
-    return doomed.select("path").distinct().withColumn("allowed", under_dir(F.col("path"), target_dir, boundary=True))
+    """(path, allowed): distinct paths to delete and whether they lie below the target folder, without steps upwards."""
+    inside = under_dir(F.col("path"), target_dir, boundary=True) & ~F.col("path").rlike(r"(^|[/\\])\.\.([/\\]|$)")
+    return doomed.select("path").distinct().withColumn("allowed", inside)
 
 
 def execute_deletes(doomed: DataFrame, target_dir: str, dry_run: bool = True) -> DataFrame:
@@ -40,7 +41,7 @@ def execute_deletes(doomed: DataFrame, target_dir: str, dry_run: bool = True) ->
             yield pd.DataFrame({"path": batch["path"], "status": pd.Series(states, dtype=object, index=batch.index)})
 
     plan = materialize(delete_plan(doomed, target_dir), "delete-plan")
-    return materialize(plan.mapInPandas(run, "path string, status string"), "delete-status")
+    return materialize(storage.spread(plan).mapInPandas(run, "path string, status string"), "delete-status")
 
 
 def catalog_after_deletes(files: DataFrame, status: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ unique, so neither a content nor a name shared by very many files gathers them i
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from pixelkin.sources import storage
 READY = "ready"
 SKIP_MISSING, SKIP_CONTENT, SKIP_UNDATED, SKIP_DATE = "source_missing", "same_content", "no_date", "bad_date"
 DONE, FAILED, SKIPPED = "success", "failed", "skipped"
+DEST_EXISTS = "destination_exists"
 
 
 def _order() -> Column:
@@ -52,21 +56,23 @@ def resolve_conflicts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """``wanted`` (path, taken_at, dest_dir, file_name, ...) with a free ``dest_path`` each.
 
     The first file asking for a name gets it unless the name exists on disk. The others get the stem with
-    six hex digits of their path's digest; the few that still collide get the whole digest.
+    six hex digits of their path's digest; the few that still collide get a whole digest, another one each round,
+    until every name is free.
     """
-    digest = F.md5("path")
     ext = F.regexp_extract("file_name", r"[^/]\.([^./]*)$", 1)
     stem = F.when(ext == "", F.col("file_name")).otherwise(file_stem(F.col("file_name")))
     tail = F.when(ext == "", F.lit("")).otherwise(F.concat(F.lit("."), ext))
 
-    def renamed(length: int) -> Column:
-        return F.concat(F.col("dest_dir"), F.lit("/"), stem, F.lit("_"), F.substring(digest, 1, length), tail)
+    def renamed(attempt: int) -> Column:
+        digest = F.md5("path") if attempt < 2 else F.md5(F.concat_ws(":", "path", F.lit(attempt - 1)))
+        shown = F.substring(digest, 1, 6) if attempt == 0 else digest
+        return F.concat(F.col("dest_dir"), F.lit("/"), stem, F.lit("_"), shown, tail)
 
     columns = [*wanted.columns, "dest_path"]
     taken = existing.select(F.col("path").alias("dest_path"))
     rest = wanted.withColumn("_order", _order()).withColumn("dest_path", F.concat_ws("/", "dest_dir", "file_name"))
     settled = None
-    for length in (6, 32):
+    for attempt in count():
         owners = _first_of(rest, "dest_path").join(taken, "dest_path", "left_anti")
         owners = owners.select(F.col("owner").alias("path"), F.lit(True).alias("_own"))
         decided = rest.join(owners, "path", "left").withColumn("_own", F.col("_own").isNotNull())
@@ -77,8 +83,7 @@ def resolve_conflicts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
         if is_empty(rest):
             return settled
         taken = taken.unionByName(won.select("dest_path"))
-        rest = rest.withColumn("dest_path", renamed(length))
-    return settled.unionByName(rest.select(*columns))
+        rest = rest.withColumn("dest_path", renamed(attempt))
 
 
 def organize_plan(
@@ -131,29 +136,30 @@ def organize_plan(
     )
 
 
-def _transfer(source: str, dest: str, move: bool) -> None:
-    """Copy or move one file; safe to repeat after a lost task."""
-    src_fs, src = storage.locate(source)
-    dst_fs, dst = storage.locate(dest)
-    if move and not storage.exists(source) and storage.exists(dest):
-        return
-    dst_fs.create_dir(dst.rsplit("/", 1)[0], recursive=True)
-    if move and src_fs == dst_fs:
-        try:
-            src_fs.move(src, dst)
-            return
-        except OSError:
-            pass  # Other volume: copy, then delete.
-    storage.copy(source, f"{dest}.part")
-    dst_fs.move(f"{dst}.part", dst)
-    if move:
-        src_fs.delete_file(src)
+def _transfer(source: str, dest: str, move: bool) -> str | None:
+    """Copy or move one file; None, or why it was not done. Never touches a file that is there and not the same.
+
+    A destination with the source's size and MD5 is an earlier attempt of our own. A moved source is gone when its task
+    runs again; only then does its absence count as success.
+    """
+    if not storage.exists(source):
+        again = move and TaskContext.get().attemptNumber() > 0 and storage.exists(dest)
+        return None if again else SKIP_MISSING
+    try:
+        storage.place(source, dest, move)
+    except FileExistsError:
+        if not storage.same_content(source, dest):
+            return DEST_EXISTS
+    if move and source != dest:
+        storage.remove(source)
+    return None
 
 
 def execute_organize(plan: DataFrame) -> DataFrame:
     """Carry out the ready rows of a plan -> status rows (file_id, path, dest_path, status, skip_reason).
 
-    Destinations of a plan are distinct, so tasks never touch the same file. The status is written once.
+    Destinations of a plan are distinct, so tasks never touch the same file, and a file that is there already, whatever
+    the plan knew, is never overwritten. The status is written once.
     """
 
     def run(batches):
@@ -165,9 +171,9 @@ def execute_organize(plan: DataFrame) -> DataFrame:
                     notes.append(row.skip_reason)
                     continue
                 try:
-                    _transfer(row.path, row.dest_path, row.action == "move")
-                    states.append(DONE)
-                    notes.append(None)
+                    reason = _transfer(row.path, row.dest_path, row.action == "move")
+                    states.append(DONE if reason is None else FAILED)
+                    notes.append(reason)
                 except OSError as error:
                     states.append(FAILED)
                     notes.append(type(error).__name__)
@@ -183,7 +189,8 @@ def execute_organize(plan: DataFrame) -> DataFrame:
 
     schema = "file_id string, path string, dest_path string, status string, skip_reason string"
     # The plan is fixed in a table first: planning again while files move would see another disk.
-    return materialize(materialize(plan, "plan").mapInPandas(run, schema), "organize-status")
+    fixed = storage.spread(materialize(plan, "plan"))
+    return materialize(fixed.mapInPandas(run, schema), "organize-status")
 
 
 def organize_summary(rows: DataFrame) -> DataFrame:

@@ -22,8 +22,16 @@ _BATCH = 10_000
 
 
 def _loops(path: str) -> bool:
-    """A link that points back to a folder it lies in."""
-    return os.path.islink(path) and (os.path.dirname(path) + "/").startswith(os.path.realpath(path).rstrip("/") + "/")
+    """A link to a folder that the walked path has come through, under whatever name."""
+    if not os.path.islink(path):
+        return False
+    target, above = os.path.realpath(path), os.path.dirname(path)
+    while True:
+        if os.path.realpath(above) == target:
+            return True
+        if above in ("", "/"):
+            return False
+        above = os.path.dirname(above)
 
 
 def _entries(folder: str):
@@ -31,8 +39,10 @@ def _entries(folder: str):
     prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
     try:
         found = system.get_file_info(fs.FileSelector(inner, recursive=False))
-    except OSError:
-        return  # Unreadable folders are passed over.
+    except (FileNotFoundError, PermissionError):
+        # Gone meanwhile, or closed to us: reported. Any other fault of the storage fails the task.
+        yield folder, None, 0, None
+        return
     for info in found:
         is_dir = info.type == fs.FileType.Directory
         if info.type == fs.FileType.NotFound or (is_dir and not prefix and _loops(info.path)):
@@ -49,10 +59,10 @@ def _list_folders(batches):
             for entry in _entries(folder):
                 rows.append((root, *entry))
                 if len(rows) >= _BATCH:
-                    yield pd.DataFrame(rows, columns=names).astype({"modified_us": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype({"modified_us": "Int64", "is_dir": "boolean"})
                     rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=names).astype({"modified_us": "Int64"})
+        yield pd.DataFrame(rows, columns=names).astype({"modified_us": "Int64", "is_dir": "boolean"})
 
 
 def walk(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -60,17 +70,24 @@ def walk(spark: SparkSession, roots: list[str]) -> DataFrame:
 
     A file below two overlapping roots is listed once per root.
     """
+    return walk_folders(spark, roots)[0]
+
+
+def walk_folders(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(files as ``walk`` lists them, folders (root, path) that could not be read)."""
     present = [r.rstrip("/") or "/" for r in roots if storage.exists(r)]
     frontier = spark.createDataFrame([(r, r) for r in present], "root string, path string")
-    files = None
+    files = closed = None
     width = spark.sparkContext.defaultParallelism
     while True:
         level = materialize(frontier.repartition(width).mapInPandas(_list_folders, _ENTRY), "listing")
         found = level.where(~F.col("is_dir")).drop("is_dir")
         files = found if files is None else files.unionByName(found)
+        shut = level.where(F.col("is_dir").isNull()).select("root", "path")
+        closed = shut if closed is None else closed.unionByName(shut)
         frontier = level.where("is_dir").select("root", "path")
         if is_empty(frontier):
-            return files
+            return files, closed
 
 
 def list_media(spark: SparkSession, roots: list[str]) -> DataFrame:

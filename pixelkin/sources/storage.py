@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyarrow import fs
+from pyspark.sql import DataFrame
+
+#: Files that one task handles.
+TASK_FILES = 500
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A stored table of files, dealt out so that each task has a bounded number of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-rows.count() // TASK_FILES)))
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:/") and "://" not in path:
+        return fs.LocalFileSystem(), path[len("file:") :]
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -30,6 +46,61 @@ def copy(source: str, dest: str) -> None:
             writer.write(chunk)
 
 
+def same_content(a: str, b: str) -> bool:
+    """Whether two files have equal size and MD5."""
+    return _size(a) == _size(b) and _md5(a) == _md5(b)
+
+
+def _size(path: str) -> int:
+    system, inner = locate(path)
+    return system.get_file_info(inner).size
+
+
+def _md5(path: str) -> str:
+    digest = hashlib.md5()
+    with open_stream(path) as reader:
+        while chunk := reader.read(1 << 20):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def place(source: str, dest: str, link: bool = False) -> None:
+    """Copy ``source`` to ``dest``, which must not exist; raises FileExistsError and leaves ``dest`` alone otherwise.
+
+    With ``link`` a second name will do where one disk holds both.
+
+    The copy is made under a name of its own first. On a local disk it then takes its place as a link, which the system
+    refuses when the name is taken; elsewhere the name is looked up just before.
+    """
+    system, inner = locate(dest)
+    if exists(dest):
+        raise FileExistsError(dest)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    own, path = locate(source)
+    if link and isinstance(system, fs.LocalFileSystem) and isinstance(own, fs.LocalFileSystem):
+        try:
+            os.link(path, inner)
+            return
+        except FileExistsError:
+            raise
+        except OSError:
+            pass  # Other volume, or no links: copy.
+    part = f".{uuid.uuid4().hex}.part"
+    copy(source, dest + part)
+    try:
+        if isinstance(system, fs.LocalFileSystem):
+            os.link(inner + part, inner)
+        elif exists(dest):
+            raise FileExistsError(dest)
+        else:
+            system.move(inner + part, inner)
+            return
+    except BaseException:
+        system.delete_file(inner + part)
+        raise
+    system.delete_file(inner + part)
+
+
 def open_stream(path: str):
     system, inner = locate(path)
     return system.open_input_stream(inner)

@@ -21,7 +21,7 @@ def ingest(
     catalog_path: str,
     checkpoint: str,
     project_id: str,
-    decoder: Decoder | None = None,
+    decoder: Decoder,
 ):
     """A query that takes everything new and stops; start it again for the next round.
 
@@ -40,10 +40,8 @@ def ingest(
         session = batch.sparkSession
         files = read_table(session, catalog_path, FILES)
         fresh = materialize(new_listing_rows(batch.dropDuplicates(["path"]), files, project_id), "new-files")
-        if decoder is not None:
-            hashes = decoded_hashes(fresh.where(F.col("file_type") == "image"), decoder)
-        else:
-            hashes = session.createDataFrame([], "path string, phash long")
+        # A known path is never read again, so an image must get its hash now.
+        hashes = decoded_hashes(fresh.where(F.col("file_type") == "image"), decoder)
         store_files(materialize(catalog_append(describe(fresh, hashes, project_id), files), "ingested"), catalog_path)
 
     return (

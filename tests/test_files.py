@@ -146,6 +146,55 @@ def test_organize_copy_then_move(spark, folder):
     assert gone.count() == held.count()
 
 
+def test_organize_never_overwrites(spark, folder):
+    """A stale listing, a destination of other content, one of our own from before, and a repeated run."""
+    src, target = str(folder / "src"), folder / "out"
+    rows, _ = scan(spark, [src], spark.createDataFrame([], FILES), "p", decode)
+    plan = organize.organize_plan(rows, listing.list_media(spark, [src]), str(target), "YYYY")
+    (target / "2019").mkdir(parents=True)
+    (target / "2019" / "dated.jpg").write_bytes(b"precious")
+    planned = {r.path: r.dest_path for r in plan.collect()}
+    song = planned[src + "/a/song.mp3"]
+    os.makedirs(os.path.dirname(song), exist_ok=True)
+    with open(song, "wb") as out:
+        out.write(b"la la")
+    for _ in range(2):
+        status = {r.path: (r.status, r.skip_reason) for r in organize.execute_organize(plan).collect()}
+        assert status[src + "/a/dated.jpg"] == (organize.FAILED, organize.DEST_EXISTS)
+        assert status[src + "/a/song.mp3"] == (organize.DONE, None)
+        assert (target / "2019" / "dated.jpg").read_bytes() == b"precious"
+    assert not [n for _, _, names in os.walk(target) for n in names if n.endswith(".part")]
+    moved = organize.execute_organize(plan.withColumn("action", F.lit("move")))
+    assert os.path.exists(src + "/a/dated.jpg") and not os.path.exists(src + "/a/song.mp3")
+    assert moved.where("status = 'failed'").count() == 1
+
+
+def test_names_are_free_whatever_exists(spark):
+    """The first names that a conflict would get are all taken on disk."""
+    wanted = [("/a/x.jpg", None, "/t", "x.jpg"), ("/b/x.jpg", None, "/t", "x.jpg")]
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    disk = ["/t/x.jpg"]
+    for path, *_ in wanted:
+        disk += [f"/t/x_{digest(path)[:6]}.jpg", f"/t/x_{digest(path)}.jpg", f"/t/x_{digest(path + ':1')}.jpg"]
+    rows = spark.createDataFrame(wanted, "path string, taken_at string, dest_dir string, file_name string")
+    found = organize.resolve_conflicts(rows, spark.createDataFrame([(d,) for d in disk], "path string")).collect()
+    names = {r.dest_path for r in found}
+    assert len(names) == 2 and names.isdisjoint(disk)
+
+
+def test_links_that_lead_back(spark, tmp_path):
+    """A root that is a link itself, and two folders that link to each other."""
+    (tmp_path / "real" / "a").mkdir(parents=True)
+    (tmp_path / "real" / "b").mkdir()
+    (tmp_path / "real" / "one.jpg").write_bytes(b"1")
+    os.symlink(tmp_path / "real", tmp_path / "root")
+    os.symlink(tmp_path / "root", tmp_path / "real" / "a" / "up")
+    os.symlink(tmp_path / "real" / "a", tmp_path / "real" / "b" / "x")
+    os.symlink(tmp_path / "real" / "b", tmp_path / "real" / "a" / "y")
+    paths = [r.path for r in listing.list_media(spark, [str(tmp_path / "root")]).collect()]
+    assert paths == [str(tmp_path / "root" / "one.jpg")]
+
+
 def test_guarded_delete(spark, folder):
     src = str(folder / "src")
     doomed = [(src + "/one.PNG",), (src + "/never.png",), (str(folder / "src2" / "x.png"),)]
@@ -155,6 +204,8 @@ def test_guarded_delete(spark, folder):
     status = deletes.execute_deletes(frame, src, dry_run=False)
     assert [r.status for r in status.orderBy("path").collect()] == [deletes.ABSENT, deletes.DELETED, deletes.OUTSIDE]
     assert not os.path.exists(src + "/one.PNG")
+    upwards = spark.createDataFrame([(src + "/../src/a/song.mp3",), (src + "/..",)], "path string")
+    assert {r.status for r in deletes.execute_deletes(upwards, src, dry_run=False).collect()} == {deletes.OUTSIDE}
     assert [r.path for r in deletes.catalog_after_deletes(frame, status).collect()] == [doomed[2][0]]
 
 

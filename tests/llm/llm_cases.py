@@ -30,7 +30,7 @@ def documents(seed: int = 1, families: int = 6) -> list[tuple]:
     texts.append(texts[-1])
     texts.append("x" * 30_000)
     texts.append("the same line\n" * 400 + "ending 中文 \U0001f600 <|endoftext|> \u0000 done")
-    texts.append(f"password: hunter22 and AKIA{'Q7' * 9} or {'0123456789abcdef' * 3} token=abc {encoded(rng, 44)}")
+    texts.append(f"password: hunter22 and AKIA{'Q7' * 9} or {'0123456789abcdef' * 3} token=abc {encoded(rng, 44)} and some more words")
     rows = [(k * 3, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "b", None]), 5, "w", "r", "s", "q") for k, t in enumerate(texts)]
     rows.append(rows[-2])
     rows.append((None, "one two three four", None, None, None, None, None, None, None))

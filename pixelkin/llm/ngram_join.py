@@ -33,7 +33,7 @@ from pixelkin.operators.components import components
 from pixelkin.session import materialize
 
 #: Characters of text whose shingles meet in one task, and bounds of a verified block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -66,9 +66,18 @@ def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, ref long")
 
 
+def _short(counts: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Run lengths as 16-bit numbers; a longer run is listed as several, with its entries in ``columns`` repeated."""
+    parts = (counts + 0xFFFE) // 0xFFFF
+    whole = np.repeat(np.full(len(counts), 0xFFFF), parts)
+    ends = np.cumsum(parts) - 1
+    whole[ends] = counts - 0xFFFF * (parts - 1)
+    return [whole.astype("<u2"), *(np.repeat(c, parts) for c in columns)]
+
+
 def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     """Shingles by block of the hash range, packed: a row for each batch and block."""
-    names = ["block", "refs", "counts", "high", "low"]
+    names = ["block", "refs", "sizes", "counts", "high", "low"]
 
     def run(batches):
         for batch in batches:
@@ -81,7 +90,8 @@ def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
             if not refs:
                 continue
             every = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            sizes = np.array([len(x) for x in parts])
+            owner = np.repeat(np.arange(len(parts)), sizes)
             block = ((every & _LOW) % np.uint64(blocks)).astype(np.uint32)
             order = np.argsort(block, kind="stable")
             block, owner, token = block[order], owner[order], every[order] >> np.uint64(24)
@@ -89,70 +99,84 @@ def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(block, prepend=block[0] ^ 1))
             refs, rows = np.array(refs, "<i8"), []
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
-                docs_here, counts = np.unique(owner[a:b], return_counts=True)
-                rows.append(
-                    (
-                        int(block[a]),
-                        refs[docs_here].tobytes(),
-                        counts.astype("<u4").tobytes(),
-                        high[a:b].tobytes(),
-                        low[a:b].tobytes(),
-                    )
-                )
+                here, runs = np.unique(owner[a:b], return_counts=True)
+                runs, here = _short(runs, here)
+                packed = (refs[here], sizes[here].astype("<u4"), runs, high[a:b], low[a:b])
+                rows.append((int(block[a]), *(x.tobytes() for x in packed)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
 
-    return docs.select("text").mapInArrow(run, "block long, refs binary, counts binary, high binary, low binary")
+    schema = "block long, refs binary, sizes binary, counts binary, high binary, low binary"
+    return docs.select("text").mapInArrow(run, schema)
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one block, the shingles of two or more classes: a row for each class, with class counts."""
-    refs, back = np.unique(_joined(table["refs"], "<i8"), return_inverse=True)
-    token = (_joined(table["high"], "<u4").astype(np.uint64) << np.uint64(8)) | _joined(table["low"], np.uint8)
-    # A block has far fewer than 2^24 classes, and tokens have 40 bits.
-    pairs = np.unique((token << np.uint64(24)) | np.repeat(back, _joined(table["counts"], "<u4")).astype(np.uint64))
-    token, owner = pairs >> np.uint64(24), (pairs & _LOW).astype(np.int64)
-    runs = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-    many = np.diff(runs, append=len(token))
-    count = np.repeat(many, many)
-    keep = count > 1
-    token, owner, count = token[keep] | np.uint64(key[0].as_py() << 40), owner[keep], count[keep]
-    order = np.argsort(owner, kind="stable")
-    token, owner, count = token[order].astype("<u8"), owner[order], count[order].astype("<u4")
-    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-    ends = [*cuts[1:].tolist(), len(owner)]
-    spans = list(zip(cuts.tolist(), ends))
-    return pa.table(
-        {
-            "ref": pa.array(refs[owner[cuts]], pa.int64()),
-            "m": pa.array([b - a for a, b in spans], pa.int64()),
-            "tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()),
-            "counts": pa.array([count[a:b].tobytes() for a, b in spans], pa.binary()),
-        }
-    )
+def _shared(homes: int):
+    """Of one block, the shingles of two or more classes, with class counts, packed by the home of their class."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        refs, first, back = np.unique(_joined(table["refs"], "<i8"), return_index=True, return_inverse=True)
+        sizes = _joined(table["sizes"], "<u4")[first]
+        token = (_joined(table["high"], "<u4").astype(np.uint64) << np.uint64(8)) | _joined(table["low"], np.uint8)
+        # A block has far fewer than 2^24 classes, and tokens have 40 bits.
+        pairs = (token << np.uint64(24)) | np.repeat(back, _joined(table["counts"], "<u2")).astype(np.uint64)
+        del token
+        pairs = np.unique(pairs)
+        token, owner = pairs >> np.uint64(24), (pairs & _LOW).astype(np.int64)
+        runs = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+        many = np.diff(runs, append=len(token))
+        count = np.repeat(many, many)
+        keep = count > 1
+        token, owner, count = token[keep] | np.uint64(key[0].as_py() << 40), owner[keep], count[keep]
+        home = arrow_text.mix(refs.view(np.uint64)) % np.uint64(homes)
+        order = np.lexsort((owner, home[owner]))
+        token, owner, count = token[order], owner[order], count[order]
+        at = home[owner]
+        cuts = np.flatnonzero(np.diff(at, prepend=~at[:1]))
+        rows = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+            here, lengths = np.unique(owner[a:b], return_counts=True)
+            lengths, here = _short(lengths, here)
+            packed = (refs[here], sizes[here].astype("<u4"), lengths, token[a:b].astype("<u8"), count[a:b].astype("<u4"))
+            rows.append((int(at[a]), *(x.tobytes() for x in packed)))
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64()] + [pa.binary()] * 5
+        names = ["home", "refs", "sizes", "runs", "tokens", "counts"]
+        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(names, columns, kinds)})
+
+    return run
 
 
 def _profiled(percent: int):
-    """Shingles of a class in global order, its prefix and the name of its group."""
+    """Of the classes of one home, those that can have a partner: shingles in global order, prefix, name of the group."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for ref, n, copies, tokens, counts in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                token, count = np.frombuffer(b"".join(tokens), "<u8"), np.frombuffer(b"".join(counts), "<u4")
-                token = token[np.lexsort((token, count))]
-                prefix = token[: len(token) - _needed(n, percent) + 1]
-                group = hashlib.blake2b(n.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
-                rows.append(
-                    (ref, n, copies, token.tobytes(), prefix.view("<i8"), int.from_bytes(group, "little", signed=True))
-                )
-            kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64()), pa.int64()]
-            names = ["ref", "n", "copies", "tokens", "prefix", "gid"]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        runs = _joined(table["runs"], "<u2")
+        refs, first, owner = np.unique(_joined(table["refs"], "<i8"), return_index=True, return_inverse=True)
+        sizes = _joined(table["sizes"], "<u4")[first].astype(np.int64)
+        owner = np.repeat(owner, runs)
+        shared = np.bincount(owner, minlength=len(refs))
+        able = 100 * shared >= percent * sizes
+        keep = able[owner]
+        owner = owner[keep]
+        token, count = _joined(table["tokens"], "<u8")[keep], _joined(table["counts"], "<u4")[keep]
+        order = np.lexsort((token, count, owner))
+        token = token[order]
+        ends = np.cumsum(np.where(able, shared, 0))
+        rows = []
+        for k in np.flatnonzero(able).tolist():
+            own, n = token[ends[k] - shared[k] : ends[k]], int(sizes[k])
+            # Shingles of this class alone come first in the order and take their share of the prefix.
+            prefix = own[: len(own) - _needed(n, percent) + 1]
+            group = hashlib.blake2b(n.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
+            name = int.from_bytes(group, "little", signed=True)
+            rows.append((int(refs[k]), n, own.astype("<u8").tobytes(), prefix.view("<i8"), name))
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+        names = ["ref", "n", "tokens", "prefix", "gid"]
+        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(names, columns, kinds)})
 
     return run
 
@@ -236,18 +260,19 @@ def _profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     spark = docs.sparkSession
     # One total decides how many blocks there are, so that a block is bounded at any size.
     chars = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BLOCK_CHARS))
-    shared = (
+    blocks = max(spark.sparkContext.defaultParallelism, -(-chars // BLOCK_CHARS))
+    packed = "refs binary, sizes binary, runs binary, tokens binary, counts binary"
+    profiled = (
         _dealt(docs, width, blocks)
         .groupBy("block")
-        .applyInArrow(_shared, "ref long, m long, tokens binary, counts binary")
-        .groupBy("ref")
-        .agg(F.sum("m").alias("m"), F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
+        .applyInArrow(_shared(blocks), f"home long, {packed}")
+        .groupBy("home")
+        .applyInArrow(_profiled(percent), "ref long, n long, tokens binary, prefix array<long>, gid long")
     )
-    able = shared.join(classes, "ref").where(100 * F.col("m") >= percent * F.col("n"))
-    schema = "ref long, n long, copies long, tokens binary, prefix array<long>, gid long"
-    profiled = able.select("ref", "n", "copies", "tokens", "counts").mapInArrow(_profiled(percent), schema)
-    return materialize(profiled, "profiles")
+    # Stored by itself: Spark sees its size before it joins.
+    several = materialize(classes.where("copies > 1").select("ref", "copies"), "several")
+    counted = profiled.join(several, "ref", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    return materialize(counted, "profiles")
 
 
 def _candidate_groups(profiles: DataFrame, percent: int) -> DataFrame:

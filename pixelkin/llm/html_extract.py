@@ -137,14 +137,11 @@ def text_nodes(page: str) -> list[_Node]:
         if tag in _ENDS_P:
             closes, bounds = {"p"}, _BOUNDS_P
         for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in closes:
-                del open_[k:]
-                if tag in ("tr",) and k and open_[-1][0] in closes:
-                    continue
-                break
             if open_[k][0] in bounds:
                 break
-        if tag in _VOID or attributes.endswith("/") and tag not in _RAW and tag in _VOID:
+            if open_[k][0] in closes:
+                del open_[k:]
+        if tag in _VOID:
             refresh()
             continue
         number += 1

@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     clusters = components(materialize(edges, "bands"), "ref", "rep").toDF("ref", "cluster")
     wanted = sketched.select("doc_id", "ref").join(clusters, "ref").groupBy("ref", "cluster").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(wanted.where("doc_id IS NOT NULL"), "doc_id")
-    members = ngram_join.members(texts.dropDuplicates(["ref"])).join(sets.select("ref", "n", "copies"), "ref")
-    links = materialize(ngram_join.verified_links(members, percent), "links")
+    members = materialize(ngram_join.members(texts.dropDuplicates(["ref"])), "members")
+    counted = members.select("cluster", "ref").join(sets.select("ref", "n", "copies"), "ref")
+    links = materialize(ngram_join.verified_links(counted, members, percent), "links")
     return ngram_join.labelled(
         sketched.withColumnRenamed("n", "n_shingles"), sets.select("ref", "copies", "lowest"), links
     ).select("doc_id", F.col("component_id").alias("class_id"), "n_links")

@@ -283,11 +283,18 @@ def _candidate_groups(profiles: DataFrame, percent: int) -> DataFrame:
         profiles.dropDuplicates(["gid"])
         .select("gid", level.alias("level"), F.explode("prefix").alias("token"))
     )
-    first = entries.groupBy("token", "level").agg(F.min("gid").alias("rep"), F.count("*").alias("here"))
+    shared = entries.groupBy("token").agg(
+        F.min("gid").alias("rep"), F.count("*").alias("here"), (F.max("level") - F.min("level")).alias("span")
+    ).where("here > 1")
+    met = materialize(entries.join(shared.drop("here"), "token"), "meetings")
+    # Where all sizes lie that close, one representative serves the shingle; else each size class has its own.
+    near = met.where("span <= 1").select("gid", "rep")
+    wide = met.where("span > 1").select("token", "level", "gid")
+    first = wide.groupBy("token", "level").agg(F.min("gid").alias("rep"))
     above = first.select("token", (F.col("level") - 1).alias("level"), F.col("rep").alias("next"))
-    inside = entries.join(first.where("here > 1"), ["token", "level"]).select("gid", "rep")
+    inside = wide.join(first, ["token", "level"]).select("gid", "rep")
     across = first.join(above, ["token", "level"]).select(F.col("rep").alias("gid"), F.col("next").alias("rep"))
-    edges = inside.unionByName(across).where("gid <> rep").distinct()
+    edges = near.unionByName(inside).unionByName(across).where("gid <> rep").distinct()
     return components(materialize(edges, "candidates"), "gid", "rep")
 
 
@@ -307,15 +314,15 @@ def members(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(*rest, "text").mapInArrow(run, f"{schema}, tokens binary")
 
 
-def verified_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links among ``members`` (cluster, ref, n, copies, tokens), all against all within a cluster.
+def verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among ``members`` (cluster, ref, n, copies), all against all within a cluster.
 
-    Rows (a, b, null) span each linked part; rows (a, null, weight) count the documents that ``a`` links with.
+    ``sets`` has (ref, tokens); the sets move only once it is known where to. Rows (a, b, null) span each linked part;
+    rows (a, null, weight) count the documents that ``a`` links with.
     """
-    members = members.select("cluster", "ref", "n", "copies", "tokens")
     sizes = (
         members.groupBy("cluster")
-        .agg(F.count("*").alias("sets"), F.sum(F.length("tokens") / 8).alias("shingles"))
+        .agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
         .where("sets > 1")
         .select(
             "cluster",
@@ -331,9 +338,10 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
         F.least("chunk", "other").alias("i"),
         F.greatest("chunk", "other").alias("j"),
         F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "ref", "n", "copies", "tokens",
+        "ref", "n", "copies",
     )
-    return met.groupBy("cluster", "i", "j").applyInArrow(_verified(percent), "a long, b long, weight long")
+    blocks = met.join(sets.select("ref", "tokens"), "ref").groupBy("cluster", "i", "j")
+    return blocks.applyInArrow(_verified(percent), "a long, b long, weight long")
 
 
 def labelled(listed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -381,8 +389,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     )
     profiles = _profiles(docs, classes.select("ref", "n", "copies"), width, percent)
     groups = _candidate_groups(profiles, percent)
-    clustered = profiles.join(groups, F.col("gid") == F.col("node"), "left").withColumn(
-        "cluster", F.coalesce("component", "gid")
-    )
-    links = materialize(verified_links(clustered, percent), "links")
+    clustered = profiles.select("ref", "n", "copies", "gid").join(groups, F.col("gid") == F.col("node"), "left")
+    clustered = clustered.select(F.coalesce("component", "gid").alias("cluster"), "ref", "n", "copies")
+    links = materialize(verified_links(clustered, profiles, percent), "links")
     return labelled(listed, classes.drop("n"), links).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -10,6 +10,10 @@ depends on the length, so candidates are judged among those of like length: the
 The rule needs ranks of p-values over the whole corpus. They are counted on a grid of p (rounded up, which only keeps the
 level), so the corpus is reduced to at most one row for each length class and grid step.
 
+A ``=`` ends a run unless it pads its end, so the value of NAME=value is a candidate of its own. A run that mixes the two
+alphabets of base 64 fits no encoding; it is tested in their union, and so is each part of 20 or more letters between
+its ``-`` and ``_``, and between its ``+`` and ``/``. What remains of these is reported as one span where it overlaps.
+
 All of it is DataFrame functions. Positions come from the pieces between the matches; running sums are taken in two
 levels, so that a text with very many matches stays affordable.
 
@@ -29,7 +33,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+_PADDING = "(?:=+(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}{_PADDING}"
+#: Parts of a candidate that mixes the alphabets of base 64.
+PARTS = (rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{20,}}{_PADDING}", rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{20,}}{_PADDING}")
 #: Level of the rule, and steps of p by decade with the last decade counted.
 Q, STEPS, DECADES = 0.05, 20, 40
 _CHUNK = 256
@@ -44,7 +51,9 @@ ENCODINGS = [
     ("^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER),
     ("^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("^[A-Za-z0-9+/_-]+=*$", _UPPER + _LOWER + _DIGITS + "+/-_"),
 ]
+_MIXED = "[+/].*[_-]|[_-].*[+/]"
 
 
 def _sum(values: Column, start: Column | None = None) -> Column:
@@ -82,12 +91,12 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), both)
 
 
-def _placed(column: str) -> Column:
-    lengths = F.transform(column, lambda x: x.gap + x.len)
+def _placed(found: Column) -> Column:
+    lengths = F.transform(found, lambda x: x.gap + x.len)
     return F.when(
-        F.col(column).isNotNull(),
+        found.isNotNull(),
         F.transform(
-            F.arrays_zip(F.col(column).alias("m"), _running(lengths).alias("at")),
+            F.arrays_zip(found.alias("m"), _running(lengths).alias("at")),
             lambda x: F.struct(
                 (x["at"] + x.m.gap).alias("start"), (x["at"] + x.m.gap + x.m.len).alias("end"), x.m.hit.alias("hit")
             ),
@@ -145,8 +154,21 @@ def _p_random(x: Column) -> Column:
     return F.exp(-half) * (1 + half + half * half / 2)
 
 
+def _parts(x: Column) -> Column:
+    """The candidate ``x``, followed by its parts where it mixes the alphabets of base 64."""
+    own = F.struct(x.start.alias("start"), x.end.alias("end"), x.hit.alias("hit"))
+    inside = [
+        F.transform(
+            F.coalesce(_placed(matches(x.hit, pattern)), F.array().cast("array<struct<start:int,end:int,hit:string>>")),
+            lambda y: F.struct((x.start + y.start).alias("start"), (x.start + y.end).alias("end"), y.hit.alias("hit")),
+        )
+        for pattern in PARTS
+    ]
+    return F.when(F.rlike(x.hit, F.lit(_MIXED)), F.array_distinct(F.concat(F.array(own), *inside))).otherwise(F.array(own))
+
+
 def _coded(column: str) -> Column:
-    """Candidates with letter numbers ``v`` in their inferred alphabet of ``k``; others drop out."""
+    """By candidate, what is tested of it: letter numbers ``v`` in the inferred alphabet of ``k``; others drop out."""
 
     def one(x: Column) -> Column:
         bare = F.regexp_replace(x.hit, "=+$", "")
@@ -164,7 +186,10 @@ def _coded(column: str) -> Column:
             k.cast("int").alias("k"),
         )
 
-    return F.filter(F.transform(column, one), lambda x: x.v.isNotNull() & x.k.isNotNull() & (F.size(x.v) >= 20))
+    tested = F.transform(
+        column, lambda x: F.filter(F.transform(_parts(x), one), lambda y: y.v.isNotNull() & (F.size(y.v) >= 20))
+    )
+    return F.filter(tested, lambda run: F.size(run) > 0)
 
 
 def _length_class(n: Column) -> Column:
@@ -172,7 +197,7 @@ def _length_class(n: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` and ``_tested``: spans of fixed patterns, and candidates with length class and step of p."""
+    """``docs`` with ``_base`` and ``_tested``: spans of fixed patterns, and by candidate its tests with length class and step of p."""
     text = F.coalesce(F.col("text"), F.lit(""))
     steps = docs.select(
         "*",
@@ -181,7 +206,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         matches(text, HEX).alias("_m2"),
         matches(text, CANDIDATE).alias("_m3"),
     )
-    steps = steps.select(*docs.columns, *(_placed(f"_m{k}").alias(f"_p{k}") for k in range(4)))
+    steps = steps.select(*docs.columns, *(_placed(F.col(f"_m{k}")).alias(f"_p{k}") for k in range(4)))
     long_enough = F.filter("_p0", lambda x: F.length(F.regexp_extract(x.hit, ASSIGN, 2)) >= 6)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     kinds = [
@@ -195,11 +220,14 @@ def scanned(docs: DataFrame) -> DataFrame:
     step = lambda p: F.floor(-F.log10(F.greatest(p, F.lit(10.0**-DECADES))) * STEPS).cast("int")
     tested = F.transform(
         "_coded",
-        lambda x: F.struct(
-            x.start.alias("start"),
-            x.end.alias("end"),
-            _length_class(F.size(x.v)).alias("class"),
-            step(_p_random(x)).alias("step"),
+        lambda run: F.transform(
+            run,
+            lambda x: F.struct(
+                x.start.alias("start"),
+                x.end.alias("end"),
+                _length_class(F.size(x.v)).alias("class"),
+                step(_p_random(x)).alias("step"),
+            ),
         ),
     )
     return steps.select(*docs.columns, "_base", tested.alias("_tested"))
@@ -210,7 +238,7 @@ def dismissal_steps(tested: DataFrame) -> dict[int, int]:
 
     Step s stands for p <= 10^(-s / STEPS). The result has one entry for each length class.
     """
-    each = tested.select(F.explode("_tested").alias("t")).select("t.class", "t.step")
+    each = tested.select(F.explode(F.flatten("_tested")).alias("t")).select("t.class", "t.step")
     counts = each.groupBy("class", "step").agg(F.count("*").alias("n"))
     by_class: dict[int, dict[int, int]] = {}
     # Bounded by classes times grid steps, whatever the corpus.
@@ -227,6 +255,19 @@ def dismissal_steps(tested: DataFrame) -> dict[int, int]:
     return limits
 
 
+def _united(spans: Column) -> Column:
+    """Spans (start, end) by start, those that overlap as one."""
+    bare = F.array_sort(F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wider = F.struct(last.start.alias("start"), F.greatest(last.end, x.end).alias("end"))
+        met = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).end > x.start)
+        return F.when(met, F.array_append(F.slice(acc, 1, F.size(acc) - 1), wider)).otherwise(F.array_append(acc, x))
+
+    return F.aggregate(bare, F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
 def with_spans(scanned_docs: DataFrame) -> DataFrame:
     """A frame from ``scanned``, stored, with ``_spans``: all spans by start, then kind."""
     limits = dismissal_steps(scanned_docs)
@@ -238,7 +279,7 @@ def with_spans(scanned_docs: DataFrame) -> DataFrame:
     dropped = dismissed if callable(dismissed) else lambda x: F.lit(False)
     apart = lambda x: ~F.exists("_base", lambda b: (b.start < x.end) & (x.start < b.end))
     random = F.transform(
-        F.filter("_tested", lambda x: ~dropped(x) & apart(x)),
+        F.flatten(F.transform("_tested", lambda run: _united(F.filter(run, lambda x: ~dropped(x) & apart(x))))),
         lambda x: F.struct(x.start.alias("start"), F.lit(3).alias("kind"), x.end.alias("end")),
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")

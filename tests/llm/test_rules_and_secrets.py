@@ -97,6 +97,23 @@ def test_randomness_tells_keys_from_words(spark):
     assert sum(got[k] for k in range(len(keys), len(rows))) == 0
 
 
+def test_keys_beside_names_and_in_mixed_alphabets(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = {
+        f"AWS_SECRET_ACCESS_KEY={value}": value, "session=Zk39fhQ81LmPz0aXcV7bnT2yR5": "Zk39fhQ81LmPz0aXcV7bnT2yR5",
+        "sha256-Zk39fh+81LmPz0/XcV7bnT2yR5q": "Zk39fh+81LmPz0/XcV7bnT2yR5q", "=Zk39fhQ81LmPz0aXcV7bnT2yR5==": "Zk39fhQ81LmPz0aXcV7bnT2yR5==",
+        "Zk39+hQ81-mPz0/XcV7_nT2y": "Zk39+hQ81-mPz0/XcV7_nT2y", "a=b=zzzzyyyy1" + "z" * 30: None,
+    }
+    rows = [(k, f"some é {t} words", *[None] * 7) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(frame(spark, rows)).collect()}
+    for k, (text, key) in enumerate(texts.items()):
+        spans = [s.split(":") for s in got[k].split(",") if s]
+        assert [s[0] for s in spans] == ["random"] * (key is not None), text
+        assert key is None or int(spans[0][1]) <= 7 + text.index(key) <= 7 + text.index(key) + len(key) <= int(spans[0][2]), text
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(frame(spark, rows)).collect()}
+    assert clean[0] == "some é AWS_SECRET_ACCESS_KEY=[secret] words" and clean[1] == "some é session=[secret] words"
+
+
 def test_redaction(spark):
     rows = [(1, "my token=abcdefgh! " + "0" * 40, *[None] * 7), (2, "token: " + "a" * 30, *[None] * 7), (3, None, *[None] * 7), (4, "clean", *[None] * 7)]
     got = {r.doc_id: r.text for r in secret_scan.redacted(frame(spark, rows)).collect()}

@@ -5,8 +5,11 @@ summed; their ratios (letters and punctuation per node) are smoothed over the ru
 of their spread. Nodes above the threshold are content; the smallest element that holds all of it is the article, and
 its text is the result, short paragraphs and headings included.
 
-Elements that are never part of an article do not take part: navigation, footers, asides, forms, scripts, styles, page
-headers, and elements whose class, id or role says menu, advert, notice, sidebar, comment and the like.
+Scripts, styles and what is hidden do not take part. Navigation, footers, asides, forms, page headers, and elements whose
+class, id or role says menu, advert, notice, sidebar, comment and the like are doubted: they stay out unless they wrap
+the article. A form, or an element named only in a compound like ``has-sidebar``, is not doubted where it holds an
+article or main, or most of the page's text; any other one where every article or main of the page is as
+doubted, or, named in full, where it holds most of the text of a page without article or main.
 
 A block is what lies between tags other than inline ones. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by an empty line.
@@ -35,9 +38,10 @@ _INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 _DROPPED = frozenset(
-    "aside button canvas dialog fieldset footer form head iframe input menu nav noscript object script select style svg "
-    "template textarea title video audio".split()
+    "button canvas dialog head iframe input noscript object script select style svg template textarea title video audio".split()
 )
+_DOUBTED = frozenset("aside footer menu nav".split())
+_FORMS = frozenset("fieldset form".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: An opening tag of the key closes an open element of the value, up to the nearest element that bounds it.
 _CLOSES = {
@@ -70,43 +74,71 @@ _SPACES = re.compile(r"\s+")
 class _Node:
     """A text node: its elements (as numbers, root first), the names of their tags, its block and its text."""
 
-    __slots__ = ("elements", "path", "block", "text")
+    __slots__ = ("elements", "path", "block", "text", "doubts")
 
-    def __init__(self, elements: tuple[int, ...], path: str, block: int, text: str) -> None:
-        self.elements, self.path, self.block, self.text = elements, path, block, text
+    def __init__(self, elements: tuple[int, ...], path: str, block: int, text: str, doubts: tuple[int, ...]) -> None:
+        self.elements, self.path, self.block, self.text, self.doubts = elements, path, block, text, doubts
 
 
-def _left_out(tag: str, attributes: str, inside: list) -> bool:
+def _left_out(tag: str, attributes: str) -> bool:
     if tag in _DROPPED:
         return True
-    if tag == "header" and not any(t in ("article", "main", "section") for t, _, _ in inside):
-        return True
     if tag in ("html", "body", "article", "main") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
-        return True
+    return bool(_HIDDEN.search(attributes))
+
+
+def _doubt(tag: str, attributes: str, inside: list) -> str:
+    """Why an element may not belong to the article: its tag, its name, a part of its name; empty if nothing says so."""
+    if tag in _DOUBTED or (tag == "header" and not any(e[0] in ("article", "main", "section") for e in inside)):
+        return "tag"
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    why = "part" if tag in _FORMS else ""
     for found in _NAMES.finditer(attributes):
-        if not _BAD_NAMES.isdisjoint(re.split(r"[\s_\-:]+", (found[1] or found[2] or found[3] or "").lower())):
-            return True
-    return False
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            if name in _BAD_NAMES:
+                return "name"
+            if not _BAD_NAMES.isdisjoint(re.split(r"[_\-:]+", name)):
+                why = "part"
+    return why
+
+
+def _settled(nodes: list[_Node], why: dict[int, str], articles: list[tuple[int, ...]]) -> None:
+    """Clears the doubts about elements that wrap the article."""
+    letters, total = defaultdict(int), 0
+    for n in nodes:
+        size = len(n.text.strip())
+        total += size
+        for x in n.doubts:
+            letters[x] += size
+    fewest = min(map(len, articles), default=0)
+    clear = {x for doubts in articles for x in doubts if why[x] == "part" or len(doubts) == fewest}
+    clear |= {
+        x for x, reason in why.items() if 2 * letters[x] > total and (reason == "part" or (reason == "name" and not articles))
+    }
+    for n in nodes:
+        n.doubts = tuple(x for x in n.doubts if x not in clear)
 
 
 def text_nodes(page: str) -> list[_Node]:
-    """Text nodes outside of left-out elements, in page order."""
+    """Text nodes outside of left-out elements, in page order, with the doubted elements around them."""
     nodes: list[_Node] = []
-    open_: list[tuple[str, int, bool]] = []  # tag, number, left out
+    open_: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, left out, doubted elements
+    why: dict[int, str] = {}
+    articles: list[tuple[int, ...]] = []
     number, block, at, size = 0, 0, 0, len(page)
-    path, elements, skipped = "", (), False
+    path, elements, skipped, doubts = "", (), False, ()
 
     def refresh() -> None:
-        nonlocal path, elements, skipped
-        path = "/".join(t for t, _, _ in open_)
-        elements = tuple(n for _, n, _ in open_)
-        skipped = bool(open_) and open_[-1][2]
+        nonlocal path, elements, skipped, doubts
+        path = "/".join(e[0] for e in open_)
+        elements = tuple(e[1] for e in open_)
+        skipped, doubts = open_[-1][2:] if open_ else (False, ())
 
     def text(a: int, b: int) -> None:
         if b > a and not skipped:
-            nodes.append(_Node(elements, path, block, page[a:b]))
+            nodes.append(_Node(elements, path, block, page[a:b], doubts))
 
     while at < size:
         found = _TAG.search(page, at)
@@ -123,7 +155,7 @@ def text_nodes(page: str) -> list[_Node]:
             block += 1
         if tag == "br":
             if not skipped:
-                nodes.append(_Node(elements, path, block, " "))
+                nodes.append(_Node(elements, path, block, " ", doubts))
             continue
         if closing:
             for k in range(len(open_) - 1, -1, -1):
@@ -145,15 +177,23 @@ def text_nodes(page: str) -> list[_Node]:
             refresh()
             continue
         number += 1
-        out = bool(open_ and open_[-1][2]) or _left_out(tag, attributes, open_)
+        out = bool(open_ and open_[-1][2]) or _left_out(tag, attributes)
+        around = open_[-1][3] if open_ else ()
+        if not out and (reason := _doubt(tag, attributes, open_)):
+            why[number] = reason
+            around = (*around, number)
+        if not out and tag in ("article", "main"):
+            articles.append(around)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag not in ("xmp",) or out:
                 at = end.end() if end else size
                 refresh()
                 continue
-        open_.append((tag, number, out))
+        open_.append((tag, number, out, around))
         refresh()
+    if why:
+        _settled(nodes, why, articles)
     return nodes
 
 
@@ -178,7 +218,7 @@ def content_nodes(nodes: list[_Node]) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by empty lines."""
-    nodes = [] if not page else text_nodes(page)
+    nodes = [] if not page else [n for n in text_nodes(page) if not n.doubts]
     if not any(n.text.strip() for n in nodes):
         return ""
     chosen = [n for n, is_content in zip(nodes, content_nodes(nodes)) if is_content]

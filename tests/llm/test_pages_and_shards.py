@@ -55,6 +55,21 @@ def test_odd_pages(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "start,end",
+    [("<div class='content has-sidebar'>", "</div>"), ("<div class=no-sidebar id=x>", "</div>"), ("<div class='ad-free'>", "</div>"),
+     ("<form action=/x>", "</form>"), ("<div class=widget><div class=with-comments>", "</div></div>")],
+)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_keep_their_article(start, end, tag):
+    rng = random.Random(7)
+    texts = [" ".join(prose(rng, 60).split()) for _ in range(3)]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    comments = "<div id=comments><article><p>First! I like this.</p></article></div>" if tag == "article" else ""
+    got = html_extract.main_text(f"<body><nav>Menu</nav>{start}<{tag}>{body}</{tag}><div class=ad>Buy, now!</div>{comments}{end}</body>")
+    assert got == "\n\n".join(texts)
+
+
 def test_extracted_table(spark):
     rows = [(1, "u", "<article>x</article>", "clash", "p"), (1, "u", "<article>x</article>", None, None), (None, None, None, None, None)]
     got = html_extract.extracted(spark.createDataFrame(rows, PAGES)).collect()

@@ -2,8 +2,13 @@
 
 A page becomes a run of text nodes, each with its path of open tags. By path, text letters, punctuation and nodes are
 summed; their ratios (letters and punctuation per node) are smoothed over the run, multiplied, and thresholded at a share
-of their spread. Nodes above the threshold are content; the smallest element that holds all of it is the article, and
-its text is the result, short paragraphs and headings included.
+of their spread. Nodes above the threshold are content, inside of article and main and outside of them.
+
+The result is the blocks with content, and the paragraphs, headings and other named parts of running text between them or
+in the same division, article or main.
+Smoothing also lifts what borders on content; such a block stays only if it is such a part, or if the ratios of its own
+path pass. Outside of an article or main with content, they must pass in any case. Lists, tables and divisions
+that are mostly links are no content, nor is the heading above them.
 
 Scripts, styles and what is hidden do not take part. Navigation, footers, asides, forms, page headers, and elements whose
 class, id or role says menu, advert, notice, sidebar, comment and the like are doubted: they stay out unless they wrap
@@ -54,6 +59,12 @@ _ENDS_P = frozenset(
     "h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 _BOUNDS_P = frozenset("td th caption button object table html body article section main div li blockquote aside".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose own text runs with the article's, and those that can be lists of links.
+_RUNNING = _HEADINGS | frozenset(
+    "address article blockquote body caption dd dt figcaption html li main p pre summary td th".split()
+)
+_CONTAINERS = frozenset("div dl ol section table ul".split())
 _BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar aside footer foot masthead topbar cookie cookies consent gdpr notice "
@@ -72,7 +83,7 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    """A text node: its elements (as numbers, root first), the names of their tags, its block and its text."""
+    """A text node: its elements (as numbers, root first), the names of their tags, its block, text and doubted elements."""
 
     __slots__ = ("elements", "path", "block", "text", "doubts")
 
@@ -197,23 +208,54 @@ def text_nodes(page: str) -> list[_Node]:
     return nodes
 
 
-def content_nodes(nodes: list[_Node]) -> np.ndarray:
-    """Which nodes the fused, smoothed path ratios pass."""
-    letters = np.array([len(n.text.strip()) for n in nodes], float)
-    marks = np.array([sum(map(_PUNCTUATION.__contains__, n.text)) for n in nodes], float)
+def _fused(nodes: list[_Node], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios of letters and of punctuation by path, for every node."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for n, a, b in zip(nodes, letters, marks):
-        total = sums[n.path]
-        total[0] += a
-        total[1] += b
-        total[2] += a > 0
-    ratio = np.array([[sums[n.path][0] / max(1, sums[n.path][2]), sums[n.path][1] / max(1, sums[n.path][2])] for n in nodes])
+    for n, path in zip(nodes, paths):
+        size, total = len(n.text.strip()), sums[path]
+        total[0] += size
+        total[1] += sum(map(_PUNCTUATION.__contains__, n.text))
+        total[2] += size > 0
+    ratio = {path: (a / max(1, n), b / max(1, n)) for path, (a, b, n) in sums.items()}
+    return np.array([ratio[p][0] for p in paths]), np.array([ratio[p][1] for p in paths])
+
+
+def content_nodes(nodes: list[_Node]) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes the fused, smoothed path ratios pass, and which ones the ratios of their block's own path."""
+    text_ratio, mark_ratio = _fused(nodes, [n.path for n in nodes])
     window = np.ones(min(WINDOW, len(nodes))) / min(WINDOW, len(nodes))
-    text_ratio = np.convolve(ratio[:, 0], window, "same")
-    mark_ratio = np.convolve(ratio[:, 1], window, "same")
-    fused = text_ratio * (1 + mark_ratio)
-    real = letters > 0
-    return real & (fused >= THRESHOLD * fused[real].std())
+    fused = np.convolve(text_ratio, window, "same") * (1 + np.convolve(mark_ratio, window, "same"))
+    real = np.array([bool(n.text.strip()) for n in nodes])
+    least = THRESHOLD * fused[real].std()
+    own_text, own_mark = _fused(nodes, [_outer(n.path) for n in nodes])
+    return real & (fused >= least), real & (own_text * (1 + own_mark) >= least)
+
+
+def _outer(path: str) -> str:
+    """``path`` without the inline elements at its end."""
+    tags = path.split("/")
+    while tags and tags[-1] in _INLINE:
+        tags.pop()
+    return "/".join(tags)
+
+
+def _homes(n: _Node) -> set[int]:
+    """The elements whose running text a block of content vouches for: the innermost division, article and main."""
+    tags = n.path.split("/")
+    found = {tag: x for tag, x in zip(tags, n.elements) if tag in ("article", "main")}
+    inner = [x for tag, x in zip(tags, n.elements) if tag in ("article", "body", "div", "html", "main", "section")]
+    return {*found.values(), inner[-1] if inner else 0}
+
+
+def _linked(nodes: list[_Node]) -> set[int]:
+    """The lists, tables and divisions whose text is mostly links."""
+    linked: dict[int, int] = defaultdict(int)
+    for n in nodes:
+        tags, size = n.path.split("/"), len(n.text.strip())
+        for tag, element in zip(tags, n.elements):
+            if tag in _CONTAINERS:
+                linked[element] += size if "a" in tags else -size
+    return {element for element, more in linked.items() if more > 0}
 
 
 def main_text(page: str | None) -> str:
@@ -221,35 +263,34 @@ def main_text(page: str | None) -> str:
     nodes = [] if not page else [n for n in text_nodes(page) if not n.doubts]
     if not any(n.text.strip() for n in nodes):
         return ""
-    chosen = [n for n, is_content in zip(nodes, content_nodes(nodes)) if is_content]
-    marked = [n for n in chosen or nodes if "article" in n.path.split("/") or "main" in n.path.split("/")]
-    held = _held(marked or chosen or nodes, bool(marked))
-    blocks: dict[int, list[str]] = {}
-    for n in nodes:
-        if n.elements[: len(held)] == held:
-            blocks.setdefault(n.block, []).append(n.text)
-    texts = (_SPACES.sub(" ", entities.unescape("".join(parts))).strip() for parts in blocks.values())
-    return "\n\n".join(t for t in texts if t)
-
-
-def _held(nodes: list[_Node], marked: bool) -> tuple[int, ...]:
-    """The elements that hold all of ``nodes``, cut at an article where the page has exactly one."""
-    held = nodes[0].elements
-    for n in nodes[1:]:
-        size = 0
-        for a, b in zip(held, n.elements):
-            if a != b:
-                break
-            size += 1
-        held = held[:size]
-    tags = nodes[0].path.split("/")[: len(held)]
-    for tag in ("article", "main"):
-        if marked and tag in tags:
-            return held[: tags.index(tag) + 1]
-    # Inside running text the element that holds it is the block around the inline ones.
-    while held and tags[len(held) - 1] in _INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6"}:
-        held = held[:-1]
-    return held
+    content, own = content_nodes(nodes)
+    links = _linked(nodes)
+    blocks: dict[int, list[int]] = {}
+    for k, n in enumerate(nodes):
+        blocks.setdefault(n.block, []).append(k)
+    rows = [at for at in blocks.values() if any(nodes[k].text.strip() for k in at)]
+    tags = [_outer(nodes[at[0]].path).split("/") for at in rows]
+    marked = ["article" in t or "main" in t for t in tags]
+    passed = [any(content[k] for k in at) for at in rows]
+    alone = [any(own[k] for k in at) for at in rows]
+    linked = [any(not links.isdisjoint(nodes[k].elements) for k in at) for at in rows]
+    edge = any(m and p for m, p in zip(marked, passed))
+    sure = [p and not x and (a or (t[-1] in _RUNNING and (m or not edge))) for p, x, a, t, m in zip(passed, linked, alone, tags, marked)]
+    if not any(sure):
+        # No block stands out: what is not links, or else all, is the text.
+        sure = [not x for x in linked] if not all(linked) else [True] * len(rows)
+    homes = {x for at, is_sure in zip(rows, sure) if is_sure for x in _homes(nodes[at[0]])}
+    near = [not homes.isdisjoint(_homes(nodes[at[0]])) for at in rows]
+    first, last = sure.index(True), len(sure) - 1 - sure[::-1].index(True)
+    kept, below = [False] * len(rows), False
+    for k in range(len(rows) - 1, -1, -1):
+        between = first <= k <= last and (marked[k] or not edge)
+        kept[k] = sure[k] or (not linked[k] and tags[k][-1] in _RUNNING and (near[k] or between))
+        if tags[k][-1] in _HEADINGS and k + 1 < len(rows) and linked[k + 1] and not below:
+            kept[k] = False
+        below = kept[k]
+    texts = ("".join(nodes[i].text for i in at) for k, at in enumerate(rows) if kept[k])
+    return "\n\n".join(t for t in (_SPACES.sub(" ", entities.unescape(x)).strip() for x in texts) if t)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

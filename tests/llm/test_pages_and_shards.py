@@ -70,6 +70,20 @@ def test_wrappers_keep_their_article(start, end, tag):
     assert got == "\n\n".join(texts)
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_paths_pick_inside_and_outside_of_the_article(tag):
+    rng = random.Random(8)
+    texts = [" ".join(prose(rng, size).split()) for size in (5, 60, 3, 70, 60, 80)]
+    links = "<h3>Read on</h3><ul>" + "".join(f"<li><a href=/{k}>Another page</a></li>" for k in range(5)) + "</ul>"
+    inside = f"<h1>{texts[0]}</h1><p>{texts[1]}</p><div>Print it</div><p>{texts[2]}</p><p>{texts[3]}</p>"
+    one = html_extract.main_text(f"<body><div>Site</div><{tag}>{inside}{links}<div>Back to top</div></{tag}><div>Imprint</div></body>")
+    assert one == "\n\n".join(texts[:4])
+    # The element holds a part only, and the text goes on outside.
+    rest = f"<div><p>{texts[4]}</p><p>{texts[5]}</p></div>"
+    two = html_extract.main_text(f"<body><div>Site</div><{tag}>{inside}</{tag}>{rest}<div><a href=/>Home</a></div></body>")
+    assert two == "\n\n".join(texts)
+
+
 def test_extracted_table(spark):
     rows = [(1, "u", "<article>x</article>", "clash", "p"), (1, "u", "<article>x</article>", None, None), (None, None, None, None, None)]
     got = html_extract.extracted(spark.createDataFrame(rows, PAGES)).collect()

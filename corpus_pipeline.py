@@ -9,12 +9,15 @@ from __future__ import annotations
 import uuid
 import zlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelkin.llm import host_quality, ngram_join, queries, secret_scan, vector_packing
 from pixelkin.session import materialize, scratch_dir
 
+_FILE, _AT = "_row_file", "_row_at"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor their host's verdict rejects."""
@@ -24,15 +27,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, the one with the smallest id.
+    """Of rows that near-duplicate links connect, exactly one: the one with the smallest id, then the first stored.
 
-    Of rows with that id all stay but those with equal sets. Groups are few against all documents; only the ids that
-    go are looked up.
+    A row is told from all others by its place in the stored input, so equal ids and missing ones do not matter; a row
+    without an id stays only where its group has no id at all. Rows with an empty set link with nothing and stay.
+    Groups are few against all documents; only the rows that go are looked up.
     """
-    groups = materialize(ngram_join.jaccard_join(docs), "groups")
-    # A row without an id cannot be told from its group, so it stays.
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    placed = _placed(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _FILE, _AT)
+    groups = materialize(ngram_join.jaccard_join(placed.select(row.alias("doc_id"), "text")), "groups")
+    gone = groups.where("doc_id <> component_id").select(f"doc_id.{_FILE}", f"doc_id.{_AT}")
+    return placed.join(materialize(gone, "gone"), [_FILE, _AT], "left_anti").select(*docs.columns)
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and the number of every row; stored first unless read from parquet files as it is."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", place["file_path"].alias(_FILE), place["row_index"].alias(_AT))
+    except AnalysisException:
+        return _placed(materialize(docs, "documents"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,6 +158,21 @@ def test_escaping_is_reversible():
         assert chat_tokens.unescape(chat_tokens.escape(mixed)) == mixed and "<|" not in chat_tokens.escape(mixed)
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_one_row_of_each_group_stays(spark, tmp_path, stored):
+    words = [f"w{k}" for k in range(80)]
+    text, near, other, alone = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[::-1]), " ".join(words[::2])
+    texts = [(1, text), (1, text), (5, near), (5, other), (None, near), (None, alone), (None, alone), (7, None), (7, None)]
+    docs = frame(spark, [(k, t, *[None] * 7) for k, t in texts])
+    if stored:
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    expected = [(1, text), (5, other), (None, alone), (7, None), (7, None)]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(expected)
+
+
 def test_pipeline_stages(spark, tmp_path, library):
     rows = [r for r in documents(3, families=12)]
     rows = list({r[0]: r for r in rows}.values())

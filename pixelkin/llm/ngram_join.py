@@ -113,6 +113,18 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _distinct(token: np.ndarray, owner: np.ndarray, classes: int, packed: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a 40-bit token and a class number, in order; packed into 64 bits where the numbers fit."""
+    if classes <= packed:
+        pairs = np.unique((token << np.uint64(24)) | owner.astype(np.uint64))
+        return pairs >> np.uint64(24), (pairs & _LOW).astype(np.int64)
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order].astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    return token[new], owner[new]
+
+
 def _shared(homes: int):
     """Of one block, the shingles of two or more classes, with class counts, packed by the home of their class."""
 
@@ -120,11 +132,7 @@ def _shared(homes: int):
         refs, first, back = np.unique(_joined(table["refs"], "<i8"), return_index=True, return_inverse=True)
         sizes = _joined(table["sizes"], "<u4")[first]
         token = (_joined(table["high"], "<u4").astype(np.uint64) << np.uint64(8)) | _joined(table["low"], np.uint8)
-        # A block has far fewer than 2^24 classes, and tokens have 40 bits.
-        pairs = (token << np.uint64(24)) | np.repeat(back, _joined(table["counts"], "<u2")).astype(np.uint64)
-        del token
-        pairs = np.unique(pairs)
-        token, owner = pairs >> np.uint64(24), (pairs & _LOW).astype(np.int64)
+        token, owner = _distinct(token, np.repeat(back, _joined(table["counts"], "<u2")), len(refs))
         runs = np.flatnonzero(np.diff(token, prepend=~token[:1]))
         many = np.diff(runs, append=len(token))
         count = np.repeat(many, many)

@@ -86,6 +86,17 @@ def test_join_in_small_blocks(spark, monkeypatch):
     assert result(ngram_join.jaccard_join(frame(spark, rows))) == linked_rows(rows)
 
 
+def test_class_numbers_beyond_24_bits():
+    top = 1 << 24
+    token = np.array([5, 5, 4, 5, 5, (1 << 40) - 1], np.uint64)
+    owner = np.array([top + 1, 1, top, 1, top + 1, top + 7])
+    pairs = list(zip(*(x.tolist() for x in ngram_join._distinct(token, owner, top + 8))))
+    assert pairs == [(4, top), (5, 1), (5, top + 1), ((1 << 40) - 1, top + 7)]
+    few = owner % 7
+    packed, wide = ngram_join._distinct(token, few, 7), ngram_join._distinct(token, few, 7, packed=0)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(packed, wide))
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, None, *[None] * 7), (1, None, *[None] * 7), (2, " ", *[None] * 7)]

@@ -167,7 +167,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref, n, bands): name and size of the shingle set, a hash for every band of its signature."""
+    """(doc_id, key, ref, n, bands): hash of the text, name and size of its shingle set, a hash for every band of the signature."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -179,11 +179,12 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     rows = np.ascontiguousarray(signature(distinct).reshape(-1, BAND)).view(np.uint64)[:, 0]
                     bands[row] = (rows ^ arrow_text.mix(np.arange(len(rows), dtype=np.uint64) + np.uint64(1))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(refs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "ref", "n", "bands"],
+                [batch.column(0), batch.column(2), pa.array(refs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "key", "ref", "n", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ref long, n long, bands array<long>")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    return keyed.mapInArrow(run, f"doc_id {kind}, key long, ref long, n long, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -200,11 +201,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     tied = entries.groupBy("band", "value").agg(F.min("ref").alias("rep"), F.count("*").alias("here")).where("here > 1")
     edges = entries.join(tied, ["band", "value"]).where("ref <> rep").select("ref", "rep").distinct()
     clusters = components(materialize(edges, "bands"), "ref", "rep").toDF("ref", "cluster")
-    wanted = sketched.select("doc_id", "ref").join(clusters, "ref").groupBy("ref", "cluster").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(wanted.where("doc_id IS NOT NULL"), "doc_id")
+    # One text of each set, found again by its hash: an id may be missing or have several texts.
+    wanted = sketched.select("key", "ref").join(clusters, "ref").groupBy("ref", "cluster").agg(F.min("key").alias("key"))
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key").drop("key")
     members = materialize(ngram_join.members(texts.dropDuplicates(["ref"])), "members")
     counted = members.select("cluster", "ref").join(sets.select("ref", "n", "copies"), "ref")
     links = materialize(ngram_join.verified_links(counted, members, percent), "links")
     return ngram_join.labelled(
-        sketched.withColumnRenamed("n", "n_shingles"), sets.select("ref", "copies", "lowest"), links
+        sketched.drop("key").withColumnRenamed("n", "n_shingles"), sets.select("ref", "copies", "lowest"), links
     ).select("doc_id", F.col("component_id").alias("class_id"), "n_links")

@@ -153,3 +153,12 @@ def test_near_duplicates_are_verified(spark):
     rows = documents(6, families=10)
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in minhash.near_duplicates(frame(spark, rows)).collect())
     assert got == Counter((d, c, n) for (d, _, c, n), k in linked_rows(rows).items() for _ in range(k))
+
+
+def test_near_duplicates_without_ids_of_their_own(spark):
+    words = [f"w{k}" for k in range(80)]
+    first, second = [" ".join([*words[:-1], end]) for end in ("x", "y")]
+    third, fourth = [" ".join([*words[:0:-1], end]) for end in ("x", "y")]
+    rows = [(None, first), (None, second), (4, third), (4, " ".join(words[::2])), (4, " ".join(words[::3])), (9, fourth)]
+    got = Counter(map(tuple, minhash.near_duplicates(frame(spark, [(*r, *[None] * 7) for r in rows])).collect()))
+    assert got == Counter({(None, None, 1): 2, (4, 4, 1): 1, (4, 4, 0): 2, (9, 4, 1): 1})

@@ -75,6 +75,14 @@ def _pieces(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def run_hashes(part: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs part[first:last], A-Z folded."""
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_LETTERS[part] * _power(_BASE, len(part))[: len(part)], out=sums[1:])
+    value = (sums[last] - sums[first]) * _power(_INVERSE, len(part))[first]
+    return mix(value + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, index of each text's first word with the total at the end)."""
     starts, hashes = [], []
@@ -91,10 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         inner = breaks[breaks > 0] - 1
         closes[inner] = inside[inner]
         first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_LETTERS[part] * _power(_BASE, len(part))[: len(part)], out=sums[1:])
-        value = (sums[last] - sums[first]) * _power(_INVERSE, len(part))[first]
-        hashes.append(mix(value + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        hashes.append(run_hashes(part, first, last))
         starts.append(first + a)
     if not starts:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)

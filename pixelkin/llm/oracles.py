@@ -58,8 +58,30 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_PHRASES = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rid,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, rid, unnest(p) AS piece, generate_subscripts(p, 1) AS pid FROM (SELECT *, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS p FROM t)),
+w AS (SELECT lang, rid, pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda x: array_to_string(list_slice(words, x, x + k - 1), ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM o GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT *, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+i AS (SELECT DISTINCT lang, a, array_to_string(list_slice(v, x, x + y - 1), ' ') AS phrase FROM s, range(1, 4) AS q(x), range(2, 4) AS z(y) WHERE y < k AND x + y - 1 <= k),
+d AS (SELECT lang, phrase, max(a) AS b FROM i GROUP BY ALL),
+c AS (SELECT s.* FROM s LEFT JOIN d USING (lang, phrase) WHERE b IS NULL OR 100 * b < 80 * a),
+z AS (SELECT c.*, j, array_to_string(list_slice(v, 1, j), ' ') AS head, array_to_string(list_slice(v, j + 1, k), ' ') AS rest FROM c, range(1, 4) AS q(j) WHERE j < k),
+u AS (SELECT z.lang, z.phrase, z.a, j, x.a AS l, y.a AS r, 2000000 * z.a // (x.a + y.a) AS score FROM z
+  JOIN f x ON x.lang = z.lang AND x.phrase = head JOIN f y ON y.lang = z.lang AND y.phrase = rest),
+m AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::BIGINT AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM m JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_ngram_join": _JOIN,
     "op6_host_quality": _QUALITY,
     "op9_chat_tokens": _CHAT,
+    "op11_phrase_collocations": _PHRASES,
 }

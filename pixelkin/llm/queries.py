@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelkin.llm import (
     bpe_automaton,
     chat_tokens,
+    collocations,
     host_quality,
     html_extract,
     kd_shards,
@@ -94,6 +95,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_secret_scan,
     op2_ngram_join,
@@ -105,4 +110,5 @@ QUERIES = [
     op8_vector_packing,
     op9_chat_tokens,
     op10_minhash,
+    op11_phrase_collocations,
 ]

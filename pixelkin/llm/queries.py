@@ -15,6 +15,7 @@ from pixelkin.llm import (
     host_quality,
     html_extract,
     kd_shards,
+    language_mix,
     minhash,
     ngram_join,
     secret_scan,
@@ -99,6 +100,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_secret_scan,
     op2_ngram_join,
@@ -111,4 +116,5 @@ QUERIES = [
     op9_chat_tokens,
     op10_minhash,
     op11_phrase_collocations,
+    op12_language_mixture,
 ]

@@ -19,6 +19,7 @@ from pixelkin.llm import (
     minhash,
     ngram_join,
     secret_scan,
+    spelling_trees,
     vector_packing,
     warc_index,
 )
@@ -104,6 +105,10 @@ def op12_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.identified(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trees.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_secret_scan,
     op2_ngram_join,
@@ -117,4 +122,5 @@ QUERIES = [
     op10_minhash,
     op11_phrase_collocations,
     op12_language_mixture,
+    op13_spelling_variants,
 ]

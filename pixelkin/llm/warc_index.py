@@ -257,11 +257,13 @@ def _read_back(folder: str, ranges: list, payloads: bool):
 
     def run(batches):
         reader = _Reader(folder, ranges)
+        current, places = None, []
         for batch in batches:
-            rows, seen = [], {}
+            rows = []
             for page, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                # Rows with one key take its captures one after the other.
-                places = seen.setdefault(key, reader.find(key))
+                # Rows with one key follow each other, across batches too, and take its captures one after the other.
+                if key != current:
+                    current, places = key, list(reader.find(key))
                 fields, http, payload = parse_record(reader.read(*places[0]))
                 if len(places) > 1:
                     places.pop(0)

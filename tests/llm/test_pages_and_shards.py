@@ -146,3 +146,17 @@ def test_shards_of_little(spark):
     same = kd_shards.sharded(frame(spark, [(1, "a", "x", "y", *[None] * 5)] * 16), 4).collect()
     assert sorted(Counter(r.shard for r in same).values()) == [4, 4, 4, 4]
     assert sum(r.slot for r in kd_shards.sharded(frame(spark, [(1, None, None, None, *[None] * 5)] * 3)).collect()) >= 0
+
+
+def test_equal_keys_with_different_pages_come_back_across_batches(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [(7, "http://a.b/c", f"<p>{k % 6}</p>", None, None) for k in range(9)]
+        rows += [(8, "http://a.b/d", "<p>0</p>", None, None), (None, None, "<p>x</p>", None, None)]
+        got = warc_index.archived(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    digests = [base64.b32encode(hashlib.sha1(r[2].encode()).digest()).decode() for r in rows]
+    assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((r[0], d) for r, d in zip(rows, digests))
+    assert {bytes(r.payload) for r in got if r.record_type == "response"} == {r[2].encode() for r in rows}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -34,6 +35,9 @@ from pixelkin.llm.bpe_automaton import PATTERN
 from pixelkin.llm.kept import kept
 from pixelkin.session import materialize
 
+#: White space (the property of that name; fixed value) in runs that are cut off before the pattern sees them.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -129,6 +133,22 @@ def _vocabulary(file: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Enc
     return kept(("ranks", file, special), build)
 
 
+def encoded(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text, added tokens included.
+
+    The library's pattern gives up on very long white space. Before a visible character, all of it but the last is a word
+    of its own; at the end of a text all of it is. Such words are taken out here, so the rest is as it would be.
+    """
+    ids: list[int] = []
+    at = 0
+    for run in _LONG_SPACE.finditer(text):
+        to = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode(text[at : run.start()], allowed_special="all")
+        ids += encoding._encode_single_piece(text[run.start() : to])
+        at = to
+    return ids + encoding.encode(text[at:], allowed_special="all")
+
+
 def token_pieces(
     docs: DataFrame,
     ranks_file: str,
@@ -151,13 +171,13 @@ def token_pieces(
     specials = tuple(special.items())
 
     def run(batches):
-        encode = _vocabulary(ranks_file, specials).encode
+        encoding = _vocabulary(ranks_file, specials)
         part, used = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             source: list[int] = []
             columns: list[list] = [[] for _ in range(5 + len(carry))]
             for row, text in enumerate(batch.column(1)):
-                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), end_id], np.uint32)
+                ids = np.array([*encoded(encoding, text.as_py() or ""), end_id], np.uint32)
                 first = len(ids) % piece_tokens or piece_tokens
                 for piece, to in enumerate(range(first, len(ids) + 1, piece_tokens)):
                     start = max(0, to - piece_tokens) if piece else 0

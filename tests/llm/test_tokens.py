@@ -203,3 +203,11 @@ def test_pipeline_stages(spark, tmp_path, library):
     assert tokens == {k: 1 + len(library.encode(r.text, add_special_tokens=False).ids) for k, r in clean.items()}
     ids = {k: np.array([*library.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for k, r in clean.items()}
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in packed)
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 700_000 + " ", "　 " * 300_000, " " * 49_999, "a" * 300_000])
+@pytest.mark.parametrize("before,after", [("", ""), ("word", "word"), ("it's ", "'s 12"), ("x.", "<|endoftext|> y"), ("", "\x1c\x1f")])
+def test_very_long_runs_are_encoded_as_by_the_library(library, run, before, after):
+    encoding = vector_packing._vocabulary(queries.RANKS_FILE, tuple(queries.SPECIAL.items()))
+    text = before + run + after + run[:60_000]
+    assert vector_packing.encoded(encoding, text) == library.encode(text, add_special_tokens=False).ids

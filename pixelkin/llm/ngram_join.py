@@ -33,7 +33,9 @@ from pixelkin.operators.components import components
 from pixelkin.session import materialize
 
 #: Characters of text whose shingles meet in one task, and bounds of a verified block.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
+#: Bytes of text whose sets are dealt out at once.
+DEALT_BYTES = 4 << 20
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -79,31 +81,31 @@ def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     """Shingles by block of the hash range, packed: a row for each batch and block."""
     names = ["block", "refs", "sizes", "counts", "high", "low"]
 
+    def dealt(sets):
+        refs, parts = (list(x) for x in zip(*sets.items()))
+        sizes = np.array([len(x) for x in parts])
+        every = np.concatenate(parts)
+        block = ((every & _LOW) % np.uint64(blocks)).astype(np.uint32)
+        order = np.argsort(block, kind="stable")
+        block, token = block[order], every[order] >> np.uint64(24)
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[order]
+        high, low = (token >> np.uint64(8)).astype("<u4"), token.astype(np.uint8)
+        cuts = np.flatnonzero(np.diff(block, prepend=block[0] ^ 1))
+        refs, rows = np.array(refs, "<i8"), []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
+            here, runs = np.unique(owner[a:b], return_counts=True)
+            runs, here = _short(runs, here)
+            packed = (refs[here], sizes[here].astype("<u4"), runs, high[a:b], low[a:b])
+            rows.append((int(block[a]), *(x.tobytes() for x in packed)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
+
     def run(batches):
         for batch in batches:
-            seen, refs, parts = set(), [], []
-            for _, distinct, ref in shingle_sets(batch.column(0), width):
-                if len(distinct) and ref not in seen:
-                    seen.add(ref)
-                    refs.append(ref)
-                    parts.append(distinct)
-            if not refs:
-                continue
-            every = np.concatenate(parts)
-            sizes = np.array([len(x) for x in parts])
-            owner = np.repeat(np.arange(len(parts)), sizes)
-            block = ((every & _LOW) % np.uint64(blocks)).astype(np.uint32)
-            order = np.argsort(block, kind="stable")
-            block, owner, token = block[order], owner[order], every[order] >> np.uint64(24)
-            high, low = (token >> np.uint64(8)).astype("<u4"), token.astype(np.uint8)
-            cuts = np.flatnonzero(np.diff(block, prepend=block[0] ^ 1))
-            refs, rows = np.array(refs, "<i8"), []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
-                here, runs = np.unique(owner[a:b], return_counts=True)
-                runs, here = _short(runs, here)
-                packed = (refs[here], sizes[here].astype("<u4"), runs, high[a:b], low[a:b])
-                rows.append((int(block[a]), *(x.tobytes() for x in packed)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
+            column = batch.column(0)
+            for first, last in arrow_text.slices(arrow_text.utf8(column)[1], DEALT_BYTES):
+                sets = {ref: found for _, found, ref in shingle_sets(column.slice(first, last - first), width) if len(found)}
+                if sets:
+                    yield dealt(sets)
 
     schema = "block long, refs binary, sizes binary, counts binary, high binary, low binary"
     return docs.select("text").mapInArrow(run, schema)
@@ -116,8 +118,13 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 def _distinct(token: np.ndarray, owner: np.ndarray, classes: int, packed: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a 40-bit token and a class number, in order; packed into 64 bits where the numbers fit."""
     if classes <= packed:
-        pairs = np.unique((token << np.uint64(24)) | owner.astype(np.uint64))
-        return pairs >> np.uint64(24), (pairs & _LOW).astype(np.int64)
+        pairs = token << np.uint64(24)
+        pairs |= owner
+        pairs.sort()
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        pairs = pairs[new]
+        return pairs >> np.uint64(24), (pairs & _LOW).astype(np.int32)
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order].astype(np.int64)
     new = np.ones(len(token), bool)
@@ -131,10 +138,12 @@ def _shared(homes: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         refs, first, back = np.unique(_joined(table["refs"], "<i8"), return_index=True, return_inverse=True)
         sizes = _joined(table["sizes"], "<u4")[first]
-        token = (_joined(table["high"], "<u4").astype(np.uint64) << np.uint64(8)) | _joined(table["low"], np.uint8)
-        token, owner = _distinct(token, np.repeat(back, _joined(table["counts"], "<u2")), len(refs))
+        token = _joined(table["high"], "<u4").astype(np.uint64)
+        token <<= np.uint64(8)
+        token |= _joined(table["low"], np.uint8)
+        token, owner = _distinct(token, np.repeat(back.astype(np.uint32), _joined(table["counts"], "<u2")), len(refs))
         runs = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-        many = np.diff(runs, append=len(token))
+        many = np.diff(runs, append=len(token)).astype(np.uint32)
         count = np.repeat(many, many)
         keep = count > 1
         token, owner, count = token[keep] | np.uint64(key[0].as_py() << 40), owner[keep], count[keep]

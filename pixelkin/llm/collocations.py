@@ -6,10 +6,12 @@ follow each other in one piece exactly if their places do. One length leads to t
 
 * merge-join: an occurrence meets the one at the next place; both are frequent, the overlap is a candidate of k + 1 words;
 * group and count: a block counts its candidates once, packed and dealt out by hash, and the sums over all blocks decide;
-* semi-join: every block gets those of its own candidates that are frequent and keeps their occurrences.
+* semi-join: every block gets those of its own candidates that are frequent, with their numbers, and keeps their
+  occurrences.
 
-A phrase that occurs everywhere is one entry of each block. Phrases are known by 64-bit hashes of their two overlapping
-parts until texts are joined; what follows (cuts, containment, ranks) are DataFrame joins of frequent phrases.
+A phrase that occurs everywhere is one entry of each block. Frequent phrases are numbered; a longer one is known by the
+numbers of its two overlapping parts, so hashes (64 bits) tell only words from each other and deal out the rest. What
+follows (texts, cuts, containment, ranks) are DataFrame joins of frequent phrases.
 
 Defined results: null or empty text has no words; a null ``lang`` is "und"; repeated rows count each time; an empty
 table gives no phrase; other columns are ignored. Texts are cut into blocks at the borders of pieces, so a block is
@@ -19,6 +21,7 @@ bounded unless a single piece is longer. Scores and limits are decimals of 38 di
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -108,10 +111,14 @@ _RELATION_NAMES = ["lang", "block", "words", "places", "ids", "keys", "names"]
 
 
 def _relation_row(lang: str, block: int, place: np.ndarray, key: np.ndarray, names=lambda first: []) -> tuple:
-    keys, first, ids = np.unique(key, return_index=True, return_inverse=True)
+    keys, first, ids, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    # Frequent ones get small numbers, which pack best.
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(keys), np.uint32)
+    rank[order] = np.arange(len(keys), dtype=np.uint32)
     steps = _packed(np.diff(place, prepend=0).astype("<u4"))
-    named = zstandard.ZstdCompressor(level=1).compress(b"\n".join(names(first)))
-    return lang, block, len(place), steps, _packed(ids.astype("<u4")), _packed(keys.astype("<u8")), named
+    named = zstandard.ZstdCompressor(level=1).compress(b"\n".join(names(first[order])))
+    return lang, block, len(place), steps, _packed(rank[ids]), _packed(keys[order].astype("<u8")), named
 
 
 def _places(row: dict) -> np.ndarray:
@@ -168,14 +175,40 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return arrow_text.mix(left * _BASE + right)
 
 
-def _candidates(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, left, right, key) of the occurrences of ``length`` words that a row of the relation before leads to."""
+@dataclass
+class _Grouped:
+    """A block's candidates in the order in which they are dealt out: by part, then by their parts' numbers."""
+
+    place: np.ndarray
+    group: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    counts: np.ndarray
+    part: np.ndarray
+
+    def parts(self) -> Iterator[tuple[int, int, int]]:
+        cuts = _runs(self.part)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.part)]):
+            if b > a:
+                yield int(self.part[a]), a, b
+
+
+def _candidates(row: dict, length: int, parts: int) -> _Grouped:
+    """Groups of the occurrences of ``length`` words that a row of the relation before leads to."""
     place, key = _places(row), _unpacked(row["keys"], "<u8")[_unpacked(row["ids"], "<u4")]
     if length == 1:
-        return place, key, np.zeros(len(key), np.uint64), key
-    at = np.flatnonzero(place[1:] == place[:-1] + 1)
-    left, right = key[at], key[at + 1]
-    return place[at], left, right, _joined(left, right)
+        left, right, name = key, np.zeros(len(key), np.uint64), key
+    else:
+        at = np.flatnonzero(place[1:] == place[:-1] + 1)
+        place, left, right = place[at], key[at], key[at + 1]
+        name = _joined(left, right)
+    name, first, group, counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    left, right = left[first], right[first]
+    part = (arrow_text.mix(name) >> np.uint64(20)) % np.uint64(parts)
+    order = np.lexsort((right, left, part))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return _Grouped(place, rank[group], left[order], right[order], counts[order], part[order])
 
 
 def _groups(relation: DataFrame, length: int, parts: int) -> DataFrame:
@@ -185,46 +218,40 @@ def _groups(relation: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, left, right, key = _candidates(row, length)
-                key, first, counts = np.unique(key, return_index=True, return_counts=True)
-                if not len(key):
-                    continue
-                left, right = left[first], right[first]
-                named = zstandard.ZstdDecompressor().decompress(row["names"]).split(b"\n") if length == 1 else None
-                part = (arrow_text.mix(key) >> np.uint64(20)) % np.uint64(parts)
-                order = np.lexsort((right, left, part))
-                cuts = _runs(part[order])
+                found = _candidates(row, length, parts)
                 out = []
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-                    at = order[a:b]
-                    texts = b"\n".join([named[k] for k in at.tolist()]) if named else b""
-                    packed = (_packed(left[at]), _packed(right[at]) if length > 1 else b"", _packed(counts[at].astype("<u4")))
-                    out.append((row["lang"], int(part[at[0]]), row["block"], *packed, texts))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], columns)
+                named = None
+                if length == 1 and len(found.left):
+                    texts = zstandard.ZstdDecompressor().decompress(row["names"]).split(b"\n")
+                    named = dict(zip(_unpacked(row["keys"], "<u8").tolist(), texts))
+                for part, a, b in found.parts():
+                    texts = b"\n".join([named[k] for k in found.left[a:b].tolist()]) if named else b""
+                    packed = (_packed(found.left[a:b]), _packed(found.right[a:b]), _packed(found.counts[a:b].astype("<u4")))
+                    out.append((row["lang"], part, row["block"], *packed, texts))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], columns)
 
     schema = "lang string, part long, block long, left binary, right binary, counts binary, names binary"
     names = "names" if length == 1 else "NULL AS names"
     return relation.selectExpr("lang", "block", "places", "ids", "keys", names).mapInArrow(run, schema)
 
 
-_FOUND = "lang string, block long, left binary, right binary, counts binary, names binary"
+_FOUND = "lang string, part long, block long, left binary, right binary, counts binary, ids binary, names binary"
+_PART_GROUPS = 1 << 24
 
 
 def _frequent(length: int, at_least: int):
-    """Of one part of the hash range: a row of all frequent groups, and each block's own frequent keys."""
+    """Of one part of the hash range: a row of all frequent groups, numbered, and for each block the places of its own."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        lang = key[0].as_py()
+        lang, part = key[0].as_py(), key[1].as_py()
         blocks = table["block"].to_numpy()
         left = [_unpacked(x, "<u8") for x in table["left"].to_pylist()]
-        owner = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(x) for x in left])
+        sizes = np.array([len(x) for x in left])
         left = np.concatenate(left)
-        if length > 1:
-            right = np.concatenate([_unpacked(x, "<u8") for x in table["right"].to_pylist()])
-            name = _joined(left, right)
-        else:
-            right, name = np.zeros(len(left), np.uint64), left
+        right = np.concatenate([_unpacked(x, "<u8") for x in table["right"].to_pylist()])
         counts = np.concatenate([_unpacked(x, "<u4") for x in table["counts"].to_pylist()])
+        name = _joined(left, right) if length > 1 else left
         order = np.argsort(name, kind="stable")
         first = _runs(name[order])
         total = np.add.reduceat(counts[order].astype(np.int64), first)
@@ -232,19 +259,27 @@ def _frequent(length: int, at_least: int):
         rows: list[tuple] = []
         if often.any():
             at = order[first[often]]
+            if len(at) >= _PART_GROUPS:
+                raise ValueError("a part has too many frequent groups")
             texts = b""
             if length == 1:
-                named = [x for part in table["names"].to_pylist() for x in part.split(b"\n")]
+                named = [x for own in table["names"].to_pylist() for x in own.split(b"\n")]
                 texts = b"\n".join([named[k] for k in at.tolist()])
-            rows.append((lang, None, _packed(left[at]), _packed(right[at]), _packed(total[often].astype("<i8")), texts))
-            kept = order[np.repeat(often, np.diff(first, append=len(order)))]
-            kept = kept[np.argsort(owner[kept], kind="stable")]
-            cuts = _runs(owner[kept])
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(kept)]):
-                rows.append((lang, int(blocks[owner[kept[a]]]), _packed(np.sort(name[kept[a:b]])), None, None, None))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.string(), pa.int64(), *[pa.binary()] * 4]
-        names = ["lang", "block", "left", "right", "counts", "names"]
+            ids = np.arange(len(at), dtype="<u8") + np.uint64(part * _PART_GROUPS)
+            rows.append((lang, part, None, _packed(left[at]), _packed(right[at]), _packed(total[often].astype("<i8")), _packed(ids), texts))
+            number = np.full(len(name), -1, np.int64)
+            kept = np.repeat(often, np.diff(first, append=len(order)))
+            number[order[kept]] = (np.cumsum(often) - 1).repeat(np.diff(first, append=len(order)))[kept]
+            ends = np.cumsum(sizes)
+            for k in range(len(blocks)):
+                own = number[ends[k] - sizes[k] : ends[k]]
+                places = np.flatnonzero(own >= 0)
+                if len(places):
+                    steps = _packed(np.diff(places, prepend=0).astype("<u4"))
+                    rows.append((lang, part, int(blocks[k]), steps, None, None, _packed(ids[own[places]]), None))
+        columns = list(zip(*rows)) or [()] * 8
+        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        names = ["lang", "part", "block", "left", "right", "counts", "ids", "names"]
         return pa.table({c: pa.array(list(v), k) for c, v, k in zip(names, columns, kinds)})
 
     return run
@@ -257,30 +292,31 @@ def _phrase_keys(found: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                left, right = _unpacked(row["left"], "<u8"), _unpacked(row["right"], "<u8")
-                key = _joined(left, right) if length > 1 else left
-                words = [x.decode() for x in row["names"].split(b"\n")] if length == 1 else [None] * len(left)
-                numbers = [pa.array(x.view("<i8")) for x in (key, left, right)]
-                counts = pa.array(_unpacked(row["counts"], "<i8"))
-                lang = pa.array([row["lang"]] * len(left), pa.string())
-                yield pa.RecordBatch.from_arrays([lang, *numbers, counts, pa.array(words, pa.string())], columns)
+                numbers = [_unpacked(row[c], "<i8") for c in ("ids", "left", "right", "counts")]
+                words = [x.decode() for x in row["names"].split(b"\n")] if length == 1 else [None] * len(numbers[0])
+                lang = pa.array([row["lang"]] * len(words), pa.string())
+                yield pa.RecordBatch.from_arrays([lang, *map(pa.array, numbers), pa.array(words, pa.string())], columns)
 
     schema = "lang string, key long, left long, right long, a long, word string"
     return found.where("block IS NULL").mapInArrow(run, schema)
 
 
-def _kept(length: int):
+def _kept(length: int, parts: int):
     """The semi-join: occurrences of the candidates that are frequent, as the relation of the next length."""
 
     def run(relation: pa.Table, frequent: pa.Table) -> pa.Table:
         rows = []
-        if relation.num_rows and frequent.num_rows:
-            names = np.sort(np.concatenate([_unpacked(x, "<u8") for x in frequent["left"].to_pylist()]))
-            for row in relation.to_pylist():
-                place, _, _, key = _candidates(row, length)
-                at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-                hit = names[at] == key
-                rows.append(_relation_row(row["lang"], row["block"], place[hit], key[hit]))
+        lists = frequent.select(["part", "left", "ids"]).to_pylist()
+        for row in relation.to_pylist() if lists else []:
+            found = _candidates(row, length, parts)
+            start = {part: a for part, a, _ in found.parts()}
+            number = np.full(len(found.left), -1, np.int64)
+            for own in lists:
+                places = np.cumsum(_unpacked(own["left"], "<u4"), dtype=np.int64)
+                number[start[own["part"]] + places] = _unpacked(own["ids"], "<i8")
+            number = number[found.group]
+            hit = number >= 0
+            rows.append(_relation_row(row["lang"], row["block"], found.place[hit], number[hit].astype(np.uint64)))
         columns = list(zip(*rows)) or [()] * len(_RELATION_NAMES)
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
         return pa.table({c: pa.array(list(v), k) for c, v, k in zip(_RELATION_NAMES, columns, kinds)})
@@ -312,9 +348,9 @@ def frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[Data
         before = materialize(texts, f"phrases-{length}")
         phrases.append(before.select("lang", F.lit(length).alias("length"), "phrase", "a"))
         if length < longest:
-            mine = found.where("block IS NOT NULL").select("block", "left")
+            mine = found.where("block IS NOT NULL").select("block", "part", "left", "ids")
             relation = materialize(
-                relation.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_kept(length), _RELATION),
+                relation.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_kept(length, parts), _RELATION),
                 f"occurrences-{length + 1}",
             )
     out = phrases[0]

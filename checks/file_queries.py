@@ -67,6 +67,29 @@ def file_round_trip(spark, sf) -> DataFrame:
     )
 
 
+def file_move(spark, sf) -> DataFrame:
+    """Move every content once, ask again for some of the moves by odd names, and list where all files are then."""
+    root = _new_folder(spark)
+    _written(spark, sf, root)
+    found = materialize(listing.list_media(spark, [f"{root}/src"]), "listed")
+    rows = found.join(media.read_contents(found), "path").withColumn("doc_id", _doc_id())
+    rows = rows.withColumn("taken_at", F.expr(TAKEN)).withColumn("file_id", F.col("doc_id").cast("string"))
+    rows = materialize(rows.select("file_id", "path", "file_name", "file_type", "taken_at", "md5"), "catalogued")
+    plan = materialize(organize.organize_plan(rows, found, f"{root}/lib", "YYYY/MM", "move"), "move-plan")
+    moved = organize.execute_organize(plan)
+    # The destinations once more, as sources that are to move to themselves by another spelling.
+    here = moved.where(F.col("status") == organize.DONE).select("file_id", F.col("dest_path").alias("path"))
+    odd = F.regexp_replace("path", r"/([^/]*)$", "//./$1")
+    again = here.select("file_id", "path", F.lit("move").alias("action"), F.lit(organize.READY).alias("status"), F.lit(None).cast("string").alias("skip_reason"), odd.alias("dest_path"))
+    second = organize.execute_organize(again)
+    places = materialize(listing.list_media(spark, [f"{root}/src", f"{root}/lib"]), "arrived")
+    held = places.join(media.read_contents(places), "path").withColumn("doc_id", _doc_id())
+    noted = second.select(F.col("path"), F.col("skip_reason").alias("second"))
+    return held.join(noted, "path", "left").select(
+        "doc_id", F.when(F.col("path").contains("/lib/"), "lib").otherwise("src").alias("place"), "md5", "second"
+    )
+
+
 def guarded_delete_files(spark, sf) -> DataFrame:
     """Delete every third document's file, ask for others outside the target, and list what is left."""
     root = _new_folder(spark)
@@ -132,7 +155,7 @@ def taken_at_fractions(spark, sf) -> DataFrame:
 
 
 QUERIES = [
-    file_round_trip, guarded_delete_files, ingest_files, group_write, vector_merge, cosine_column, taken_at_fractions,
+    file_round_trip, file_move, guarded_delete_files, ingest_files, group_write, vector_merge, cosine_column, taken_at_fractions,
 ]
 
 _WRITTEN = """w AS (SELECT doc_id, md5(coalesce(text, '')) AS md5, strlen(coalesce(text, ''))::BIGINT AS file_size,
@@ -143,6 +166,8 @@ FROM documents)"""
 ORACLES = {
     "file_round_trip": f"""WITH {_WRITTEN} SELECT folder, file_name, md5, file_size FROM w
 QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY folder, doc_id % 10, file_name) = 1""",
+    "file_move": f"""WITH {_WRITTEN}, r AS (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY folder, doc_id % 10, file_name) AS nth FROM w)
+SELECT doc_id, CASE WHEN nth = 1 THEN 'lib' ELSE 'src' END AS place, md5, CASE WHEN nth = 1 THEN 'destination_is_source' END AS second FROM r""",
     "guarded_delete_files": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'deleted' ELSE 'outside_target' END AS status FROM documents WHERE doc_id % 3 < 2
 UNION ALL SELECT doc_id, 'left' FROM documents WHERE doc_id % 3 > 0""",
     "ingest_files": f"WITH {_WRITTEN} SELECT doc_id, file_name, file_size, 'audio' AS file_type, md5 FROM w",

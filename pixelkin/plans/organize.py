@@ -22,7 +22,7 @@ from pixelkin.sources import storage
 READY = "ready"
 SKIP_MISSING, SKIP_CONTENT, SKIP_UNDATED, SKIP_DATE = "source_missing", "same_content", "no_date", "bad_date"
 DONE, FAILED, SKIPPED = "success", "failed", "skipped"
-DEST_EXISTS = "destination_exists"
+DEST_EXISTS, DEST_IS_SOURCE = "destination_exists", "destination_is_source"
 
 
 def _order() -> Column:
@@ -139,18 +139,24 @@ def organize_plan(
 def _transfer(source: str, dest: str, move: bool) -> str | None:
     """Copy or move one file; None, or why it was not done. Never touches a file that is there and not the same.
 
-    A destination with the source's size and MD5 is an earlier attempt of our own. A moved source is gone when its task
-    runs again; only then does its absence count as success.
+    A destination that is the source under another name (a link to it, other slashes) is left alone, and so is any link: the
+    file behind it may be the only one. A file of its own with the source's size and MD5 is an earlier attempt. A moved
+    source is gone when its task runs again; only then does its absence count as success.
     """
+    if storage.same_place(source, dest):
+        return None if source == dest else DEST_IS_SOURCE
+    if storage.is_link(dest):
+        return DEST_EXISTS
     if not storage.exists(source):
         again = move and TaskContext.get().attemptNumber() > 0 and storage.exists(dest)
         return None if again else SKIP_MISSING
     try:
-        storage.place(source, dest, move)
+        # A second name of a link would be a link again.
+        storage.place(source, dest, move and not storage.is_link(source))
     except FileExistsError:
         if not storage.same_content(source, dest):
             return DEST_EXISTS
-    if move and source != dest:
+    if move:
         storage.remove(source)
     return None
 

@@ -30,6 +30,19 @@ def exists(path: str) -> bool:
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def same_place(a: str, b: str) -> bool:
+    """Whether two paths lead to one directory entry, through links, odd slashes and dots."""
+    (one, left), (other, right) = locate(a), locate(b)
+    if isinstance(one, fs.LocalFileSystem) and isinstance(other, fs.LocalFileSystem):
+        return os.path.realpath(left) == os.path.realpath(right)
+    return one == other and os.path.normpath(left) == os.path.normpath(right)
+
+
+def is_link(path: str) -> bool:
+    system, inner = locate(path)
+    return isinstance(system, fs.LocalFileSystem) and os.path.islink(inner)
+
+
 def remove(path: str) -> None:
     system, inner = locate(path)
     system.delete_file(inner)

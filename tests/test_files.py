@@ -169,6 +169,35 @@ def test_organize_never_overwrites(spark, folder):
     assert moved.where("status = 'failed'").count() == 1
 
 
+def test_a_move_onto_itself_keeps_the_file(tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "other").symlink_to(tmp_path / "lib")
+    cases = {"odd": "lib//odd.jpg", "dot": "lib/./dot.jpg", "up": "lib/../lib/up.jpg", "folder": "other/folder.jpg"}
+    for name, dest in cases.items():
+        file = tmp_path / "lib" / f"{name}.jpg"
+        file.write_bytes(name.encode())
+        assert organize._transfer(str(file), f"{tmp_path}/{dest}", True) == organize.DEST_IS_SOURCE
+        assert file.read_bytes() == name.encode()
+    # Links: the destination leads to the source, the source to the destination, and to a third file of equal content.
+    source = tmp_path / "a.jpg"
+    source.write_bytes(b"only")
+    (tmp_path / "lib" / "a.jpg").symlink_to(source)
+    assert organize._transfer(str(source), f"{tmp_path}/lib/a.jpg", True) == organize.DEST_IS_SOURCE
+    assert organize._transfer(f"{tmp_path}/lib/a.jpg", str(source), True) == organize.DEST_IS_SOURCE
+    assert source.read_bytes() == b"only"
+    (tmp_path / "third.jpg").write_bytes(b"only")
+    (tmp_path / "lib" / "b.jpg").symlink_to(tmp_path / "third.jpg")
+    assert organize._transfer(str(source), f"{tmp_path}/lib/b.jpg", True) == organize.DEST_EXISTS
+    # A second hard name may stay alone: the content is still there under it.
+    os.link(source, tmp_path / "lib" / "c.jpg")
+    assert organize._transfer(str(source), f"{tmp_path}/lib/c.jpg", True) is None
+    assert (tmp_path / "lib" / "c.jpg").read_bytes() == b"only" and not source.exists()
+    # A source that is a link moves as a file of its own.
+    (tmp_path / "d.jpg").symlink_to(tmp_path / "third.jpg")
+    assert organize._transfer(f"{tmp_path}/d.jpg", f"{tmp_path}/lib/d.jpg", True) is None
+    assert not (tmp_path / "lib" / "d.jpg").is_symlink() and (tmp_path / "third.jpg").exists()
+
+
 def test_names_are_free_whatever_exists(spark):
     """The first names that a conflict would get are all taken on disk."""
     wanted = [("/a/x.jpg", None, "/t", "x.jpg"), ("/b/x.jpg", None, "/t", "x.jpg")]

@@ -218,6 +218,12 @@ FROM (SELECT file_id, {DATE} AS dp FROM d), (SELECT unnest(['YYYY/MM/DD', 'YYYY/
     "cosine_pairs": _with(
         M,
         """SELECT a.fid AS a, b.fid AS b, round(list_inner_product(a.vector, b.vector), 9) AS sim FROM m a JOIN m b ON a.fid < b.fid
+WHERE list_inner_product(a.vector, b.vector) >= 0.93""",
+    ),
+    "hamming_pairs_pivots": _with(M + _HASH_PAIRS, "SELECT * FROM hp WHERE dist <= 12"),
+    "cosine_pairs_pivots": _with(
+        M,
+        """SELECT a.fid AS a, b.fid AS b, round(list_inner_product(a.vector, b.vector), 9) AS sim FROM m a JOIN m b ON a.fid < b.fid
 WHERE list_inner_product(a.vector, b.vector) >= 0.93""",
     ),
     "similarity_components": _with(

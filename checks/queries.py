@@ -117,6 +117,18 @@ def cosine_pairs(spark, sf):
     return vectors.cosine_pairs(points, 0.93)
 
 
+def hamming_pairs_pivots(spark, sf):
+    """The metric partition at the widest default reach, in small blocks."""
+    hashes = materialize(inputs.near_files(spark, sf).select("phash").distinct(), "hashes")
+    return pairs.pivot_hamming_pairs(hashes, 12, hashes.count(), 256)
+
+
+def cosine_pairs_pivots(spark, sf):
+    points = inputs.near_files(spark, sf).select(F.col("file_id").cast("long").alias("id"), "vector")
+    points = materialize(points, "points")
+    return vectors.pivot_cosine_pairs(points, 0.93, points.count(), 1.0 + 1e-9, 256)
+
+
 def similarity_components(spark, sf):
     found = pairs.hamming_pairs(inputs.near_files(spark, sf), 8)
     return components.components(found)
@@ -369,7 +381,8 @@ def reclaimable(spark, sf):
 QUERIES = [
     classify_extension, file_name, normalize_exif_date, taken_at_fallback, content_md5, gradient_hash_array,
     l2_normalize, date_parts, date_template_all, relative_folder, under_dir_counts, type_filter,
-    hamming_pairs_le8, hamming_pairs_banded, hamming_two_band, cosine_pairs, similarity_components, md5_groups,
+    hamming_pairs_le8, hamming_pairs_banded, hamming_two_band, cosine_pairs, hamming_pairs_pivots, cosine_pairs_pivots,
+    similarity_components, md5_groups,
     path_key_first, need_vectors, verify_evictions, phash_validation, oversized_split_phash,
     oversized_split_cosine, dedup_phash, dedup_phash_ai, dedup_ai, dedup_summary, dedup_summary_ai,
     scan_summary, source_type_counts, incremental_new_files, catalog_append, one_row_per_path, stale_rows,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pixelkin.functions.fingerprints import hamming
 from pixelkin.operators.chunks import batches_of, busy_blocks, chunked, grid_chunks, grid_pairs, items_of, struct_field
+from pixelkin.operators.pivots import HAMMING, Partition, partitioned
 from pixelkin.session import is_empty, materialize
 
 PAIRS_SCHEMA = "a long, b long, dist int"
@@ -28,6 +29,8 @@ _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dist", pa.int3
 _KEY_COST, _CANDIDATE_COST, _BLOCK_COST = 1e-6, 5e-8, 1.5e-9
 # Hashes in a block, whatever their number; more hashes make more blocks and tasks.
 _BLOCK_ROWS = 4096
+# Above so many hashes, blocks are those of a metric partition, and pairs of blocks that lie apart are never joined.
+PIVOT_ROWS = 50_000
 # Band values shared by more hashes than this are compared in blocks instead of inside one join task.
 HOT_BAND_ROWS = 50_000
 _MASK64 = (1 << 64) - 1
@@ -229,6 +232,16 @@ def grid_hamming_pairs(hashes: DataFrame, threshold: int, n: int) -> DataFrame:
     return grid_pairs(chunks, pieces).mapInArrow(_grid_kernel(threshold), PAIRS_SCHEMA)
 
 
+def hash_partition(hashes: DataFrame, threshold: int, n: int, block_rows: int = _BLOCK_ROWS) -> Partition:
+    """Blocks of near hashes of a stored table (phash), and the pairs of blocks that may hold a pair."""
+    return partitioned(hashes, "phash", "phash", ["phash"], HAMMING, threshold, n, block_rows)
+
+
+def pivot_hamming_pairs(hashes: DataFrame, threshold: int, n: int, block_rows: int = _BLOCK_ROWS) -> DataFrame:
+    """Pairs by comparing only those blocks that the triangle inequality does not keep apart."""
+    return hash_partition(hashes, threshold, n, block_rows).joined().mapInArrow(_grid_kernel(threshold), PAIRS_SCHEMA)
+
+
 def band_hamming_pairs(
     hashes: DataFrame, threshold: int, bands: list[Band], hot_rows: int = HOT_BAND_ROWS, check_hot: bool = True
 ) -> DataFrame:
@@ -277,7 +290,7 @@ def hamming_pairs(
     n = distinct.count()
     bands = choose_bands(threshold, n)
     if bands is None:
-        return grid_hamming_pairs(distinct, threshold, n)
+        return pivot_hamming_pairs(distinct, threshold, n) if n > PIVOT_ROWS else grid_hamming_pairs(distinct, threshold, n)
     return band_hamming_pairs(distinct, threshold, bands, hot_rows, check_hot=n > hot_rows)
 
 

@@ -17,12 +17,17 @@ from pyspark.sql import types as T
 
 from pixelkin.functions.fingerprints import cosine, dot, hamming
 from pixelkin.operators.chunks import batches_of, busy_blocks, chunked, grid_chunks, grid_pairs, items_of, matrix_of, struct_field
+from pixelkin.operators.pivots import ANGLE, Partition, partitioned
 from pixelkin.operators.skew import keyed_join
 from pixelkin.session import is_empty, materialize
 
 DIGITS = 9
 # Size of a block, whatever the number of vectors; more vectors make more blocks and tasks.
 _BLOCK_BYTES = 4 << 20
+# Vectors of this length are multiplied in two steps.
+_LONG_VECTOR = 64
+# Above so many vectors of one length, blocks are those of a metric partition by angles.
+PIVOT_ROWS = 50_000
 
 
 def vector_key(vector) -> F.Column:
@@ -35,16 +40,51 @@ def _by_length(vectors: pa.Array) -> dict[int, np.ndarray]:
     return {int(n): np.nonzero(lengths == n)[0] for n in np.unique(lengths) if n}
 
 
-def _similarities(left: pa.Array, right: pa.Array):
-    """(left positions, right positions, unrounded similarity matrix) for each shared vector length."""
+def _matrices(left: pa.Array, right: pa.Array):
+    """(left positions, right positions, left matrix, right matrix) for each shared vector length."""
     lk, rk = _by_length(left), _by_length(right)
     for n in lk.keys() & rk.keys():
         li, ri = lk[n], rk[n]
         lm = matrix_of(left if len(li) == len(left) else left.take(pa.array(li))).astype(np.float64)
         rm = matrix_of(right if len(ri) == len(right) else right.take(pa.array(ri))).astype(np.float64)
+        yield li, ri, lm, rm
+
+
+def _similarities(left: pa.Array, right: pa.Array):
+    """(left positions, right positions, unrounded similarity matrix) for each shared vector length."""
+    for li, ri, lm, rm in _matrices(left, right):
         yield li, ri, lm @ rm.T
 
 
+def _close(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the pairs of rows that reach the threshold, unrounded.
+
+    Of long vectors a quarter is multiplied first: the rest can add no more than the product of its lengths. Where few pairs
+    remain, only these are worked out.
+    """
+    width = left.shape[1]
+    head = width // 4
+    if width < _LONG_VECTOR:
+        sims = left @ right.T
+        i, j = np.nonzero(sims >= threshold)
+        return i, j, sims[i, j]
+    rest_left = np.sqrt((left[:, head:] ** 2).sum(axis=1))
+    rest_right = np.sqrt((right[:, head:] ** 2).sum(axis=1))
+    bound = left[:, :head] @ right[:, :head].T
+    bound += rest_left[:, None] * rest_right[None, :]
+    i, j = np.nonzero(bound >= threshold - 1e-9)
+    if len(i) * 16 > bound.size:
+        sims = left @ right.T
+        i, j = np.nonzero(sims >= threshold)
+        return i, j, sims[i, j]
+    sims = np.empty(len(i))
+    for at in range(0, len(i), 8192):
+        part = slice(at, at + 8192)
+        sims[part] = np.einsum("ij,ij->i", left[i[part]], right[j[part]])
+    near = sims >= threshold
+    return i[near], j[near], sims[near]
+
+
 def _pair_kernel(threshold: float):
     """Chunk pairs -> (a, b, sim) at or above the threshold; ``same`` marks a chunk against itself."""
 
@@ -59,9 +99,9 @@ def _pair_kernel(threshold: float):
             for r in range(batch.num_rows):
                 left = lvec.slice(int(lo[r]), int(lo[r + 1] - lo[r]))
                 right = rvec.slice(int(ro[r]), int(ro[r + 1] - ro[r]))
-                for li, ri, sims in _similarities(left, right):
-                    i, j = np.nonzero(sims >= threshold - 10.0**-DIGITS)
-                    close = np.round(sims[i, j], DIGITS)
+                for li, ri, lm, rm in _matrices(left, right):
+                    i, j, close = _close(lm, rm, threshold - 10.0**-DIGITS)
+                    close = np.round(close, DIGITS)
                     kept = close >= threshold
                     if same[r]:
                         kept &= li[i] < ri[j]
@@ -85,19 +125,58 @@ def _pair_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
+def angle_partition(points: DataFrame, threshold: float, rows: int, longest: float, block_rows: int) -> Partition:
+    """Blocks of stored ``points`` (id, vector) of one width with near directions, and the pairs of blocks to compare.
+
+    Two vectors no longer than ``longest`` reach the threshold only within a certain angle.
+    """
+    reach = math.acos(min(1.0, max(-1.0, (threshold - 10.0**-DIGITS) / max(longest**2, 1e-300))))
+    return partitioned(points, "vector", "id", ["id", "vector"], ANGLE, reach, rows, block_rows)
+
+
+def pivot_cosine_pairs(points: DataFrame, threshold: float, rows: int, longest: float, block_rows: int) -> DataFrame:
+    """Pairs of one width by comparing only those blocks that the triangle inequality of angles does not keep apart."""
+    joined = angle_partition(points, threshold, rows, longest, block_rows).joined()
+    found = joined.mapInArrow(_pair_kernel(threshold), _pair_schema(points.schema["id"].dataType))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+
+
 def cosine_pairs(points: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """All pairs of ``points`` (id, vector) with cosine at least ``threshold`` -> (a, b, sim), a < b.
 
-    Exact: blocks of vectors against blocks of vectors as matrix products, spread evenly over the cluster.
+    Exact: blocks of vectors against blocks of vectors as matrix products, spread evenly over the cluster. Many vectors
+    of one width are cut into blocks of near directions first, and only blocks that may hold a pair meet.
     Equal vectors should be collapsed before.
     """
     points = points.where(F.size("vector") > 0)
+    parts = []
     if blocks is None:
-        n, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+        # One row per width with so many vectors.
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+        widths = points.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"))
+        sizes = widths.groupBy((F.col("n") > PIVOT_ROWS).alias("many")).agg(
+            F.sum("n").alias("n"), F.max("width").alias("width"),
+            F.collect_list(F.when(F.col("n") > PIVOT_ROWS, F.struct("width", "n", "longest"))).alias("found"),
+        )
+        n, width = 0, 1
+        for row in sizes.collect():
+            if row["many"] and threshold > 0:
+                parts = row["found"]
+            else:
+                n, width = n + row["n"], max(width, row["width"])
         blocks = max(1, math.ceil(n * width * 8 / _BLOCK_BYTES), busy_blocks(points.sparkSession, n))
+    out = None
+    for part in parts:
+        own = materialize(points.where(F.size("vector") == part["width"]), "wide-vectors")
+        rows = max(256, min(4096, _BLOCK_BYTES // (8 * part["width"])))
+        found = pivot_cosine_pairs(own, threshold, part["n"], part["longest"], rows)
+        out = found if out is None else out.unionByName(found)
+    if parts:
+        points = points.where(~F.size("vector").isin([p["width"] for p in parts]))
     chunks = grid_chunks(points, "id", ["id", "vector"], blocks)
     found = grid_pairs(chunks, blocks).mapInArrow(_pair_kernel(threshold), _pair_schema(points.schema["id"].dataType))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    return found if out is None else out.unionByName(found)
 
 
 def linked_cosine_pairs(links: DataFrame, points: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:

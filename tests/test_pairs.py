@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import popcount
 from cases import signed
 
-from pixelkin.operators import pairs
+from pixelkin.operators import pairs, vectors
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,77 @@ def test_large_inputs_use_bands():
     assert pairs.choose_bands(8, 10**4) is None
     assert len(pairs.choose_bands(8, 10**7)) >= 2
     assert pairs.choose_bands(20, 10**9) is None
+
+
+@pytest.mark.parametrize("threshold,block_rows", [(0, 16), (4, 16), (12, 40), (30, 4096)])
+def test_pivot_join(sample, threshold, block_rows):
+    frame, every = sample
+    got = [tuple(r) for r in pairs.pivot_hamming_pairs(frame, threshold, frame.count(), block_rows).collect()]
+    assert sorted(got) == sorted(p for p in every if p[2] <= threshold)
+
+
+def test_clustered_hashes_are_not_compared_all_with_all(spark, monkeypatch):
+    rng, found = random.Random(9), set()
+    for _ in range(40):
+        centre = rng.getrandbits(64)
+        found |= {signed(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))) for _ in range(30)}
+    frame = spark.createDataFrame([(h,) for h in found], "phash long").repartition(5)
+    counts = pairs.hash_partition(frame, 6, len(found), 16).counts()
+    assert counts["blocks"] >= 70 and counts["skipped"] > 0.9 * counts["block_pairs"]
+    monkeypatch.setattr(pairs, "PIVOT_ROWS", 100)
+    hashes = sorted(found)
+    expected = sorted((a, b, popcount(a, b)) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if popcount(a, b) <= 24)
+    assert sorted(tuple(r) for r in pairs.hamming_pairs(frame, 24).collect()) == expected
+
+
+def test_no_hashes_and_one(spark):
+    none = spark.createDataFrame([], "phash long")
+    assert pairs.pivot_hamming_pairs(spark.createDataFrame([(5,)], "phash long"), 3, 1).count() == 0
+    assert pairs.hamming_pairs(none, 3).count() == 0
+
+
+def directions(seed=3, clusters=12, size=25, width=96):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(clusters):
+        centre = rng.normal(size=width)
+        for _ in range(size):
+            v = centre + rng.normal(size=width) * rng.choice([0.02, 0.15, 0.4])
+            rows.append(v / np.linalg.norm(v) * rng.choice([1.0, 1.0, 0.97, 1.2]))
+    rows += [np.zeros(width), rows[0], *[rng.normal(size=7) for _ in range(9)], np.array([])]
+    return [(k, [float(x) for x in v]) for k, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("threshold", [0.93, 0.4, 1.3, -0.05])
+def test_cosine_pairs_by_angles(spark, monkeypatch, threshold):
+    monkeypatch.setattr(vectors, "PIVOT_ROWS", 50)
+    monkeypatch.setattr(vectors, "_BLOCK_BYTES", 16 * 96 * 8)
+    rows = directions()
+    frame = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
+    got = {(r.a, r.b): r.sim for r in vectors.cosine_pairs(frame, threshold).collect()}
+    expected = {}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if x and len(x) == len(y) and (sim := round(float(np.dot(x, y)), 9)) >= threshold:
+                expected[a, b] = sim
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1e-8 for k in got)
+
+
+def test_near_directions_only_meet_near_ones(spark):
+    frame = spark.createDataFrame([r for r in directions() if len(r[1]) == 96], "id long, vector array<double>")
+    counts = vectors.angle_partition(frame, 1.2, 302, 1.2, 16).counts()
+    assert counts["skipped"] > 0.5 * counts["block_pairs"]
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.2, -2.0])
+def test_partial_products_lose_nothing(threshold):
+    rng = np.random.default_rng(2)
+    for width in (3, 64, 200):
+        left, right = rng.normal(size=(90, width)), rng.normal(size=(70, width))
+        right[:20] = left[:20] + rng.normal(size=(20, width)) * 0.1
+        left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right))
+        i, j, sims = vectors._close(left, right, threshold)
+        full = left @ right.T
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(full >= threshold))))
+        assert np.allclose(sims, full[i, j])

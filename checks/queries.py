@@ -200,6 +200,11 @@ def dedup_phash(spark, sf):
     return _run(spark, sf, "phash").groups
 
 
+def dedup_phash_levels(spark, sf):
+    """Components beyond what one task may hold: merged level by level."""
+    return _run(spark, sf, "phash", DedupConfig(component_edge_limit=2)).groups
+
+
 def dedup_phash_ai(spark, sf):
     return _run(spark, sf, "phash_ai").groups
 

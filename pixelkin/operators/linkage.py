@@ -6,9 +6,11 @@ a connected component of the initiating pairs, so components are independent of
 
 * a component whose clusters are all mutually similar is one group, whatever the order;
 * a component of bounded size is merged in one task;
-* any larger one is merged in distributed rounds: in each round every cluster pair that is the first
-  choice of both sides merges. Clusters that became incompatible are dropped, which soon breaks the
-  component into bounded ones.
+* any larger one is merged level by level. A level is a bound on the rank: pairs above it cannot act before all
+  below it are decided, and those below it hang together in much smaller components. Such a component is settled
+  in one task through the level if it is bounded; in one that is not, every cluster pair that is the first choice of both
+  sides merges. After each level, edges of merged clusters are folded and incompatible ones dropped. The bound follows
+  a quantile of the ranks that are left: higher as long as all components are bounded, lower when one is not.
 
 All three give the result of one sequential pass over the whole pair list.
 """
@@ -26,11 +28,14 @@ from pixelkin.operators.chunks import batches_of, items_of, struct_field
 from pixelkin.operators.components import components
 from pixelkin.session import is_empty, materialize
 
+_SIZES = ("na", "nb", "wa", "wb")
 # Columns of an edge between two clusters. ``a`` is the cluster that holds the first file of the best
 # initiating pair, ``k`` that pair's rank (null when no pair may initiate a merge), ``cnt`` the similar
 # cross pairs, ``n*`` the points and ``w*`` the files of each side.
 EDGE_COLUMNS = ["a", "b", "na", "nb", "wa", "wb", "cnt", "k"]
-_ROUNDS_BEFORE_REGROUPING = 3
+# Ranks that a bound is picked from, and the smallest part of the pairs that a level takes.
+_SAMPLE_RANKS = 1024
+_LEAST_SHARE = 1.0 / 64
 
 
 def cluster_edges(point_pairs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -136,34 +141,44 @@ def _live(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("cnt") == F.col("na") * F.col("nb"))
 
 
-def _round(edges: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge every cluster pair that is the first choice of both sides; ``placed``: (cid, current, seq)."""
-    choice = F.struct("k", "a", "b", "na", "nb", "wa", "wb")
-    ends = edges.where(F.col("k").isNotNull()).select(F.explode(F.array("a", "b")).alias("c"), choice.alias("m"))
+def _agreed_moves(starters: DataFrame) -> DataFrame:
+    """Moves (old, new, shift, size) for the cluster pairs that are the first choice of both sides."""
+    choice = F.struct("k", "a", "b", *_SIZES)
+    ends = starters.select(F.explode(F.array("a", "b")).alias("c"), choice.alias("m"))
     best = ends.groupBy("c").agg(F.min("m").alias("m"))
     agreed = best.groupBy("m").count().where(F.col("count") == 2).select("m.*")
     a_keeps = F.col("wa") > F.col("wb")
     merged = F.struct((F.col("na") + F.col("nb")).alias("n"), (F.col("wa") + F.col("wb")).alias("w"))
-    moves = agreed.select(
+    none = F.lit(0).cast("long")
+    sides = [("a", F.when(a_keeps, none).otherwise(F.col("nb"))), ("b", F.when(a_keeps, F.col("na")).otherwise(none))]
+    return agreed.select(
         F.explode(
             F.array(
-                F.struct(
-                    F.col("a").alias("old"),
-                    F.when(a_keeps, F.col("a")).otherwise(F.col("b")).alias("new"),
-                    F.when(a_keeps, F.lit(0).cast("long")).otherwise(F.col("nb")).alias("shift"),
-                    merged.alias("size"),
-                ),
-                F.struct(
-                    F.col("b").alias("old"),
-                    F.when(a_keeps, F.col("a")).otherwise(F.col("b")).alias("new"),
-                    F.when(a_keeps, F.col("na")).otherwise(F.lit(0).cast("long")).alias("shift"),
-                    merged.alias("size"),
-                ),
+                *(
+                    F.struct(
+                        F.col(side).alias("old"), F.when(a_keeps, F.col("a")).otherwise(F.col("b")).alias("new"),
+                        shift.alias("shift"), merged.alias("size"),
+                    )
+                    for side, shift in sides
+                )
             )
         ).alias("e")
     ).select("e.old", "e.new", "e.shift", "e.size")
-    moves = materialize(moves, "moves")
 
+
+def _settled_moves(inside: DataFrame, id_type: T.DataType) -> DataFrame:
+    """Moves of all merges inside bounded components (edges with ``component``; a null key may not start a merge)."""
+    ends = inside.select(F.explode(F.array(*(F.struct(F.col(x).alias("cid"), F.col(f"n{x}").alias("n"), F.col(f"w{x}").alias("w")) for x in "ab"))).alias("e"))
+    sizes = ends.select("e.*").groupBy("cid").agg(F.first("n").alias("n"), F.first("w").alias("w"))
+    merged = _merge_bounded(inside, id_type).join(sizes, "cid")
+    totals = merged.groupBy("final").agg(F.struct(F.sum("n").alias("n"), F.sum("w").alias("w")).alias("size"), F.count("*").alias("many"))
+    return merged.join(totals.where("many > 1"), "final").select(
+        F.col("cid").alias("old"), F.col("final").alias("new"), F.col("seq").alias("shift"), "size"
+    )
+
+
+def _moved(edges: DataFrame, placed: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and places (cid, current, seq) after the moves."""
     for side in ("a", "b"):
         step = moves.select(F.col("old").alias(side), F.col("new").alias("_new"), F.col("size").alias("_size"))
         edges = edges.join(step, side, "left").withColumns(
@@ -200,6 +215,51 @@ def _round(edges: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(_live(folded), "linkage-edges"), materialize(placed, "linkage-placed")
 
 
+def _literal(value, kind: T.DataType) -> F.Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*(_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields))
+    return F.lit(value).cast(kind)
+
+
+def _bound(starters: DataFrame, share: float) -> F.Column:
+    """A rank that about this share of the pairs does not exceed, from a bounded sample of them."""
+    sample = starters.orderBy(F.xxhash64("a", "b")).select("k").limit(_SAMPLE_RANKS).collect()
+    ranks = sorted(r["k"] for r in sample)
+    chosen = ranks[min(len(ranks) - 1, int(share * len(ranks)))]
+    return _literal(chosen, starters.schema["k"].dataType)
+
+
+def _in_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends in one component of ``nodes`` (node, component)."""
+    inside = edges.join(nodes.select(F.col("node").alias("a"), "component"), "a")
+    inside = inside.join(nodes.select(F.col("node").alias("b"), F.col("component").alias("other")), "b")
+    return inside.where(F.col("component") == F.col("other")).drop("other")
+
+
+def merge_levels(edges: DataFrame, placed: DataFrame, cfg: DedupConfig) -> tuple[DataFrame, int]:
+    """``placed`` (cid, current, seq) after all merges along live ``edges``, and the number of levels taken."""
+    id_type, share, levels = edges.schema["a"].dataType, 0.5, 0
+    while True:
+        starters = edges.where(F.col("k").isNotNull())
+        if is_empty(starters):
+            return placed, levels
+        levels += 1
+        limit = _bound(starters, share)
+        low = F.col("k") <= limit
+        nodes = materialize(components(starters.where(low)), "level-components")
+        inside = materialize(_in_components(edges, nodes).withColumn("k", F.when(low, F.col("k"))), "level-edges")
+        counts = inside.groupBy("component").agg((F.count("*") > cfg.component_edge_limit).alias("large"))
+        large = materialize(counts.where("large").select("component"), "level-large")
+        bounded = inside.join(large, "component", "left_anti")
+        moves = _settled_moves(bounded, id_type)
+        all_bounded = is_empty(large)
+        if not all_bounded:
+            rest = inside.join(large, "component", "left_semi").where(F.col("k").isNotNull())
+            moves = moves.unionByName(_agreed_moves(rest))
+        edges, placed = _moved(edges, placed, materialize(moves, "moves"))
+        share = min(1.0, share * 2) if all_bounded else max(_LEAST_SHARE, share / 2)
+
+
 def complete_linkage(
     edges: DataFrame, cfg: DedupConfig = DedupConfig(), ordered: bool = False, all_initiate: bool = False
 ) -> DataFrame:
@@ -212,13 +272,14 @@ def complete_linkage(
     id_type = edges.schema["a"].dataType
     live = materialize(_live(edges), "linkage-live")
     nodes = components(live.where(F.col("k").isNotNull()))
-    inside = live.join(nodes.select(F.col("node").alias("a"), "component"), "a")
-    if not all_initiate:
-        inside = inside.join(nodes.select(F.col("node").alias("b"), F.col("component").alias("other")), "b")
-        inside = inside.where(F.col("component") == F.col("other")).drop("other")
+    if all_initiate:
+        inside = live.join(nodes.select(F.col("node").alias("a"), "component"), "a")
+    else:
+        inside = _in_components(live, nodes)
     if live.count() <= cfg.component_edge_limit:
         return _merge_bounded(inside, id_type)
     nodes = materialize(nodes, "linkage-components")
+    inside = materialize(inside, "linkage-inside")
     counts = inside.groupBy("component").agg(
         F.count("*").alias("edges"), F.sum(F.col("wa") + F.col("wb")).alias("ends")
     )
@@ -244,18 +305,9 @@ def complete_linkage(
     if is_empty(large):
         return materialize(result, "linkage")
 
-    current = inside.join(large, "component", "left_semi").select(*EDGE_COLUMNS)
+    current = materialize(inside.join(large, "component", "left_semi").select(*EDGE_COLUMNS), "linkage-edges")
     placed = nodes.join(large, "component", "left_semi").select(
         F.col("node").alias("cid"), F.col("node").alias("current"), F.lit(0).cast("long").alias("seq")
     )
-    for _ in range(_ROUNDS_BEFORE_REGROUPING):
-        current, placed = _round(current, placed)
-        if is_empty(current.where(F.col("k").isNotNull())):
-            return materialize(result.unionByName(placed.withColumnRenamed("current", "final")), "linkage")
-    deeper = complete_linkage(current, cfg, ordered, all_initiate).select(F.col("cid").alias("current"), "final", F.col("seq").alias("shift"))
-    placed = placed.join(deeper, "current", "left").select(
-        "cid",
-        F.coalesce("final", "current").alias("final"),
-        (F.col("seq") + F.coalesce("shift", F.lit(0))).alias("seq"),
-    )
-    return materialize(result.unionByName(placed), "linkage")
+    placed, _ = merge_levels(current, placed, cfg)
+    return materialize(result.unionByName(placed.withColumnRenamed("current", "final")), "linkage")

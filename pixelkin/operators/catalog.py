@@ -6,6 +6,8 @@ choices are aggregates with map-side combining, so a key shared by many rows is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,15 +142,59 @@ def source_type_counts(files: DataFrame, target_dir: str | None) -> DataFrame:
 # --- writing -----------------------------------------------------------------------------------------
 
 
+def _file_system(spark, path: str):
+    """(Hadoop file system, its path class)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def _has_data(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    system, at = _file_system(spark, path)
+    return system.exists(at(path))
+
+
+#: The name of a partition that is being replaced; names that begin so are not read.
+_ASIDE = "_replaced-"
+
+
+def _restore(spark, path: str) -> None:
+    """Put back partitions that a run set aside and did not get to replace; forget those that it did."""
+    system, at = _file_system(spark, path)
+    for state in system.listStatus(at(path)):
+        name = state.getPath().getName()
+        if name.startswith(_ASIDE):
+            place = at(f"{path}/{name[len(_ASIDE):]}")
+            if system.exists(place):
+                system.delete(state.getPath(), True)
+            else:
+                system.rename(state.getPath(), place)
+
+
+def replace_partition(rows: DataFrame, partition: str, path: str) -> None:
+    """Write ``rows`` as the partition folder ``partition`` (such as project_id=x) of the table at ``path``.
+
+    They are written whole beside the table's data first. Then the old folder steps aside and the new one takes its name; a run
+    that dies anywhere leaves the old rows or the new ones (``read_table`` puts a folder back that stepped aside in vain).
+    One writer at a time.
+    """
+    spark = rows.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    system, at = _file_system(spark, path)
+    _restore(spark, path)
+    place, aside = at(f"{path}/{partition}"), at(f"{path}/{_ASIDE}{partition}")
+    if system.exists(place) and not system.rename(place, aside):
+        raise OSError(f"{place} cannot step aside")
+    if not system.rename(at(staged), place):
+        raise OSError(f"{staged} cannot take its place")
+    system.delete(aside, True)
 
 
 def read_table(spark, path: str, schema) -> DataFrame:
     """A stored table, or an empty one before the first write."""
     if not _has_data(spark, path):
         return spark.createDataFrame([], schema)
+    _restore(spark, path)
     return conform(spark.read.schema(schema).parquet(path), schema)
 
 
@@ -164,7 +210,15 @@ def store_groups(groups: DataFrame, project_id: str, path: str) -> None:
     also when the project has no group any more.
     """
     rows = conform(groups.withColumn("project_id", F.lit(project_id)), GROUPS).drop("project_id")
-    rows.write.mode("overwrite").parquet(f"{path}/project_id={project_id}")
+    replace_partition(rows, f"project_id={project_id}", path)
+
+
+def outside_folders(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """``rows`` (path) that do not lie below any of ``folders`` (path)."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    under = rows.select("path", F.explode(above).alias("folder")).join(folders.select(F.col("path").alias("folder")), "folder", "left_semi")
+    return rows.join(under.select("path").distinct(), "path", "left_anti")
 
 
 def store_vectors(fresh: DataFrame, vectors: DataFrame, path: str) -> None:

@@ -50,12 +50,16 @@ _TIMINGS = T.StructType([T.StructField("name", T.StringType()), T.StructField("d
 
 @dataclass
 class DedupRun:
-    """``groups``: (file_id, group_id) of every file in a group of two or more."""
+    """``groups``: (file_id, group_id) of every file in a group of two or more.
+
+    ``closed_folders``: folders (path) of the target that the flow could not read, and whose files it kept.
+    """
 
     groups: DataFrame
     summary: DataFrame
     timings: DataFrame
     new_vectors: DataFrame | None = None
+    closed_folders: DataFrame | None = None
 
 
 @dataclass

@@ -19,7 +19,7 @@ from pixelkin.plans.dedup import PHASH_AI, DedupRun, Embedder, dedup
 from pixelkin.plans.scan import scan
 from pixelkin.schemas import FILES, VECTORS, conform
 from pixelkin.session import materialize
-from pixelkin.sources.listing import list_media
+from pixelkin.sources.listing import list_media, list_media_and_closed
 from pixelkin.sources.media import Decoder
 
 
@@ -41,17 +41,23 @@ class Store:
     def replace_files(self, rows: DataFrame, project_id: str) -> None:
         """One project's rows in place of what it had; they are written elsewhere first, as they come from that table."""
         kept = materialize(conform(rows, FILES).drop("project_id"), "kept-files")
-        kept.write.mode("overwrite").parquet(f"{self.path('files')}/project_id={project_id}")
+        catalog.replace_partition(kept, f"project_id={project_id}", self.path("files"))
 
 
-def _drop_stale(spark: SparkSession, store: Store, project_id: str, target_dir: str) -> None:
-    """Forget files below the target that are gone from the disk."""
+def _drop_stale(spark: SparkSession, store: Store, project_id: str, target_dir: str) -> DataFrame:
+    """Forget files below the target that are gone from the disk; the folders (path) that could not be read.
+
+    What lies below such a folder may well be there and is kept.
+    """
     files = store.files(spark)
-    gone = catalog.stale_rows(files, list_media(spark, [target_dir]), project_id, target_dir)
+    listed, closed = list_media_and_closed(spark, [target_dir])
+    closed = materialize(closed, "closed-folders")
+    gone = catalog.outside_folders(catalog.stale_rows(files, listed, project_id, target_dir), closed)
     gone = materialize(gone.select("file_id"), "stale")
     if gone.take(1):
         mine = files.where(F.col("project_id") == project_id)
         store.replace_files(mine.join(gone, "file_id", "left_anti"), project_id)
+    return closed
 
 
 def _rescan(spark: SparkSession, store: Store, project_id: str, roots: list[str], decoder: Decoder | None) -> DataFrame:
@@ -73,8 +79,9 @@ def find_duplicates(
 ) -> DedupRun:
     """Bring the target up to date, group its near-duplicates, store groups and new vectors."""
     started = time.monotonic()
+    closed = None
     if target_dir:
-        _drop_stale(spark, store, project_id, target_dir)
+        closed = _drop_stale(spark, store, project_id, target_dir)
         _rescan(spark, store, project_id, [target_dir], decoder)
     scan_ms = int((time.monotonic() - started) * 1000)
     files = catalog.hash_files(store.files(spark), project_id, target_dir)
@@ -85,7 +92,7 @@ def find_duplicates(
         catalog.store_vectors(run.new_vectors, vectors, store.path("vectors"))
     # A handful of stages, the total last.
     stages = [(r["name"], r["duration_ms"] + (scan_ms if r["name"] == "total" else 0)) for r in run.timings.collect()]
-    return replace(run, timings=spark.createDataFrame([("scan", scan_ms), *stages], run.timings.schema))
+    return replace(run, closed_folders=closed, timings=spark.createDataFrame([("scan", scan_ms), *stages], run.timings.schema))
 
 
 def organize_project(

@@ -11,7 +11,7 @@ from pixelkin.operators.catalog import catalog_append, file_id, new_listing_rows
 from pixelkin.schemas import FILES, conform
 from pixelkin.session import materialize
 from pixelkin.sources.listing import list_media
-from pixelkin.sources.media import Decoder, decoded_hashes, image_hashes, read_contents, spark_images
+from pixelkin.sources.media import Decoder, decoded_hashes, image_hashes, new_images, read_contents
 
 
 def describe(new_files: DataFrame, hashes: DataFrame, project_id: str) -> DataFrame:
@@ -46,8 +46,8 @@ def scan(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, summary of everything listed).
 
-    Without ``decoder`` pixels come from Spark's image source, which reads the roots as a whole and leaves
-    out names with a leading dot or underscore; a decoder is called for the new images only.
+    Without ``decoder`` pixels come from Spark's image source, which leaves out names with a leading dot or underscore. Only
+    new images are decoded, but for a first scan of many (``media.new_images``).
     """
     listing = materialize(list_media(spark, roots), "listing")
     fresh = new_listing_rows(listing, files, project_id).groupBy("path").agg(
@@ -60,7 +60,7 @@ def scan(
     if decoder is not None:
         hashes = decoded_hashes(pictures, decoder)
     elif pictures.take(1):
-        hashes = image_hashes(spark_images(spark, [r for r in roots]).join(pictures.select("path"), "path", "left_semi"))
+        hashes = image_hashes(new_images(spark, roots, pictures))
     else:
         hashes = spark.createDataFrame([], "path string, phash long")
     rows = describe(fresh, hashes.groupBy("path").agg(F.max("phash").alias("phash")), project_id)

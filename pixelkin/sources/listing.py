@@ -34,9 +34,33 @@ def _loops(path: str) -> bool:
         above = os.path.dirname(above)
 
 
+def _local_entries(folder: str):
+    """Entries of a local folder one by one, however many there are."""
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    is_dir = entry.is_dir()
+                    if is_dir and _loops(entry.path):
+                        continue
+                    state = entry.stat()
+                except FileNotFoundError:
+                    continue  # A dangling link, or gone meanwhile.
+                except OSError:
+                    yield entry.path, None, 0, None
+                    continue
+                yield entry.path, is_dir, 0 if is_dir else state.st_size, state.st_mtime_ns // 1000
+    except (FileNotFoundError, PermissionError):
+        yield folder, None, 0, None
+
+
 def _entries(folder: str):
     system, inner = storage.locate(folder)
     prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+    if isinstance(system, fs.LocalFileSystem):
+        for path, *rest in _local_entries(inner):
+            yield (prefix + path, *rest)
+        return
     try:
         found = system.get_file_info(fs.FileSelector(inner, recursive=False))
     except (FileNotFoundError, PermissionError):
@@ -92,7 +116,17 @@ def walk_folders(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, Data
 
 def list_media(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Media files below the roots (path, file_name, file_size, modified_at, file_type)."""
-    typed = walk(spark, roots).withColumn("file_type", classify_extension(F.col("path")))
+    return list_media_and_closed(spark, roots)[0]
+
+
+def list_media_and_closed(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(media files as ``list_media`` has them, folders (path) that could not be read)."""
+    found, closed = walk_folders(spark, roots)
+    return _media(found), closed.select("path").distinct()
+
+
+def _media(found: DataFrame) -> DataFrame:
+    typed = found.withColumn("file_type", classify_extension(F.col("path")))
     return typed.where(F.col("file_type").isNotNull()).select(
         "path",
         file_name(F.col("path")).alias("file_name"),

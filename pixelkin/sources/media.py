@@ -6,6 +6,7 @@ Each job reads only the files it is given, inside tasks, a bounded piece at a ti
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from pixelkin.functions.dates import UNSET_EXIF_DATE
 from pixelkin.functions.fingerprints import GRID_COLUMNS, GRID_ROWS, TINY_NORM
+from pixelkin.session import materialize
 from pixelkin.sources import storage
 from pixelkin.sources.exif import HEAD_BYTES, raw_dates
+from pixelkin.sources.tasks import in_even_tasks
 
 # Model input side, channel means and deviations (RGB, 0..1).
 INPUT_SIDE = 224
@@ -58,7 +61,12 @@ def read_contents(files: DataFrame) -> DataFrame:
                 }
             )
 
-    return files.select("path").mapInPandas(run, "path string, md5 string, exif_raw string")
+    return in_even_tasks(_sized(files)).select("path").mapInPandas(run, "path string, md5 string, exif_raw string")
+
+
+def _sized(files: DataFrame) -> DataFrame:
+    """(path, file_size) of a table of files, stored; sizes only where it has them."""
+    return materialize(files.select("path", *(c for c in files.columns if c == "file_size")), "files-to-read")
 
 
 # --- pixels ------------------------------------------------------------------------------------------
@@ -94,6 +102,25 @@ def plain_path(column) -> F.Column:
     return F.regexp_replace(column, "^file:/+", "/")
 
 
+#: So many paths are handed to Spark's image source one by one.
+LISTED_IMAGES = 5_000
+
+
+def new_images(spark: SparkSession, roots: list[str], wanted: DataFrame) -> DataFrame:
+    """The images of ``wanted`` (path) as ``spark_images`` has them. A bounded number is read by name, so nothing else is
+    decoded; more are picked from all below the roots."""
+    few = [r["path"] for r in wanted.select("path").limit(LISTED_IMAGES + 1).collect()]
+    if len(few) <= LISTED_IMAGES:
+        # Hidden names are left out here as they are below a root.
+        shown = [p for p in few if not re.search(r"/[_.][^/]*$", p)]
+        return spark_images(spark, [re.sub(r"([\\\[\]{}*?^])", r"\\\1", p) for p in shown]) if shown else _no_images(spark)
+    return spark_images(spark, roots).join(wanted.select("path"), "path", "left_semi")
+
+
+def _no_images(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
+
+
 def spark_images(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(path, height, width, channels, data) decoded by Spark's image source; size -1 when undecodable."""
     image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(roots)
@@ -136,7 +163,7 @@ def decoded_hashes(files: DataFrame, decoder: Decoder) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "phash": pd.array([one(p) for p in batch["path"]], dtype="Int64")})
 
-    return files.select("path").mapInPandas(run, "path string, phash long")
+    return in_even_tasks(_sized(files)).select("path").mapInPandas(run, "path string, phash long")
 
 
 # --- vectors -----------------------------------------------------------------------------------------
@@ -189,8 +216,8 @@ def embedder(load_model: Callable[[], Callable[[np.ndarray], np.ndarray]], decod
             yield pd.DataFrame({"file_id": batch["file_id"], "vector": [one(p) for p in batch["path"]]})
 
     def embed(files: DataFrame) -> DataFrame:
-        # Decoding dominates: spread the files evenly, whatever partitioning they come with.
-        spread = files.select("file_id", "path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4)
+        kept = files.select("file_id", "path", *(c for c in files.columns if c == "file_size"))
+        spread = in_even_tasks(materialize(kept, "files-to-embed")).select("file_id", "path")
         return spread.mapInPandas(run, "file_id string, vector array<float>")
 
     return embed

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import struct
 import sys
 import zlib
@@ -12,10 +13,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pixelkin.operators import catalog
-from pixelkin.plans import dedup, deletes, organize
+from pixelkin.plans import dedup, deletes, flows, organize
 from pixelkin.plans.scan import scan
 from pixelkin.schemas import FILES, GROUPS, VECTORS
-from pixelkin.sources import exif, listing, media
+from pixelkin.session import materialize
+from pixelkin.sources import exif, listing, media, tasks
 from pixelkin.streaming.ingest import ingest
 
 
@@ -281,3 +283,123 @@ def test_ingest_takes_each_file_once(spark, folder):
             if os.path.exists(str(folder / "once")):
                 (folder / "src" / "later.png").write_bytes(png(picture(9)))
             (folder / "once").write_text("")
+
+
+def test_tasks_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "GROUP_FILES", 300)
+    rng = random.Random(3)
+    sizes = [rng.choice([0, 10, 1000, 1 << 20, 40 << 20]) for _ in range(1000)] + [300 << 20, 5 << 30, None]
+    rows = [(f"/f{k}", s) for k, s in enumerate(sizes)]
+    files = materialize(spark.createDataFrame(rows, "path string, file_size long").repartition(3), "sized")
+    placed = tasks.in_even_tasks(files).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.path, r.file_size or 0) for r in placed) == sorted((p, s or 0) for p, s in rows)
+    of = {}
+    for r in placed:
+        of.setdefault(r.part, []).append((r.file_size or 0) + tasks.OPEN_BYTES)
+    total = sum(map(sum, of.values()))
+    for costs in of.values():
+        assert len(costs) == 1 or max(costs) < tasks.TASK_BYTES
+        assert len(costs) == 1 or sum(costs) < tasks.TASK_BYTES + max(costs)
+    # Few tasks more than the bytes ask for: one unfinished task for each group.
+    assert len(of) <= total // tasks.TASK_BYTES + 2 * 4 + 2
+    assert tasks.in_even_tasks(files.limit(0)).count() == 0
+    assert tasks.in_even_tasks(files.select("path")).count() == len(rows)
+
+
+@pytest.mark.parametrize("dies_at", ["write", "aside", "place", "delete", None])
+def test_a_killed_replacement_leaves_a_readable_table(spark, tmp_path, monkeypatch, dies_at):
+    path = str(tmp_path / "groups")
+    old = spark.createDataFrame([("a", "g"), ("b", "g")], "file_id string, group_id string")
+    new = spark.createDataFrame([("a", "h"), ("c", "h")], "file_id string, group_id string")
+    catalog.store_groups(old, "p", path)
+    catalog.store_groups(old, "q", path)
+
+    real = catalog._file_system
+
+    class Dying:
+        def __init__(self, system):
+            self.system, self.renames = system, 0
+
+        def rename(self, *a):
+            self.renames += 1
+            if self.renames == {"aside": 1, "place": 2}.get(dies_at):
+                raise KeyboardInterrupt
+            return self.system.rename(*a)
+
+        def delete(self, *a):
+            if dies_at == "delete":
+                raise KeyboardInterrupt
+            return self.system.delete(*a)
+
+        def __getattr__(self, name):
+            if dies_at == "write":
+                raise KeyboardInterrupt
+            return getattr(self.system, name)
+
+    made = []
+
+    def dying(session, at):
+        system, paths = real(session, at)
+        made.append(Dying(system))
+        return made[0], paths
+
+    if dies_at:
+        monkeypatch.setattr(catalog, "_file_system", dying)
+        with pytest.raises(KeyboardInterrupt):
+            catalog.store_groups(new, "p", path)
+        monkeypatch.setattr(catalog, "_file_system", real)
+    else:
+        catalog.store_groups(new, "p", path)
+    rows = {(r.project_id, r.file_id, r.group_id) for r in catalog.read_table(spark, path, GROUPS).collect()}
+    kept = old if dies_at in ("write", "aside", "place") else new
+    assert rows == {("q", "a", "g"), ("q", "b", "g")} | {("p", r.file_id, r.group_id) for r in kept.collect()}
+    # The next replacement works on what is there.
+    catalog.store_groups(old.limit(0), "p", path)
+    assert {r.project_id for r in catalog.read_table(spark, path, GROUPS).collect()} == {"q"}
+
+
+def test_rows_below_closed_folders(spark):
+    rows = spark.createDataFrame([("/a/x/1",), ("/a/xy/2",), ("/a/x/d/3",), ("/b/4",)], "path string")
+    closed = spark.createDataFrame([("/a/x",), ("/c",)], "path string")
+    assert {r.path for r in catalog.outside_folders(rows, closed).collect()} == {"/a/xy/2", "/b/4"}
+
+
+def test_a_closed_folder_is_reported_and_its_files_are_kept(spark, folder, monkeypatch):
+    rows, _ = scan(spark, [str(folder / "src")], spark.createDataFrame([], FILES), "p", decode)
+    store = flows.Store(str(folder / "tables"))
+    catalog.store_files(rows, store.path("files"))
+    before = {r.path for r in store.files(spark).collect()}
+    gone = next(p for p in sorted(before) if os.path.dirname(p) == str(folder / "src"))
+    os.remove(gone)
+    if os.geteuid() == 0:
+        # Nothing is closed to root: the listing says so instead.
+        real = flows.list_media_and_closed
+        shut = str(folder / "src" / "a")
+
+        def closed(session, roots):
+            found, _ = real(session, roots)
+            return found.where(~F.col("path").startswith(shut + "/")), session.createDataFrame([(shut,)], "path string")
+
+        monkeypatch.setattr(flows, "list_media_and_closed", closed)
+    else:
+        os.chmod(folder / "src" / "a", 0)
+    told = flows._drop_stale(spark, store, "p", str(folder / "src"))
+    assert [r.path for r in told.collect()] == [str(folder / "src" / "a")]
+    assert {r.path for r in store.files(spark).collect()} == before - {gone}
+
+
+def test_only_new_images_are_decoded(spark, folder, monkeypatch):
+    asked = []
+    real = media.spark_images
+    monkeypatch.setattr(media, "spark_images", lambda session, paths: asked.extend(paths) or real(session, paths))
+    os.unlink(folder / "src" / "a" / "loop")
+    src = str(folder / "src")
+    rows, _ = scan(spark, [src], spark.createDataFrame([], FILES), "p")
+    # All but the hidden one.
+    assert len(asked) == rows.where("file_type = 'image'").count() - 1
+    asked.clear()
+    odd = folder / "src" / "a" / "new [1] {x} *.png"
+    odd.write_bytes((folder / "src" / "one.PNG").read_bytes())
+    fresh, _ = scan(spark, [src], rows, "p")
+    assert len(asked) == 1
+    assert [(r.path, r.phash) for r in fresh.collect()] == [(str(odd), {r.file_name: r.phash for r in rows.collect()}["one.PNG"])]

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_cases import DOCS, documents, frame, prose
 
@@ -160,3 +162,63 @@ def test_equal_keys_with_different_pages_come_back_across_batches(spark, monkeyp
     digests = [base64.b32encode(hashlib.sha1(r[2].encode()).digest()).decode() for r in rows]
     assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((r[0], d) for r, d in zip(rows, digests))
     assert {bytes(r.payload) for r in got if r.record_type == "response"} == {r[2].encode() for r in rows}
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000, "<div>x" * 30_000, "<nav>t" * 50_000, "<div>" * 20_000 + "<li>z" * 20_000, "<a " * 330_000,
+     "<a \">" * 200_000, "<!--" * 250_000, "<" * 1_000_000, "<x'" * 100_000 + ">" * 50, "<header>q" * 30_000, "<form>a" * 30_000],
+    ids=lambda page: page[:12],
+)
+def test_hostile_pages_take_linear_time(page):
+    small = page[: len(page) // 4]
+    clocks = []
+    for text in (small, page):
+        started = time.process_time()
+        html_extract.main_text(text)
+        clocks.append(time.process_time() - started)
+    assert clocks[1] < 12 * max(clocks[0], 0.05)
+
+
+def test_ratios_decide_where_tags_do_not(monkeypatch):
+    """Divisions without names or links: only letters and marks a path tell text from labels."""
+    rng = random.Random(4)
+    told = 0
+    for _ in range(20):
+        texts = [" ".join(prose(rng, 70).split()) for _ in range(4)]
+        labels = [" ".join(prose(rng, 2).replace(".", "").replace(",", "").split()) for _ in range(6)]
+        body = "".join(f"<div><b>{x}</b></div>" for x in labels[:3]) + "".join(f"<div><div>{t}</div></div>" for t in texts)
+        html = f"<body>{body}" + "".join(f"<section><div>{x}</div></section>" for x in labels[3:]) + "</body>"
+        told += html_extract.main_text(html) == "\n\n".join(texts)
+        with monkeypatch.context() as patch:
+            everything = lambda texts, paths, outer: (np.array([bool(t.strip()) for t in texts]),) * 2
+            patch.setattr(html_extract, "content_nodes", everything)
+            assert html_extract.main_text(html) != "\n\n".join(texts)
+    assert told >= 15
+
+
+def test_ratios_against_plain_sums():
+    rng = random.Random(6)
+    texts = [rng.choice(["", " ", "Hello, you. ", "x", "a;b;c " * 4, prose(rng, 20)]) for _ in range(60)]
+    paths, outer = [rng.randrange(5) for _ in texts], [rng.randrange(3) for _ in texts]
+    passed, own = html_extract.content_nodes(texts, paths, outer)
+
+    def ratios(of):
+        out = []
+        for p in of:
+            mine = [t for t, q in zip(texts, of) if q == p]
+            count = max(1, sum(bool(t.strip()) for t in mine))
+            marks = sum(c in html_extract._PUNCTUATION for t in mine for c in t)
+            out.append((sum(len(t.strip()) for t in mine) / count, marks / count))
+        return out
+
+    def smooth(values):
+        return [sum(values[k + d] for d in (-1, 0, 1) if 0 <= k + d < len(values)) / 3 for k in range(len(values))]
+
+    each = ratios(paths)
+    fused = [a * (1 + b) for a, b in zip(smooth([x for x, _ in each]), smooth([y for _, y in each]))]
+    real = [f for f, t in zip(fused, texts) if t.strip()]
+    mean = sum(real) / len(real)
+    least = html_extract.THRESHOLD * (sum((f - mean) ** 2 for f in real) / len(real)) ** 0.5
+    assert passed.tolist() == [bool(t.strip()) and f >= least for f, t in zip(fused, texts)]
+    assert own.tolist() == [bool(t.strip()) and a * (1 + b) >= least for (a, b), t in zip(ratios(outer), texts)]

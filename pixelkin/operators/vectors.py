@@ -26,6 +26,9 @@ DIGITS = 9
 _BLOCK_BYTES = 4 << 20
 # Vectors of this length are multiplied in two steps.
 _LONG_VECTOR = 64
+# Rows with no more pairs of items than this are worked out as one flat product; values of it that are held at once.
+_FLAT_PAIRS = 1024
+_FLAT_VALUES = 1 << 20
 # Above so many vectors of one length, blocks are those of a metric partition by angles.
 PIVOT_ROWS = 50_000
 
@@ -56,6 +59,46 @@ def _similarities(left: pa.Array, right: pa.Array):
         yield li, ri, lm @ rm.T
 
 
+def _flat(lo: np.ndarray, ro: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of the items of two list columns in ``rows``, row by row.
+
+    Returns (left item, right item) of every pair, the left items concerned, and where the pairs of each begin.
+    """
+    many = np.diff(lo)[rows]
+    row = np.repeat(rows, many)
+    left = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]
+    width = np.diff(ro)[row]
+    first = np.cumsum(width) - width
+    right = np.arange(width.sum()) - np.repeat(first, width) + np.repeat(ro[row], width)
+    return np.repeat(left, width), right, left, first
+
+
+def _pair_dots(left: pa.Array, right: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot product of every pair of items; 0 for vectors of unequal length. One flat product for each length."""
+    out = np.zeros(len(i))
+    widths, others = np.diff(left.offsets.to_numpy()), np.diff(right.offsets.to_numpy())
+    for width in np.unique(widths[i]).tolist():
+        at = np.flatnonzero((widths[i] == width) & (others[j] == width))
+        if not width or not len(at):
+            continue
+        sides = []
+        for column, lengths, items in ((left, widths, i), (right, others, j)):
+            mine = lengths == width
+            rows = matrix_of(column if mine.all() else column.filter(pa.array(mine)))
+            sides.append((rows, (np.cumsum(mine) - 1)[items[at]]))
+        (lm, x), (rm, y) = sides
+        step = max(1, _FLAT_VALUES // width)
+        for k in range(0, len(at), step):
+            part = slice(k, k + step)
+            out[at[part]] = np.einsum("ij,ij->i", lm[x[part]].astype(np.float64), rm[y[part]].astype(np.float64))
+    return out
+
+
+def _small(lo: np.ndarray, ro: np.ndarray) -> np.ndarray:
+    """Which rows have so few pairs that they are worked out together with others."""
+    return np.diff(lo) * np.diff(ro) <= _FLAT_PAIRS
+
+
 def _close(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, similarity) of the pairs of rows that reach the threshold, unrounded.
 
@@ -96,7 +139,20 @@ def _pair_kernel(threshold: float):
             same = batch.column(batch.schema.get_field_index("same")).to_pylist()
             schema = pa.schema([("a", lid.type), ("b", rid.type), ("sim", pa.float64())])
             rows = []
-            for r in range(batch.num_rows):
+            small = _small(lo, ro)
+            if small.any():
+                own = np.flatnonzero(small)
+                i, j, _, _ = _flat(lo, ro, own)
+                # A chunk against itself has each pair once, by the places of its items.
+                row_of = np.repeat(own, (np.diff(lo) * np.diff(ro))[own])
+                once = ~np.array(same, bool)[row_of] | (i - lo[row_of] < j - ro[row_of])
+                i, j = i[once], j[once]
+                equal = np.diff(lvec.offsets.to_numpy())[i] == np.diff(rvec.offsets.to_numpy())[j]
+                close = np.round(_pair_dots(lvec, rvec, i, j), DIGITS)
+                kept = equal & (close >= threshold)
+                if kept.any():
+                    rows.append({"a": lid.take(pa.array(i[kept])), "b": rid.take(pa.array(j[kept])), "sim": close[kept]})
+            for r in np.flatnonzero(~small).tolist():
                 left = lvec.slice(int(lo[r]), int(lo[r + 1] - lo[r]))
                 right = rvec.slice(int(ro[r]), int(ro[r + 1] - ro[r]))
                 for li, ri, lm, rm in _matrices(left, right):
@@ -222,7 +278,17 @@ def _worst_kernel(metric: str):
             ids, lval, files = struct_field(lv, "id"), struct_field(lv, "value"), struct_field(lv, "w").to_numpy()
             other, rval = struct_field(rv, "id"), struct_field(rv, "value")
             rows = []
-            for r in range(batch.num_rows):
+            small = _small(lo, ro)
+            if small.any():
+                i, j, left, first = _flat(lo, ro, np.flatnonzero(small))
+                if metric == "cosine":
+                    value = -np.round(_pair_dots(lval, rval, i, j), DIGITS)
+                else:
+                    value = np.bitwise_count((lval.to_numpy()[i] ^ rval.to_numpy()[j]).view(np.uint64)).astype(np.float64)
+                names = pa.concat_arrays([ids, other]).dictionary_encode().indices.to_numpy()
+                value[(names[: len(ids)][i] == names[len(ids) :][j]) & (files[i] == 1)] = -np.inf
+                rows.append({"id": ids.take(pa.array(left)), "worst": np.maximum.reduceat(value, first)})
+            for r in np.flatnonzero(~small).tolist():
                 at, size = int(lo[r]), int(lo[r + 1] - lo[r])
                 to, more = int(ro[r]), int(ro[r + 1] - ro[r])
                 own = ids.slice(at, size)

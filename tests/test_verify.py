@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import dots, popcount
 from cases import signed, unit
 
+from pixelkin.operators import vectors
 from pixelkin.operators.vectors import hash_evictions, vector_evictions
 
 
@@ -50,3 +53,38 @@ def test_hash_evictions(spark, chunk_rows):
         a[1] for a in rows if max(popcount(a[2], b[2]) for b in rows if b[0] == a[0] and b[1] != a[1]) > 12
     }
     assert {r.id for r in hash_evictions(df, 12, chunk_rows).collect()} == expected
+
+
+def test_flat_pairs_are_those_of_every_row():
+    lo, ro = np.array([0, 2, 5, 6]), np.array([0, 3, 4, 4 + 2])
+    i, j, left, first = vectors._flat(lo, ro, np.array([0, 2]))
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (5, 4), (5, 5)]
+    assert left.tolist() == [0, 1, 5] and first.tolist() == [0, 3, 6]
+
+
+def test_a_batch_of_single_links_is_one_product(monkeypatch):
+    calls = []
+    real = np.einsum
+    monkeypatch.setattr(vectors.np, "einsum", lambda *a: calls.append(1) or real(*a))
+    rng = np.random.default_rng(0)
+    values = [rng.normal(size=8).tolist() if k % 10 else rng.normal(size=3).tolist() for k in range(400)]
+    column = pa.array(values, pa.list_(pa.float32()))
+    i, j = np.arange(400), rng.permutation(400)
+    got = vectors._pair_dots(column, column, i, j)
+    exact = [np.dot(np.float32(values[a]).astype(float), np.float32(values[b]).astype(float)) if len(values[a]) == len(values[b]) else 0.0 for a, b in zip(i, j)]
+    assert np.allclose(got, exact) and len(calls) == 2
+
+
+@pytest.mark.parametrize("flat", [0, 10, 10**6])
+def test_flat_and_whole_products_agree(spark, monkeypatch, flat):
+    monkeypatch.setattr(vectors, "_FLAT_PAIRS", flat)
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 9)), k, unit((rng.normal(size=rng.choice([4, 4, 6])) * 0.4 + 1.5).tolist()), int(rng.integers(1, 3))) for k in range(120)]
+    df = spark.createDataFrame(rows, "grp int, id long, vector array<double>, w long")
+    gone = {r.id for r in vector_evictions(df, 0.93, 8).collect()}
+    expected = {
+        a[1] for a in rows
+        if any((a[1] != b[1] or a[3] > 1) and a[0] == b[0] and round(dots(a[2], b[2]), 9) < 0.93 for b in rows)
+        and any((a[1] != b[1] or a[3] > 1) and a[0] == b[0] for b in rows)
+    }
+    assert gone == expected

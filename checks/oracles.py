@@ -282,6 +282,7 @@ GROUP BY a.file_id HAVING max(bit_count(xor(a.phash, b.phash))) > 12""",
         recursive=True,
     ),
     "dedup_phash": _with(HASH_RUN + "," + NAMED.format(name="g8"), MEMBERS, recursive=True),
+    "dedup_phash_levels": _with(HASH_RUN + "," + NAMED.format(name="g8"), MEMBERS, recursive=True),
     "dedup_phash_ai": _with(COMBINED_RUN + "," + NAMED.format(name="g12"), MEMBERS, recursive=True),
     "dedup_ai": _with(VECTOR_RUN + "," + NAMED.format(name="gv"), MEMBERS, recursive=True),
     "dedup_summary": _with(

@@ -389,7 +389,7 @@ QUERIES = [
     hamming_pairs_le8, hamming_pairs_banded, hamming_two_band, cosine_pairs, hamming_pairs_pivots, cosine_pairs_pivots,
     similarity_components, md5_groups,
     path_key_first, need_vectors, verify_evictions, phash_validation, oversized_split_phash,
-    oversized_split_cosine, dedup_phash, dedup_phash_ai, dedup_ai, dedup_summary, dedup_summary_ai,
+    oversized_split_cosine, dedup_phash, dedup_phash_levels, dedup_phash_ai, dedup_ai, dedup_summary, dedup_summary_ai,
     scan_summary, source_type_counts, incremental_new_files, catalog_append, one_row_per_path, stale_rows,
     cascade_delete, project_files, hash_files, vector_cache_lookup, project_list, project_detail,
     root_registration, target_md5_anti, existing_sources, content_claims, destination_conflicts, organize_plan,

@@ -119,12 +119,12 @@ def _distinct(token: np.ndarray, owner: np.ndarray, classes: int, packed: int =
     """Distinct pairs of a 40-bit token and a class number, in order; packed into 64 bits where the numbers fit."""
     if classes <= packed:
         pairs = token << np.uint64(24)
-        pairs |= owner
+        pairs |= owner.astype(np.uint64)
         pairs.sort()
         new = np.ones(len(pairs), bool)
         new[1:] = pairs[1:] != pairs[:-1]
         pairs = pairs[new]
-        return pairs >> np.uint64(24), (pairs & _LOW).astype(np.int32)
+        return pairs >> np.uint64(24), (pairs & _LOW).astype(np.int64)
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order].astype(np.int64)
     new = np.ones(len(token), bool)

@@ -5,14 +5,21 @@ usual encodings that mixes digits with letters is a candidate. Its encoding is i
 three tests ask whether it could be random in that alphabet: chi-squared for uniform letters, runs about the median letter,
 and the correlation of neighbours. Their p-values are combined by Fisher's method. How much three tests can tell
 depends on the length, so candidates are judged among those of like length: the Benjamini-Hochberg rule at level
-``Q`` dismisses the ones that are not random, and those that remain are reported as ``random``.
+``Q`` dismisses the ones that are not random.
 
-The rule needs ranks of p-values over the whole corpus. They are counted on a grid of p (rounded up, which only keeps the
+A short run may pass for lack of evidence. So what remains is reported as ``random`` only where the same rule, at the same
+level and by length class, also rejects that the run is made of words. Words are a chain of letter kinds (digit, lower
+case, upper case, sign) that seldom changes, with the usual frequencies of letters. The likelihood ratio of random letters
+to this chain exceeds t with probability at most 1 / t among words, so its inverse is a p-value, times the number of
+encodings for the choice among them. This bounds the share of names among the reports.
+
+Both rules need ranks of p-values over the whole corpus. They are counted on a grid of p (rounded up, which only keeps the
 level), so the corpus is reduced to at most one row for each length class and grid step.
 
 A ``=`` ends a run unless it pads its end, so the value of NAME=value is a candidate of its own. A run that mixes the two
 alphabets of base 64 fits no encoding; it is tested in their union, and so is each part of 20 or more letters between
 its ``-`` and ``_``, and between its ``+`` and ``/``. What remains of these is reported as one span where it overlaps.
+Groups of hexadecimal digits between ``-``, such as a UUID, are tested as the digits alone.
 
 All of it is DataFrame functions. Positions come from the pieces between the matches; running sums are taken in two
 levels, so that a text with very many matches stays affordable.
@@ -23,6 +30,8 @@ one; other columns pass through ``scanned``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +52,8 @@ _CHUNK = 256
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by the letters they allow, narrowest first.
 ENCODINGS = [
+    ("^[0-9a-f]+(-[0-9a-f]+)+$", _DIGITS + "abcdef"),
+    ("^[0-9A-F]+(-[0-9A-F]+)+$", _DIGITS + "ABCDEF"),
     ("^[0-9a-f]+$", _DIGITS + "abcdef"),
     ("^[0-9A-F]+$", _DIGITS + "ABCDEF"),
     ("^[A-Z2-7]+=*$", _UPPER + "234567"),
@@ -53,7 +64,16 @@ ENCODINGS = [
     ("^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
     ("^[A-Za-z0-9+/_-]+=*$", _UPPER + _LOWER + _DIGITS + "+/-_"),
 ]
+_GROUPED = "^[0-9a-f]+(-[0-9a-f]+)+$|^[0-9A-F]+(-[0-9A-F]+)+$"
 _MIXED = "[+/].*[_-]|[_-].*[+/]"
+#: Letters a to z per mille of English text (fixed values), and how they and their kinds follow each other in words.
+FREQUENCIES = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+_SIGNS = "+/-_"
+_USUAL, _CHANGE, _KINDS = 0.8, 0.3, 4
+_ANY = _DIGITS + _LOWER + _UPPER + _SIGNS
+_KIND_OF = [0] * 10 + [1] * 26 + [2] * 26 + [3] * 4
+_IN_WORDS = [_USUAL * f / sum(FREQUENCIES) + (1 - _USUAL) / 26 for f in FREQUENCIES]
+_LOG_OF = [math.log(p) for p in [0.1] * 10 + _IN_WORDS + _IN_WORDS + [0.25] * 4]
 
 
 def _sum(values: Column, start: Column | None = None) -> Column:
@@ -154,6 +174,27 @@ def _p_random(x: Column) -> Column:
     return F.exp(-half) * (1 + half + half * half / 2)
 
 
+def _p_words(x: Column) -> Column:
+    """Bound of the probability that words give letters ``x.u`` at least as likely among ``x.k`` random ones."""
+    kinds, logs = F.lit(_KIND_OF), F.lit(_LOG_OF)
+    stay, change = F.lit(math.log(1 - _CHANGE)), F.lit(math.log(_CHANGE / (_KINDS - 1)))
+    chain = F.aggregate(
+        x.u,
+        F.struct(F.lit(None).cast("int").alias("kind"), F.lit(0.0).alias("sum")),
+        lambda acc, y: F.struct(
+            F.get(kinds, y).alias("kind"),
+            (
+                acc["sum"]
+                + F.get(logs, y)
+                + F.when(acc.kind.isNull(), math.log(1 / _KINDS)).when(acc.kind == F.get(kinds, y), stay).otherwise(change)
+            ).alias("sum"),
+        ),
+        lambda acc: acc["sum"],
+    )
+    ratio = -F.size(x.u) * F.log(x.k.cast("double")) - chain
+    return F.exp(F.least(F.lit(math.log(len(ENCODINGS))) - ratio, F.lit(0.0)))
+
+
 def _parts(x: Column) -> Column:
     """The candidate ``x``, followed by its parts where it mixes the alphabets of base 64."""
     own = F.struct(x.start.alias("start"), x.end.alias("end"), x.hit.alias("hit"))
@@ -168,21 +209,24 @@ def _parts(x: Column) -> Column:
 
 
 def _coded(column: str) -> Column:
-    """By candidate, what is tested of it: letter numbers ``v`` in the inferred alphabet of ``k``; others drop out."""
+    """By candidate, what is tested of it: letter numbers ``v`` in the inferred alphabet of ``k`` and ``u`` among all letters;
+    others drop out."""
 
     def one(x: Column) -> Column:
         bare = F.regexp_replace(x.hit, "=+$", "")
+        bare = F.when(F.rlike(x.hit, F.lit(_GROUPED)), F.translate(bare, "-", "")).otherwise(bare)
         mixed = F.rlike(x.hit, F.lit("[0-9]")) & F.rlike(x.hit, F.lit("[A-Za-z]"))
         letters = k = F.lit(None)
         for pattern, alphabet in reversed(ENCODINGS):
             fits = F.rlike(x.hit, F.lit(pattern))
             letters = F.when(fits, F.lit(alphabet)).otherwise(letters)
             k = F.when(fits, F.lit(len(alphabet))).otherwise(k)
-        numbers = F.transform(F.split(bare, ""), lambda c: F.instr(letters, c) - 1)
+        numbers = lambda among: F.transform(F.split(bare, ""), lambda c: F.instr(among, c) - 1)
         return F.struct(
             x.start.alias("start"),
             x.end.alias("end"),
-            F.when(mixed, numbers).alias("v"),
+            F.when(mixed, numbers(letters)).alias("v"),
+            F.when(mixed, numbers(F.lit(_ANY))).alias("u"),
             k.cast("int").alias("k"),
         )
 
@@ -227,18 +271,19 @@ def scanned(docs: DataFrame) -> DataFrame:
                 x.end.alias("end"),
                 _length_class(F.size(x.v)).alias("class"),
                 step(_p_random(x)).alias("step"),
+                step(_p_words(x)).alias("word_step"),
             ),
         ),
     )
     return steps.select(*docs.columns, "_base", tested.alias("_tested"))
 
 
-def dismissal_steps(tested: DataFrame) -> dict[int, int]:
-    """For each length class, the step of p from which candidates are dismissed as not random.
+def rejection_steps(tested: DataFrame, step: str = "step") -> dict[int, int]:
+    """For each length class, the step of p from which the rule rejects: that a run is random, or (``word_step``) words.
 
     Step s stands for p <= 10^(-s / STEPS). The result has one entry for each length class.
     """
-    each = tested.select(F.explode(F.flatten("_tested")).alias("t")).select("t.class", "t.step")
+    each = tested.select(F.explode(F.flatten("_tested")).alias("t")).select("t.class", F.col(f"t.{step}").alias("step"))
     counts = each.groupBy("class", "step").agg(F.count("*").alias("n"))
     by_class: dict[int, dict[int, int]] = {}
     # Bounded by classes times grid steps, whatever the corpus.
@@ -268,18 +313,25 @@ def _united(spans: Column) -> Column:
     return F.aggregate(bare, F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
+def _rejected(limits: dict[int, int], step: str):
+    """Condition on a test: its class has a limit that its step reaches."""
+
+    def condition(x: Column) -> Column:
+        reached = F.lit(False)
+        for name, limit in limits.items():
+            reached = F.when(x["class"] == name, x[step] >= limit).otherwise(reached)
+        return reached
+
+    return condition
+
+
 def with_spans(scanned_docs: DataFrame) -> DataFrame:
     """A frame from ``scanned``, stored, with ``_spans``: all spans by start, then kind."""
-    limits = dismissal_steps(scanned_docs)
-    dismissed = F.lit(False)
-    for name, limit in limits.items():
-        dismissed = lambda x, rest=dismissed, name=name, limit=limit: F.when(
-            x["class"] == name, x["step"] >= limit
-        ).otherwise(rest(x) if callable(rest) else rest)
-    dropped = dismissed if callable(dismissed) else lambda x: F.lit(False)
+    dismissed = _rejected(rejection_steps(scanned_docs), "step")
+    wordless = _rejected(rejection_steps(scanned_docs, "word_step"), "word_step")
     apart = lambda x: ~F.exists("_base", lambda b: (b.start < x.end) & (x.start < b.end))
     random = F.transform(
-        F.flatten(F.transform("_tested", lambda run: _united(F.filter(run, lambda x: ~dropped(x) & apart(x))))),
+        F.flatten(F.transform("_tested", lambda run: _united(F.filter(run, lambda x: ~dismissed(x) & wordless(x) & apart(x))))),
         lambda x: F.struct(x.start.alias("start"), F.lit(3).alias("kind"), x.end.alias("end")),
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")

@@ -1,9 +1,11 @@
 """Quality rules and secret spans against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import string
+import uuid
 from collections import Counter
 
 from llm_cases import DOCS, documents, encoded, frame, prose
@@ -58,10 +60,14 @@ def test_hosts_condemn_only_their_own_faults(spark):
     rows = [(k, bad() if k % 10 else good(), None, "dump", *[None] * 5) for k in range(60)]
     rows += [(100 + k, good(), None, f"site{k % 3}", *[None] * 5) for k in range(60)]
     rows += [(200, bad(), None, "site0", *[None] * 5), (201, bad(), None, "tiny", *[None] * 5), (202, good(), None, None, *[None] * 5)]
-    kept = {r.doc_id: r.kept for r in host_quality.quality(frame(spark, rows)).collect()}
+    judged = {r.doc_id: r for r in host_quality.quality(frame(spark, rows)).collect()}
+    kept = {k: r.kept for k, r in judged.items()}
     assert not any(kept[k] for k in range(60) if k % 10) and all(kept[k] for k in range(0, 60, 10))
     assert all(kept[100 + k] for k in range(60)) and kept[200] and kept[202]
     rates = {(r.host, r.rule): r.rate for r in host_quality.host_rates(host_quality.measured(frame(spark, rows))).collect()}
+    assert (judged[1].host_fails, judged[1].host_condemned) == ("symbols", "symbols") and judged[0].host_fails == ""
+    assert (judged[200].host_fails, judged[200].host_condemned) == ("symbols", "")
+    assert all(judged[k].rate_symbols == round(rates[host, "symbols"], 6) for k, host in ((0, "dump"), (201, "tiny"), (202, None)))
     # One document says little about its host.
     assert rates["dump", "symbols"] > rates["tiny", "symbols"] > rates["site1", "symbols"]
 
@@ -114,6 +120,43 @@ def test_keys_beside_names_and_in_mixed_alphabets(spark):
     assert clean[0] == "some é AWS_SECRET_ACCESS_KEY=[secret] words" and clean[1] == "some é session=[secret] words"
 
 
+def words_bound(text: str, k: int) -> float:
+    kind = lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+    total = math.log(1 / 4)
+    for at, c in enumerate(text):
+        if at:
+            total += math.log(0.7 if kind(text[at - 1]) == kind(c) else 0.1)
+        usual = secret_scan.FREQUENCIES[string.ascii_lowercase.index(c.lower())] / sum(secret_scan.FREQUENCIES) if c.isalpha() else 0
+        total += math.log(0.8 * usual + 0.2 / 26 if c.isalpha() else 0.1 if c.isdigit() else 0.25)
+    return min(1.0, len(secret_scan.ENCODINGS) * math.exp(total) * k ** len(text))
+
+
+def test_bound_for_words(spark):
+    rng = random.Random(9)
+    texts = [encoded(rng, n) for n in (20, 33, 80)] + ["RecipesGuideEnergyGrowthNorth40", "some-page_name-of-2024-and-more"]
+    rows = [(k, t, *[None] * 7) for k, t in enumerate(texts)]
+    got = {r.doc_id: r._tested for r in secret_scan.scanned(frame(spark, rows)).collect()}
+    for k, text in enumerate(texts):
+        p = words_bound(text, 64 if "-" in text else 62)
+        assert got[k][0][0].word_step == min(math.floor(-math.log10(max(p, 1e-40)) * secret_scan.STEPS), 800), text
+
+
+def test_reports_are_not_names(spark):
+    rng = random.Random(5)
+    words = "Recipes Guide Energy Growth North Water Table Market Garden Summer Policy Report Science Travel Review".split()
+    names = ["".join(rng.sample(words, 5)) + str(rng.randrange(100)) for _ in range(200)]
+    names += ["-".join(rng.sample(words, 5)).lower() + f"-{rng.randrange(2030)}" for _ in range(100)]
+    ids = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(60)]
+    keys = [encoded(rng, rng.choice([24, 32, 40])) for _ in range(40)]
+    rows = [(k, f"see {t} here", *[None] * 7) for k, t in enumerate(names + ids + [x.upper() for x in ids[:20]] + keys)]
+    got = {r.doc_id: r for r in secret_scan.find_secrets(frame(spark, rows)).collect()}
+    assert sum(got[k].n_random for k in range(300)) <= 0.05 * 300
+    found = [got[k].n_random + got[k].n_hex for k in range(300, len(rows))]
+    assert sum(found[:80]) >= 0.85 * 80 and sum(found[80:]) >= 0.85 * 40
+    whole = [got[300 + k].spans for k, x in enumerate(ids)]
+    assert whole.count("random:4:40") >= 0.85 * 60
+
+
 def test_redaction(spark):
     rows = [(1, "my token=abcdefgh! " + "0" * 40, *[None] * 7), (2, "token: " + "a" * 30, *[None] * 7), (3, None, *[None] * 7), (4, "clean", *[None] * 7)]
     got = {r.doc_id: r.text for r in secret_scan.redacted(frame(spark, rows)).collect()}

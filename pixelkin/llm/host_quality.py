@@ -4,7 +4,8 @@ Each document is measured on its whole text. A base rule rejects it by itself. F
 their failures are counted by host, and a host's failure rate is shrunk towards the corpus by a beta prior whose mean
 and strength come from the spread of the hosts' own rates. A host whose shrunk rate for a rule passes the bar is
 condemned for that rule, and its verdict goes back to the documents: those of the host that fail the very rule are
-rejected. A document that fails no rule is kept whatever its host.
+rejected. A document that fails no rule is kept whatever its host. ``quality`` also returns what the verdict rests on: the
+host's shrunk rates, the rules that the document fails, and those its host is condemned for.
 
 All of it is DataFrame functions. Counts by host are combined before the shuffle, so a host with a third of all rows
 costs one row per task.
@@ -113,28 +114,41 @@ def host_rates(scored: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judged(scored: DataFrame, host: str = "source") -> DataFrame:
-    """``scored`` (a frame from ``measured``) with ``_base_failed`` and ``_kept``.
+    """``scored`` (a frame from ``measured``) with ``_base_failed``, ``_kept`` and the struct ``_host``.
 
-    Verdicts are stored first; Spark then sees their size and sends them to the documents where they are small.
+    ``_host`` has the rules failed by the document and the shrunk rates of its host. Verdicts are stored first; Spark then
+    sees their size and sends them to the documents where they are small.
     """
-    condemned = host_rates(scored.select(host, "_q"), host).where(F.col("rate") > CONDEMNED)
-    verdicts = materialize(condemned.groupBy("host").agg(F.collect_set("rule").alias("_condemned")), "verdicts")
-    own = F.array_compact(F.array(*(F.when(_of(rule), F.lit(name)) for name, rule in HOST_RULES.items())))
-    guilty = F.coalesce(F.arrays_overlap("_condemned", own), F.lit(False))
+    rates = host_rates(scored.select(host, "_q"), host)
+    by_rule = [F.max(F.when(F.col("rule") == name, F.col("rate"))).alias(f"_rate_{name}") for name in HOST_RULES]
+    verdicts = materialize(rates.groupBy(F.col("host").alias("_of_host")).agg(*by_rule), "verdicts")
+    listed = lambda test: F.array_compact(F.array(*(F.when(test(n), F.lit(n)) for n in HOST_RULES)))
+    about = F.struct(
+        listed(lambda n: _of(HOST_RULES[n])).alias("fails"),
+        listed(lambda n: F.col(f"_rate_{n}") > CONDEMNED).alias("condemned"),
+        *(F.col(f"_rate_{n}").alias(f"rate_{n}") for n in HOST_RULES),
+    )
     return (
-        scored.join(verdicts, F.col(host).eqNullSafe(F.col("host")), "left")
+        scored.join(verdicts, F.col(host).eqNullSafe(F.col("_of_host")), "left")
+        .withColumn("_host", about)
         .withColumn("_base_failed", base_failed())
-        .withColumn("_kept", ~F.col("_base_failed") & ~guilty)
-        .drop("host", "_condemned")
+        .withColumn("_kept", ~F.col("_base_failed") & ~F.arrays_overlap("_host.fails", "_host.condemned"))
+        .drop("_of_host", *(f"_rate_{n}" for n in HOST_RULES))
     )
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """(doc_id, measures, base_failed, kept) of every row of ``docs`` (doc_id, source, text)."""
+    """(doc_id, measures, base_failed, kept, host_fails, host_condemned, rates) of every row of ``docs`` (doc_id, source, text).
+
+    The lists of rules are comma-joined; rates are rounded to six digits.
+    """
     scored = materialize(measured(docs.select("doc_id", "source", "text")).drop("text"), "measured")
     return judged(scored).select(
         "doc_id",
         *(f"_q.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         F.col("_base_failed").alias("base_failed"),
         F.col("_kept").alias("kept"),
+        F.array_join("_host.fails", ",").alias("host_fails"),
+        F.array_join("_host.condemned", ",").alias("host_condemned"),
+        *(F.round(f"_host.rate_{n}", 6).alias(f"rate_{n}") for n in HOST_RULES),
     )

@@ -23,11 +23,15 @@ f AS (SELECT rid, source, unnest(['symbols', 'word_length', 'dup_lines']) AS rul
 h AS (SELECT source, rule, count(*) AS docs, count(*) FILTER (fails) AS failures FROM f GROUP BY ALL),
 p AS (SELECT rule, sum(failures) / sum(docs) AS mean, var_pop(failures / docs) AS spread FROM h GROUP BY rule),
 s AS (SELECT rule, mean, greatest(1.0, least(1000.0, CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 1000.0 END)) AS strength FROM p),
-v AS (SELECT h.source, h.rule FROM h JOIN s USING (rule) WHERE (mean * strength + failures) / (strength + docs) > 0.5),
-d AS (SELECT DISTINCT rid FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source AND f.rule = v.rule WHERE fails),
+v AS (SELECT h.source, h.rule, (mean * strength + failures) / (strength + docs) AS rate FROM h JOIN s USING (rule)),
+k AS (SELECT f.rid, coalesce(string_agg(rule, ',' ORDER BY rule = 'dup_lines', rule) FILTER (fails), '') AS host_fails,
+  coalesce(string_agg(rule, ',' ORDER BY rule = 'dup_lines', rule) FILTER (rate > 0.5), '') AS host_condemned, bool_or(fails AND rate > 0.5) AS guilty,
+  round(max(rate) FILTER (rule = 'symbols'), 6) AS rate_symbols, round(max(rate) FILTER (rule = 'word_length'), 6) AS rate_word_length,
+  round(max(rate) FILTER (rule = 'dup_lines'), 6) AS rate_dup_lines
+  FROM f JOIN v USING (rule) WHERE f.source IS NOT DISTINCT FROM v.source GROUP BY f.rid),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND rid NOT IN (SELECT rid FROM d) AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT guilty AS kept,
+  host_fails, host_condemned, rate_symbols, rate_word_length, rate_dup_lines FROM b JOIN k USING (rid)
 """
 
 _JOIN = r"""

@@ -294,6 +294,6 @@ def hamming_pairs(
     return band_hamming_pairs(distinct, threshold, bands, hot_rows, check_hot=n > hot_rows)
 
 
-def two_band_pairs(hashes: DataFrame, threshold: int, suspect_max: int) -> DataFrame:
+def two_band_pairs(hashes: DataFrame, threshold: int, suspect_max: int, collapsed: bool = False) -> DataFrame:
     """One search at the wider limit, split into sure and suspect pairs -> (a, b, dist, sure)."""
-    return hamming_pairs(hashes, suspect_max).withColumn("sure", F.col("dist") <= threshold)
+    return hamming_pairs(hashes, suspect_max, collapsed=collapsed).withColumn("sure", F.col("dist") <= threshold)

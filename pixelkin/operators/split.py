@@ -3,7 +3,7 @@
 Members with equal hash (or vector) always land in the same part, so only the distinct values of a group,
 in order of first appearance, are placed. A group with more distinct values than one task should hold is
 placed in batches: the fit of a batch to the existing parts is computed by joins, only the batch itself is
-walked in order.
+walked in order. What a batch has placed is added to a store and never written again, with one tally for each part.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pixelkin.operators.chunks import batches_of, chunked, items_of, matrix_of, struct_field
 from pixelkin.operators.ordinals import with_group_ordinal
 from pixelkin.operators.vectors import DIGITS
-from pixelkin.session import is_empty, materialize
+from pixelkin.session import Added, is_empty, materialize
 
 
 def _fit_matrix(metric: str, limit: float, left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -155,7 +155,9 @@ def _place_in_batches(points: DataFrame, metric: str, limit: float, batch_rows:
     ordered = with_group_ordinal(points, ["grp"], ["pos", "id"], "at")
     ordered = materialize(ordered.withColumn("batch", F.floor(F.col("at") / batch_rows)), "split-batches")
     rounds = ordered.agg(F.max("batch")).first()[0] + 1
-    placed = None
+    store = Added("split-placed", points.sparkSession)
+    tallies = Added("split-tallies", points.sparkSession)
+    placed = tallied = None
     for number in range(rounds):
         fresh = ordered.where(F.col("batch") == number).select("grp", "pos", "id", "value")
         if placed is None:
@@ -172,18 +174,19 @@ def _place_in_batches(points: DataFrame, metric: str, limit: float, batch_rows:
                 ]
             )
             counted = left.join(right, "grp").mapInArrow(_count_kernel(metric, limit, to_arrow_type(grp_type)), schema)
-            sizes = placed.groupBy("grp", "part").agg(F.count("*").alias("size"))
+            sizes = tallied.groupBy("grp", "part").agg(F.sum("size").alias("size"))
             fitting = counted.groupBy("grp", "id", "part").agg(F.sum("fitting").alias("fitting")).join(sizes, ["grp", "part"])
             allowed = (
                 fitting.where(F.col("fitting") == F.col("size"))
                 .groupBy("grp", "id")
                 .agg(F.sort_array(F.collect_list("part")).alias("allowed"))
             )
-            starts = placed.groupBy("grp").agg((F.max("part") + 1).alias("start"))
+            starts = sizes.groupBy("grp").agg((F.max("part") + 1).alias("start"))
             ready = fresh.join(starts, "grp").join(allowed, ["grp", "id"], "left")
         parts = _place(_pack(ready), metric, limit, grp_type)
         parts = fresh.join(parts, ["grp", "id"]).select("grp", "id", "value", "part")
-        placed = materialize(parts if placed is None else placed.unionByName(parts), "split-placed")
+        placed, own = store.add(parts)
+        tallied, _ = tallies.add(own.groupBy("grp", "part").agg(F.count("*").alias("size")))
     return placed.select("grp", "id", "part")
 
 

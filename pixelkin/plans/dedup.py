@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from pixelkin.config import DedupConfig
 from pixelkin.functions.paths import path_key, under_dir
+from pixelkin.operators.catalog import vector_lookup
 from pixelkin.operators.linkage import cluster_edges, complete_linkage
-from pixelkin.operators.pairs import hamming_pairs
+from pixelkin.operators.pairs import two_band_pairs
 from pixelkin.operators.skew import keyed_join
 from pixelkin.operators.split import split_by_first_fit
 from pixelkin.operators.vectors import (
@@ -237,8 +238,8 @@ def _hash_stage(rows: DataFrame, reach: int, cfg: DedupConfig, ordered: bool):
         F.count("*").alias("w"), F.min("path").alias("first_path"), F.min("file_id").alias("first_id")
     )
     points = materialize(points, "points")
-    pairs = materialize(hamming_pairs(points, reach, collapsed=plain), "hash-pairs")
-    edges = _hash_edges(points, pairs.where(F.col("dist") <= cfg.phash_threshold), plain)
+    pairs = materialize(two_band_pairs(points, cfg.phash_threshold, reach, collapsed=plain), "hash-pairs")
+    edges = _hash_edges(points, pairs.where("sure").drop("sure"), plain)
     merged = complete_linkage(edges, cfg, ordered, all_initiate=True)
     return pairs, clustered, points, materialize(_placed(points, merged), "placed"), plain
 
@@ -283,7 +284,7 @@ def _attach_vectors(rows: DataFrame, vectors: DataFrame | None, embedder: Embedd
     if vectors is None:
         cached = rows.withColumn("vector", F.lit(None).cast("array<float>"))
     else:
-        cached = rows.join(vectors.select("file_id", "vector"), "file_id", "left")
+        cached = vector_lookup(rows, vectors)
     if embedder is not None:
         cached = materialize(cached, "cached-vectors")
         missing = cached.where(F.coalesce(F.size("vector"), F.lit(0)) <= 0)
@@ -301,7 +302,7 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     pairs, clustered, points, placed, plain = _hash_stage(rows, cfg.suspect_max, cfg, ordered=True)
     stages.mark("hash comparison")
 
-    suspects = pairs.where(F.col("dist") > cfg.phash_threshold)
+    suspects = pairs.where(~F.col("sure"))
     suspect_count = _suspect_count(points, suspects, plain, cfg)
     hashes = suspects.select(F.col("a").alias("phash")).union(suspects.select("b")).distinct()
     need = materialize(needed_for_vectors(placed, hashes, points), "needed")

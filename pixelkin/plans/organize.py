@@ -31,7 +31,7 @@ def _order() -> Column:
 
 
 def not_in_target(files: DataFrame, target_files: DataFrame) -> DataFrame:
-    """Files whose content the target does not have; a file without MD5 is always kept."""
+    """Files (or claims) whose content the target does not have; one without MD5 is always kept."""
     present = target_files.where(F.col("md5").isNotNull()).select("md5").distinct()
     return files.join(present, "md5", "left_anti")
 
@@ -102,11 +102,10 @@ def organize_plan(
     base = target_dir.replace("\\", "/")
     present = listing.select("path").distinct().withColumn("_there", F.lit(True))
     inside = under_dir(F.col("path"), base)
-    target = files.where(inside).join(present, "path", "left_semi")
-    target_md5 = target.where(F.col("md5").isNotNull()).select("md5").distinct()
+    target = existing_sources(files.where(inside), listing)
     source = files.where(~inside).where(of_types(F.col("file_type"), file_types)).join(present, "path", "left")
     # One row per content on both sides of this join; the winners then go back to the files by path.
-    claims = content_claims(source.where("_there")).join(target_md5, "md5", "left_anti")
+    claims = not_in_target(content_claims(source.where("_there")), target)
     winners = claims.select(F.col("claim_path").alias("path"), F.lit(True).alias("_wins"))
     judged = source.join(winners, "path", "left")
     parts = date_parts(F.col("taken_at"))

@@ -58,5 +58,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Added:
+    """A table below the scratch folder that grows by whole folders: what was written stays as it is."""
+
+    def __init__(self, tag: str, spark: SparkSession):
+        self._spark = spark
+        self._base = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self._paths: list[str] = []
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Write ``df`` as one more folder: the table so far, and the new rows alone."""
+        path = f"{self._base}/{len(self._paths)}"
+        df.write.parquet(path)
+        self._paths.append(path)
+        read = self._spark.read.schema(df.schema)
+        return read.parquet(*self._paths), read.parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -1,6 +1,8 @@
 """Ordinals, components, splitting, skewed lookups, review, organizing, expressions."""
 
 import random
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from brute import popcount
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pixelkin.functions import dates, fingerprints, paths
 from pixelkin.operators import catalog, components, ordinals, review, skew, split
 from pixelkin.plans import organize
+from pixelkin.session import scratch_dir
 
 
 def test_ordinals(spark):
@@ -70,6 +73,25 @@ def test_first_fit(spark, point_limit):
     assert got == expected
 
 
+def test_batches_of_a_split_are_written_once(spark):
+    rng = random.Random(8)
+    rows = [("g", k, f"{k:03}", rng.getrandbits(40)) for k in range(90)]
+    written = lambda tag: set(Path(scratch_dir(spark).removeprefix("file:")).glob(f"{tag}-*/*"))
+    before = {tag: written(tag) for tag in ("split-placed", "split-tallies")}
+    df = spark.createDataFrame(rows, "grp string, pos int, id string, value long")
+    parts = split.split_by_first_fit(df, "hamming", 12, 10, 4)
+    got = {r.id: r.part for r in parts.collect()}
+    placed, tallies = (sorted(written(tag) - before[tag]) for tag in ("split-placed", "split-tallies"))
+    assert len(placed) == len(tallies) == 9
+    rounds = [spark.read.parquet(str(p)).count() for p in placed]
+    assert rounds == [10] * 9 and len(got) == 90
+    # Tallies of all rounds add up to the parts.
+    sizes = Counter()
+    for r in spark.read.parquet(*map(str, tallies)).collect():
+        sizes[r.part] += r.size
+    assert sizes == Counter(got.values())
+
+
 def values(spark, rows, schema, **columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*[c.alias(n) for n, c in columns.items()]).collect()]
 

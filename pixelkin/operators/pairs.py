@@ -29,6 +29,10 @@ _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dist", pa.int3
 _KEY_COST, _CANDIDATE_COST, _BLOCK_COST = 1e-6, 5e-8, 1.5e-9
 # Hashes in a block, whatever their number; more hashes make more blocks and tasks.
 _BLOCK_ROWS = 4096
+# Rows and columns of distances worked out at once: they stay in the nearest cache.
+_TILE = (8, 4096)
+# Hashes of a metric partition that are stored together.
+_BAND_ROWS = 1 << 15
 # Above so many hashes, blocks are those of a metric partition, and pairs of blocks that lie apart are never joined.
 PIVOT_ROWS = 50_000
 # Band values shared by more hashes than this are compared in blocks instead of inside one join task.
@@ -148,12 +152,24 @@ def _meets_once(bands: list[Band], band: Column, key: Column, a: Column, b: Colu
 
 def _compare(left: np.ndarray, right: np.ndarray, threshold: int, mirrored: bool):
     """Pairs within ``threshold``; unless mirrored only those with left < right."""
-    for start in range(0, len(left), 1024):
-        rows = left[start : start + 1024]
-        # Unsigned, because numpy counts the bits of the absolute value of a signed number.
-        dist = np.bitwise_count((rows[:, None] ^ right[None, :]).view(np.uint64))
-        i, j = np.nonzero(dist <= threshold)
-        a, b, d = rows[i], right[j], dist[i, j]
+    # Unsigned, because numpy counts the bits of the absolute value of a signed number.
+    left, right = left.view(np.uint64), right.view(np.uint64)
+    for at in range(0, len(right), _TILE[1]):
+        columns = right[at : at + _TILE[1]]
+        diff, dist = np.empty((_TILE[0], len(columns)), np.uint64), np.empty((_TILE[0], len(columns)), np.uint8)
+        found = []
+        for start in range(0, len(left), _TILE[0]):
+            rows = left[start : start + _TILE[0]]
+            x, d = diff[: len(rows)], dist[: len(rows)]
+            np.bitwise_xor(rows[:, None], columns[None, :], out=x)
+            np.bitwise_count(x, out=d)
+            if d.min() <= threshold:
+                i, j = np.nonzero(d <= threshold)
+                found.append((rows[i], columns[j], d[i, j]))
+        if not found:
+            continue
+        a, b, d = (np.concatenate(x) for x in zip(*found))
+        a, b = a.view(np.int64), b.view(np.int64)
         if mirrored:
             a, b = np.minimum(a, b), np.maximum(a, b)
         else:
@@ -163,6 +179,17 @@ def _compare(left: np.ndarray, right: np.ndarray, threshold: int, mirrored: bool
             yield a, b, d.astype(np.int32)
 
 
+def _compared(threshold: int):
+    """Pairs of the items (phash) of two blocks, as batches."""
+
+    def run(left: pa.StructArray, right: pa.StructArray, same: bool):
+        lh, rh = struct_field(left, "phash").to_numpy(), struct_field(right, "phash").to_numpy()
+        for a, b, d in _compare(lh, rh, threshold, mirrored=not same):
+            yield from batches_of([{"a": a, "b": b, "dist": d}], _PAIRS_ARROW)
+
+    return run
+
+
 def _grid_kernel(threshold: int):
     def run(batches):
         for batch in batches:
@@ -234,12 +261,12 @@ def grid_hamming_pairs(hashes: DataFrame, threshold: int, n: int) -> DataFrame:
 
 def hash_partition(hashes: DataFrame, threshold: int, n: int, block_rows: int = _BLOCK_ROWS) -> Partition:
     """Blocks of near hashes of a stored table (phash), and the pairs of blocks that may hold a pair."""
-    return partitioned(hashes, "phash", "phash", ["phash"], HAMMING, threshold, n, block_rows)
+    return partitioned(hashes, "phash", "phash", ["phash"], HAMMING, threshold, n, block_rows, _BAND_ROWS)
 
 
 def pivot_hamming_pairs(hashes: DataFrame, threshold: int, n: int, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """Pairs by comparing only those blocks that the triangle inequality does not keep apart."""
-    return hash_partition(hashes, threshold, n, block_rows).joined().mapInArrow(_grid_kernel(threshold), PAIRS_SCHEMA)
+    return hash_partition(hashes, threshold, n, block_rows).compared(_compared(threshold), PAIRS_SCHEMA)
 
 
 def band_hamming_pairs(

@@ -5,8 +5,9 @@ inside a cell, points of one distance ring to it lie together, in blocks of boun
 distances of its points to every pivot. Two points within a reach have, to each pivot, distances at most the reach apart,
 so two blocks whose ranges are further apart at any pivot hold no pair, and are never joined.
 
-Pairs of blocks are found as numbers: pairs of cells first (their number is bounded by that of the pivots), then pairs of
-blocks of these cells by their ranges. Contents move only for pairs of blocks that remain.
+Blocks of one cell are stored together in bands of bounded size. Bands meet as a Cartesian product of the stored table: a
+task reads its two parts of it, so the contents are never shuffled by pairs. Bands that lie apart are passed over by
+Spark, blocks that lie apart inside the task.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def _celled(metric: Metric, pivots: np.ndarray, value: str):
 
 
 def _ranged(metric: Metric, pivots: np.ndarray, value: str):
-    """Blocks (block, cell, items) -> (block, cell, low, high): least and greatest distance to every pivot."""
+    """Adds (low, high) to blocks: least and greatest distance of their items to every pivot."""
 
     def run(batches):
         for batch in batches:
@@ -106,9 +107,8 @@ def _ranged(metric: Metric, pivots: np.ndarray, value: str):
                 away = metric.distances(metric.points(column.slice(a, b - a)), pivots)
                 low.append(away.min(axis=0))
                 high.append(away.max(axis=0))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("block", "cell")]
             kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(low, kind), pa.array(high, kind)], ["block", "cell", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, kind), pa.array(high, kind)], [*batch.schema.names, "low", "high"])
 
     return run
 
@@ -136,35 +136,93 @@ def _kept_pairs(reach: float):
     return run
 
 
+def _sides(batch: pa.RecordBatch, name: str):
+    """Of a column of bands: offsets of the blocks, their ranges, offsets of the items, items."""
+    of_band, blocks = items_of(batch, name)
+    held = struct_field(blocks, "items")
+    at = held.offsets.to_numpy()
+    return of_band, matrix_of(struct_field(blocks, "low")), matrix_of(struct_field(blocks, "high")), at - at[0], held.flatten()
+
+
+def _tile_kernel(limit: float, compare: Callable):
+    """Pairs of bands (left, right, same) -> what ``compare`` (left items, right items, same) finds in blocks within the limit.
+
+    Where most of a pair of bands is to be compared, it is compared as a whole; else each block with all that are near it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lo, low, high, la, left = _sides(batch, "left")
+            ro, other_low, other_high, ra, right = _sides(batch, "right")
+            same = batch.column(batch.schema.get_field_index("same")).to_pylist()
+            for r in range(batch.num_rows):
+                i, j = slice(int(lo[r]), int(lo[r + 1])), slice(int(ro[r]), int(ro[r + 1]))
+                kept = np.array([_apart(low[k : k + 1], high[k : k + 1], other_low[j], other_high[j])[0] for k in range(i.start, i.stop)]) <= limit
+                if same[r]:
+                    kept = np.triu(kept)
+                many, others = np.diff(la[i.start : i.stop + 1]), np.diff(ra[j.start : j.stop + 1])
+                whole = many.sum() * others.sum() / (2 if same[r] else 1)
+                if 2 * (many @ kept @ others) >= whole:
+                    a, b = int(la[i.start]), int(ra[j.start])
+                    yield from compare(left.slice(a, int(many.sum())), right.slice(b, int(others.sum())), same[r])
+                    continue
+                for k in np.flatnonzero(kept.any(axis=1)).tolist():
+                    own = left.slice(int(la[i.start + k]), int(many[k]))
+                    if same[r] and kept[k, k]:
+                        yield from compare(own, own, True)
+                        kept[k, k] = False
+                    near = [right.slice(int(ra[j.start + x]), int(others[x])) for x in np.flatnonzero(kept[k]).tolist()]
+                    if near:
+                        yield from compare(own, pa.concat_arrays(near), False)
+
+    return run
+
+
 @dataclass(frozen=True)
 class Partition:
-    """Stored blocks (block, items) and the pairs of blocks (block, partner) that may hold a pair; block <= partner."""
+    """Stored ``blocks`` (block, cell, items, low, high), and their bands (band, blocks, low, high)."""
 
     blocks: DataFrame
-    pairs: DataFrame
+    bands: DataFrame
     pivots: int
+    limit: float
+
+    def pairs(self) -> DataFrame:
+        """The pairs of blocks (block, partner) that may hold a pair; block <= partner."""
+        ranges = self.blocks.select("block", "cell", "low", "high")
+        near = self.blocks.sparkSession.createDataFrame(_near_cells(ranges, self.pivots, self.limit), "cell long, other long")
+        sides = ranges.toDF("partner", "other", "other_low", "other_high")
+        met = ranges.join(F.broadcast(near), "cell").join(sides.hint("merge"), "other").where("block <= partner")
+        kept = met.select("block", "low", "high", "partner", "other_low", "other_high")
+        return kept.mapInArrow(_kept_pairs(self.limit), "block long, partner long")
 
     def counts(self) -> dict[str, int]:
-        """How many pairs of blocks there are, and how many were left out without being joined."""
-        n, kept = self.blocks.count(), self.pairs.count()
+        """How many pairs of blocks there are, and how many are left out without being compared block by block."""
+        n, kept = self.blocks.count(), self.pairs().count()
         return {"blocks": n, "block_pairs": n * (n + 1) // 2, "skipped": n * (n + 1) // 2 - kept}
 
-    def joined(self) -> DataFrame:
-        """(left, right, same) for the pairs that remain, dealt out evenly."""
-        left = self.blocks.select("block", F.col("items").alias("left"))
-        right = self.blocks.select(F.col("block").alias("partner"), F.col("items").alias("right"))
-        met = self.pairs.join(left, "block").join(right, "partner")
-        cores = self.blocks.sparkSession.sparkContext.defaultParallelism
-        rows = self.pairs.count()
-        return met.select("left", "right", (F.col("block") == F.col("partner")).alias("same")).repartition(
-            max(1, min(rows, max(4 * cores, rows // 64)))
-        )
+    def compared(self, compare: Callable, schema) -> DataFrame:
+        """What ``compare`` (left items, right items, same) yields for the blocks that do not lie apart."""
+        left = self.bands.toDF("band", "left", "low", "high")
+        right = self.bands.toDF("partner", "right", "other_low", "other_high")
+        gap = [F.array_max(F.zip_with(a, b, lambda x, y: x - y)) for a, b in (("low", "other_high"), ("other_low", "high"))]
+        near = (F.col("band") <= F.col("partner")) & (gap[0] <= self.limit) & (gap[1] <= self.limit)
+        # Read in parts from storage, never shuffled: each task meets one part with another.
+        met = left.join(right.hint("shuffle_replicate_nl"), near)
+        met = met.select("left", "right", (F.col("band") == F.col("partner")).alias("same"))
+        return met.mapInArrow(_tile_kernel(self.limit, compare), schema)
 
 
 def partitioned(
-    points: DataFrame, value: str, spread_by: str, fields: list[str], metric: Metric, reach: float, rows: int, block_rows: int
+    points: DataFrame, value: str, spread_by: str, fields: list[str], metric: Metric, reach: float, rows: int, block_rows: int,
+    band_rows: int,
 ) -> Partition:
-    """The metric partition of stored ``points`` whose ``value`` column holds the points; ``rows`` is their number."""
+    """The metric partition of stored ``points`` whose ``value`` column holds the points; ``rows`` is their number.
+
+    Bands hold about ``band_rows`` points.
+    """
     spark = points.sparkSession
     share = max(1, rows // SAMPLE_POINTS)
     sample = points.where(F.pmod(F.xxhash64(spread_by, F.lit(17)), F.lit(share)) == 0).select(value).limit(2 * SAMPLE_POINTS)
@@ -178,19 +236,22 @@ def partitioned(
     chunks = chunked(celled, ["cell", "ring"], spread_by, fields, block_rows)
     wide = F.lit(1 << 40)
     number = (F.col("cell") * RINGS * 2 + F.col("ring")) * wide + F.col("chunk")
-    blocks = materialize(chunks.select(number.alias("block"), "cell", "items"), "metric-blocks")
-    ranges = materialize(
-        blocks.mapInArrow(_ranged(metric, pivots, value), "block long, cell long, low array<double>, high array<double>"),
-        "block-ranges",
-    )
-    limit = reach + 2 * metric.slack
-    near = spark.createDataFrame(_near_cells(ranges, len(pivots), limit), "cell long, other long")
-    sides = ranges.toDF("partner", "other", "other_low", "other_high")
-    met = ranges.join(F.broadcast(near), "cell").join(sides.hint("merge"), "other").where("block <= partner")
-    kept = met.select("block", "low", "high", "partner", "other_low", "other_high").mapInArrow(
-        _kept_pairs(limit), "block long, partner long"
-    )
-    return Partition(blocks.drop("cell"), materialize(kept, "block-pairs"), len(pivots))
+    blocks = chunks.select(number.alias("block"), "cell", "items")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
+    blocks = blocks.mapInArrow(_ranged(metric, pivots, value), f"{kind}, low array<double>, high array<double>")
+    blocks = materialize(blocks, "metric-blocks")
+    # One row per cell, at most one per pivot.
+    sizes = blocks.groupBy("cell").agg(F.ceil(F.sum(F.size("items")) / F.lit(float(band_rows))).cast("long").alias("pieces"))
+    band = F.col("cell") * wide + F.pmod(F.xxhash64("block"), F.col("pieces"))
+    # So many files that a product of their parts keeps every core busy, whatever adaptive execution makes of small tables.
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, max(count, -(-rows // band_rows))))
+    bands = blocks.join(F.broadcast(sizes), "cell").withColumn("band", band).repartition(parts, "band")
+    bands = bands.groupBy("band").agg(F.collect_list(F.struct("low", "high", "items")).alias("blocks"))
+    over = F.sequence(F.lit(0), F.lit(len(pivots) - 1))
+    low = F.transform(over, lambda k: F.array_min(F.transform("blocks", lambda b: F.get(b["low"], k))))
+    high = F.transform(over, lambda k: F.array_max(F.transform("blocks", lambda b: F.get(b["high"], k))))
+    bands = materialize(bands.select("band", "blocks", low.alias("low"), high.alias("high")), "metric-bands")
+    return Partition(blocks, bands, len(pivots), reach + 2 * metric.slack)
 
 
 def _near_cells(ranges: DataFrame, pivots: int, limit: float) -> list[tuple[int, int]]:

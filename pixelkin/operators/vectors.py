@@ -26,6 +26,8 @@ DIGITS = 9
 _BLOCK_BYTES = 4 << 20
 # Vectors of this length are multiplied in two steps.
 _LONG_VECTOR = 64
+# Rows and columns of a product worked out at once.
+_TILE = (256, 2048)
 # Rows with no more pairs of items than this are worked out as one flat product; values of it that are held at once.
 _FLAT_PAIRS = 1024
 _FLAT_VALUES = 1 << 20
@@ -102,30 +104,75 @@ def _small(lo: np.ndarray, ro: np.ndarray) -> np.ndarray:
 def _close(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, similarity) of the pairs of rows that reach the threshold, unrounded.
 
-    Of long vectors a quarter is multiplied first: the rest can add no more than the product of its lengths. Where few pairs
-    remain, only these are worked out.
+    Of long vectors a half is multiplied first, in single precision: the rest can add no more than the product of its
+    lengths. Where few pairs remain, only these are worked out in full. Products are made in pieces that stay in a cache.
     """
     width = left.shape[1]
-    head = width // 4
-    if width < _LONG_VECTOR:
-        sims = left @ right.T
-        i, j = np.nonzero(sims >= threshold)
-        return i, j, sims[i, j]
-    rest_left = np.sqrt((left[:, head:] ** 2).sum(axis=1))
-    rest_right = np.sqrt((right[:, head:] ** 2).sum(axis=1))
-    bound = left[:, :head] @ right[:, :head].T
-    bound += rest_left[:, None] * rest_right[None, :]
-    i, j = np.nonzero(bound >= threshold - 1e-9)
-    if len(i) * 16 > bound.size:
-        sims = left @ right.T
-        i, j = np.nonzero(sims >= threshold)
-        return i, j, sims[i, j]
-    sims = np.empty(len(i))
-    for at in range(0, len(i), 8192):
-        part = slice(at, at + 8192)
-        sims[part] = np.einsum("ij,ij->i", left[i[part]], right[j[part]])
-    near = sims >= threshold
-    return i[near], j[near], sims[near]
+    head = width // 2 if width >= _LONG_VECTOR else 0
+    if head and len(left) and len(right):
+        lengths = [float(np.sqrt((x * x).sum(axis=1).max())) for x in (left, right)]
+        # More than rounding can take away from a product in single precision.
+        limit = np.float32(threshold - (width + 16) * 3e-7 * lengths[0] * lengths[1])
+        shorter = [_headed(x, head) for x in (left, right)]
+    out = []
+    for x in range(0, len(right), _TILE[1]):
+        columns = right[x : x + _TILE[1]].T
+        heads = np.ascontiguousarray(shorter[1][x : x + _TILE[1]].T) if head else None
+        for y in range(0, len(left), _TILE[0]):
+            rows = left[y : y + _TILE[0]]
+            if head:
+                may = shorter[0][y : y + _TILE[0]] @ heads >= limit
+                if not may.any():
+                    continue
+                i, j = np.divmod(np.flatnonzero(may), may.shape[1])
+            if head and len(i) * 16 <= may.size:
+                sims = np.concatenate(
+                    [np.einsum("ij,ij->i", rows[i[k : k + 8192]], right[x + j[k : k + 8192]]) for k in range(0, len(i), 8192)]
+                )
+                near = sims >= threshold
+                i, j, sims = i[near], j[near], sims[near]
+            else:
+                sims = rows @ columns
+                i, j = np.nonzero(sims >= threshold)
+                sims = sims[i, j]
+            if len(i):
+                out.append((i + y, j + x, sims))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _headed(rows: np.ndarray, head: int) -> np.ndarray:
+    """The first ``head`` numbers of every row and the length of the rest, in single precision."""
+    out = np.empty((len(rows), head + 1), np.float32)
+    out[:, :head] = rows[:, :head]
+    out[:, head] = np.sqrt((rows[:, head:] ** 2).sum(axis=1))
+    return out
+
+
+def _found(left: pa.StructArray, right: pa.StructArray, same: bool, threshold: float):
+    """Columns (a, b, sim) of the pairs of two blocks of items (id, vector) at or above the threshold."""
+    lid, lvec, rid, rvec = (struct_field(v, f) for v in (left, right) for f in ("id", "vector"))
+    for li, ri, lm, rm in _matrices(lvec, rvec):
+        i, j, close = _close(lm, rm, threshold - 10.0**-DIGITS)
+        close = np.round(close, DIGITS)
+        kept = close >= threshold
+        if same:
+            kept &= li[i] < ri[j]
+        i, j, close = i[kept], j[kept], close[kept]
+        if len(i):
+            yield {"a": lid.take(pa.array(li[i])), "b": rid.take(pa.array(ri[j])), "sim": close}
+
+
+def _compared(threshold: float):
+    """Pairs of the items of two blocks, as batches."""
+
+    def run(left: pa.StructArray, right: pa.StructArray, same: bool):
+        kind = struct_field(left, "id").type
+        for found in _found(left, right, same, threshold):
+            yield from batches_of([found], pa.schema([("a", kind), ("b", kind), ("sim", pa.float64())]))
+
+    return run
 
 
 def _pair_kernel(threshold: float):
@@ -153,23 +200,8 @@ def _pair_kernel(threshold: float):
                 if kept.any():
                     rows.append({"a": lid.take(pa.array(i[kept])), "b": rid.take(pa.array(j[kept])), "sim": close[kept]})
             for r in np.flatnonzero(~small).tolist():
-                left = lvec.slice(int(lo[r]), int(lo[r + 1] - lo[r]))
-                right = rvec.slice(int(ro[r]), int(ro[r + 1] - ro[r]))
-                for li, ri, lm, rm in _matrices(left, right):
-                    i, j, close = _close(lm, rm, threshold - 10.0**-DIGITS)
-                    close = np.round(close, DIGITS)
-                    kept = close >= threshold
-                    if same[r]:
-                        kept &= li[i] < ri[j]
-                    i, j, close = i[kept], j[kept], close[kept]
-                    if len(i):
-                        rows.append(
-                            {
-                                "a": lid.take(pa.array(li[i] + lo[r])),
-                                "b": rid.take(pa.array(ri[j] + ro[r])),
-                                "sim": close,
-                            }
-                        )
+                left, right = lv.slice(int(lo[r]), int(lo[r + 1] - lo[r])), rv.slice(int(ro[r]), int(ro[r + 1] - ro[r]))
+                rows += _found(left, right, same[r], threshold)
             yield from batches_of(rows, schema)
 
     return run
@@ -187,13 +219,15 @@ def angle_partition(points: DataFrame, threshold: float, rows: int, longest: flo
     Two vectors no longer than ``longest`` reach the threshold only within a certain angle.
     """
     reach = math.acos(min(1.0, max(-1.0, (threshold - 10.0**-DIGITS) / max(longest**2, 1e-300))))
-    return partitioned(points, "vector", "id", ["id", "vector"], ANGLE, reach, rows, block_rows)
+    width = points.select(F.max(F.size("vector"))).first()[0] or 1
+    band_rows = max(256, _BLOCK_BYTES // (8 * width))
+    return partitioned(points, "vector", "id", ["id", "vector"], ANGLE, reach, rows, block_rows, band_rows)
 
 
 def pivot_cosine_pairs(points: DataFrame, threshold: float, rows: int, longest: float, block_rows: int) -> DataFrame:
     """Pairs of one width by comparing only those blocks that the triangle inequality of angles does not keep apart."""
-    joined = angle_partition(points, threshold, rows, longest, block_rows).joined()
-    found = joined.mapInArrow(_pair_kernel(threshold), _pair_schema(points.schema["id"].dataType))
+    found = angle_partition(points, threshold, rows, longest, block_rows)
+    found = found.compared(_compared(threshold), _pair_schema(points.schema["id"].dataType))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
 
 

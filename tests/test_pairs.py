@@ -138,3 +138,34 @@ def test_partial_products_lose_nothing(threshold):
         full = left @ right.T
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(full >= threshold))))
         assert np.allclose(sims, full[i, j])
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_of_blocks_are_not_shuffled_by_pairs(spark):
+    rows = [r for r in directions() if len(r[1]) == 96]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    found = vectors.pivot_cosine_pairs(frame, 0.93, len(rows), 1.2, 16)
+    assert "CartesianProduct" in _plan(found) and "Exchange" not in _plan(found)
+    hashes = spark.range(3000).selectExpr("xxhash64(id) AS phash")
+    found = pairs.pivot_hamming_pairs(hashes, 12, 3000, 64)
+    assert "CartesianProduct" in _plan(found) and "Exchange" not in _plan(found)
+    every = [r.phash for r in hashes.collect()]
+    near = sorted((a, b, popcount(a, b)) for i, a in enumerate(sorted(every)) for b in sorted(every)[i + 1 :] if popcount(a, b) <= 12)
+    assert sorted(tuple(r) for r in found.collect()) == near
+
+
+def test_comparisons_stay_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    left, right = (rng.integers(-(2**63), 2**63 - 1, n) for n in (700, 9000))
+    right[::70] = left[: len(right[::70])] ^ 3
+    sizes = []
+    real = np.bitwise_count
+    monkeypatch.setattr(pairs.np, "bitwise_count", lambda x, **k: sizes.append(x.nbytes) or real(x, **k))
+    got = {(int(a), int(b)) for p in pairs._compare(left, right, 12, True) for a, b in zip(p[0], p[1])}
+    monkeypatch.undo()
+    far = np.bitwise_count((left[:, None] ^ right[None, :]).view(np.uint64)) <= 12
+    assert got == {(min(int(left[i]), int(right[j])), max(int(left[i]), int(right[j]))) for i, j in zip(*np.nonzero(far))}
+    assert max(sizes) <= 1 << 20

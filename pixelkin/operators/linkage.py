@@ -6,11 +6,11 @@ a connected component of the initiating pairs, so components are independent of
 
 * a component whose clusters are all mutually similar is one group, whatever the order;
 * a component of bounded size is merged in one task;
-* any larger one is merged level by level. A level is a bound on the rank: pairs above it cannot act before all
-  below it are decided, and those below it hang together in much smaller components. Such a component is settled
-  in one task through the level if it is bounded; in one that is not, every cluster pair that is the first choice of both
-  sides merges. After each level, edges of merged clusters are folded and incompatible ones dropped. The bound follows
-  a quantile of the ranks that are left: higher as long as all components are bounded, lower when one is not.
+* any larger one is merged level by level. In a level every cluster points at its first choice, and what hangs together by
+  first choices is a group. The least rank of a pair that leaves a group bounds what nothing outside can precede: a group of
+  bounded size is settled in one task below that rank. Groups beyond that are cut at a quantile of the ranks of their
+  choices; in those that are still too large, every cluster pair that is the first choice of both sides merges. After
+  each level, edges of merged clusters are folded and incompatible ones dropped.
 
 All three give the result of one sequential pass over the whole pair list.
 """
@@ -36,6 +36,8 @@ EDGE_COLUMNS = ["a", "b", "na", "nb", "wa", "wb", "cnt", "k"]
 # Ranks that a bound is picked from, and the smallest part of the pairs that a level takes.
 _SAMPLE_RANKS = 1024
 _LEAST_SHARE = 1.0 / 64
+# Edges of a group that a level settles in one task, if a component may not have more.
+_GROUP_EDGES = 100_000
 
 
 def cluster_edges(point_pairs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -236,6 +238,41 @@ def _in_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inside.where(F.col("component") == F.col("other")).drop("other")
 
 
+def _choices(starters: DataFrame) -> DataFrame:
+    """The pairs (a, b, k) that are the first choice of one of their sides."""
+    choice = F.struct("k", "a", "b")
+    best = starters.select(F.explode(F.array("a", "b")).alias("c"), choice.alias("m")).groupBy("c").agg(F.min("m").alias("m"))
+    return best.select("m.a", "m.b", "m.k").distinct()
+
+
+def _tagged(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the groups of ``nodes`` (node, component) that their ends are in (ga, gb)."""
+    for side in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("component").alias(f"g{side}")), side, "left")
+    return materialize(edges, "level-edges")
+
+
+def _inside(tagged: DataFrame) -> DataFrame:
+    return tagged.where(F.col("ga") == F.col("gb")).withColumnRenamed("ga", "component").drop("gb")
+
+
+def _too_large(tagged: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(component) of the groups with more edges than one task should hold."""
+    limit = max(cfg.component_edge_limit, _GROUP_EDGES)
+    counts = _inside(tagged).groupBy("component").agg((F.count("*") > limit).alias("large"))
+    return materialize(counts.where("large").select("component"), "level-large")
+
+
+def _before_others(tagged: DataFrame) -> DataFrame:
+    """Edges inside groups; the key is kept only where it comes before that of every pair that leaves the group."""
+    rank = F.struct("k", "a", "b")
+    leaving = tagged.where(F.col("k").isNotNull() & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False)))
+    ends = leaving.select(F.explode(F.array("ga", "gb")).alias("component"), rank.alias("r")).where("component IS NOT NULL")
+    inside = _inside(tagged).join(ends.groupBy("component").agg(F.min("r").alias("bound")), "component", "left")
+    first = F.col("bound").isNull() | (rank < F.col("bound"))
+    return inside.withColumn("k", F.when(first, F.col("k"))).drop("bound")
+
+
 def merge_levels(edges: DataFrame, placed: DataFrame, cfg: DedupConfig) -> tuple[DataFrame, int]:
     """``placed`` (cid, current, seq) after all merges along live ``edges``, and the number of levels taken."""
     id_type, share, levels = edges.schema["a"].dataType, 0.5, 0
@@ -244,20 +281,23 @@ def merge_levels(edges: DataFrame, placed: DataFrame, cfg: DedupConfig) -> tuple
         if is_empty(starters):
             return placed, levels
         levels += 1
-        limit = _bound(starters, share)
-        low = F.col("k") <= limit
-        nodes = materialize(components(starters.where(low)), "level-components")
-        inside = materialize(_in_components(edges, nodes).withColumn("k", F.when(low, F.col("k"))), "level-edges")
-        counts = inside.groupBy("component").agg((F.count("*") > cfg.component_edge_limit).alias("large"))
-        large = materialize(counts.where("large").select("component"), "level-large")
-        bounded = inside.join(large, "component", "left_anti")
-        moves = _settled_moves(bounded, id_type)
+        choices = materialize(_choices(starters), "level-choices")
+        nodes = components(choices)
+        tagged = _tagged(edges, nodes)
+        large = _too_large(tagged, cfg)
         all_bounded = is_empty(large)
         if not all_bounded:
-            rest = inside.join(large, "component", "left_semi").where(F.col("k").isNotNull())
-            moves = moves.unionByName(_agreed_moves(rest))
+            kept = nodes.join(large, "component", "left_anti").select("node", "component")
+            cut = choices.join(nodes.join(large, "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+            nodes = kept.unionByName(components(cut.where(F.col("k") <= _bound(cut, share))))
+            tagged = _tagged(edges, nodes)
+            large = _too_large(tagged, cfg)
+            share = min(1.0, share * 2) if is_empty(large) else max(_LEAST_SHARE, share / 2)
+        moves = _settled_moves(_before_others(tagged).join(large, "component", "left_anti"), id_type)
+        if not all_bounded:
+            held = nodes.join(large, "component", "left_semi").select(F.col("node").alias("old"))
+            moves = moves.unionByName(_agreed_moves(starters).join(held, "old", "left_semi"))
         edges, placed = _moved(edges, placed, materialize(moves, "moves"))
-        share = min(1.0, share * 2) if all_bounded else max(_LEAST_SHARE, share / 2)
 
 
 def complete_linkage(

@@ -63,3 +63,16 @@ def test_levels_of_a_chain_in_order(spark):
     got, taken = merged(spark, edges, DedupConfig(component_edge_limit=30))
     assert got == one_pass(edges, {c: 1 for c in range(61)})
     assert taken <= 12
+
+
+@pytest.mark.parametrize("group_edges,hubs,size", [(10**5, 10, 24), (6, 2, 7)])
+def test_levels_of_hubs(spark, monkeypatch, group_edges, hubs, size):
+    """The smallest name comes first at every distance, so that few pairs are the first choice of both sides."""
+    monkeypatch.setattr(linkage, "_GROUP_EDGES", group_edges)
+    rng, edges = random.Random(8), []
+    for hub in range(0, hubs * size, size):
+        for a in range(hub, hub + size):
+            edges += [(a, b, 1, 1, 1, 1, 1, (rng.choice([1, 1, 2]), a, b)) for b in range(a + 1, hub + size) if rng.random() < 0.8]
+    got, taken = merged(spark, edges, DedupConfig(component_edge_limit=2))
+    assert got == one_pass(edges, {c: 1 for e in edges for c in e[:2]})
+    assert taken <= 8

@@ -26,7 +26,8 @@ def file_id(project_id, path) -> F.Column:
 def new_listing_rows(listing: DataFrame, files: DataFrame, project_id: str) -> DataFrame:
     """Listed files whose path the project's catalog does not know; known paths are never read again."""
     known = files.where(F.col("project_id") == project_id).select("path")
-    return listing.join(known, "path", "left_anti")
+    # Paths pack so well in stored tables that the planner would broadcast very many of them.
+    return listing.join(known.hint("merge"), "path", "left_anti")
 
 
 def project_files(files: DataFrame, project_id: str) -> DataFrame:
@@ -79,7 +80,7 @@ def catalog_append(incoming: DataFrame, files: DataFrame, scope: str = "global",
     and path.
     """
     key = ["path"] if scope == "global" else ["project_id", "path"]
-    fresh = incoming.join(files.select(*key), key, "left_anti")
+    fresh = incoming.join(files.select(*key).hint("merge"), key, "left_anti")
     row = F.struct(*[F.col(c) for c in incoming.columns])
     first = fresh.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(
         F.min_by(row, F.struct(*(order or ["file_id"]))).alias("_row")

@@ -17,7 +17,8 @@ from pixelkin.sources.media import Decoder, decoded_hashes, image_hashes, new_im
 def describe(new_files: DataFrame, hashes: DataFrame, project_id: str) -> DataFrame:
     """Catalog rows of ``new_files`` (path, file_size, modified_at); ``hashes`` (path, phash) of the images."""
     contents = read_contents(new_files)
-    rows = new_files.join(contents, "path").join(hashes, "path", "left")
+    # As many rows as files on every side: a stored listing is small, what it holds is not, so nothing is broadcast.
+    rows = new_files.join(contents.hint("merge"), "path").join(hashes.hint("merge"), "path", "left")
     kind = classify_extension(F.col("path"))
     return conform(
         rows.select(

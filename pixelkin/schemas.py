@@ -40,6 +40,15 @@ FILES = T.StructType(
     ]
 )
 
+# The log of an ingest: what was listed below its folder.
+LISTED = T.StructType(
+    [
+        T.StructField("path", T.StringType(), False),
+        T.StructField("file_size", T.LongType()),
+        T.StructField("modified_at", T.TimestampType()),
+    ]
+)
+
 VECTORS = T.StructType(
     [
         T.StructField("file_id", T.StringType(), False),

@@ -31,7 +31,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme that Spark reads it with, so that file access inside tasks finds the same folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -43,11 +43,11 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if configured:
-        return _qualified(spark, configured).rstrip("/")
+        return qualified(spark, configured).rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pixelkin-"))
-    return _qualified(spark, context.getCheckpointDir()).rstrip("/")
+    return qualified(spark, context.getCheckpointDir()).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -285,6 +285,37 @@ def test_ingest_takes_each_file_once(spark, folder):
             (folder / "once").write_text("")
 
 
+def test_ingest_lists_in_tasks(spark, folder):
+    # What the stream reads and remembers are files of its log, not the files of the folder.
+    src, table, mark = folder / "src", str(folder / "cat"), folder / "mark"
+    for name in (".hidden.mp3", "_skipped.mp3", "_k=1.mp3", "plain name+%20.mp3"):
+        (src / "a" / name).write_bytes(b"x")
+    (src / ".cache").mkdir()
+    (src / ".cache" / "seen.mp3").write_bytes(b"x")
+    for k in range(60):
+        (src / "a" / f"song{k}.mp3").write_bytes(bytes([k]))
+    ingest(spark, str(src), table, str(mark), "p", decode).awaitTermination()
+    rows = {r.path: r for r in catalog.read_table(spark, table, FILES).collect()}
+    names = {r.file_name for r in rows.values()}
+    assert {"_k=1.mp3", "plain name+%20.mp3", "song59.mp3"} <= names
+    assert not names & {".hidden.mp3", "_skipped.mp3", "seen.mp3", "_two.png"}
+    for r in rows.values():
+        assert r.md5 == hashlib.md5(open(r.path, "rb").read()).hexdigest() and r.file_size == os.path.getsize(r.path)
+    remembered = "".join(p.read_text() for p in (mark / "sources").rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert "part-" in remembered and "song" not in remembered
+    assert spark.read.parquet(str(mark / "listed")).count() == len(rows)
+    # A file that is gone from the catalog was seen all the same; a new one is taken, whatever its age.
+    old = src / "a" / "old.mp3"
+    old.write_bytes(b"old")
+    os.utime(old, (10**9, 10**9 + 0.123456))
+    ingest(spark, str(src), table, str(mark), "p", decode).awaitTermination()
+    stored = catalog.read_table(spark, table, FILES)
+    assert stored.count() == len(rows) + 1
+    assert stored.where("file_name = 'old.mp3'").first().taken_at == "2001-09-09T01:46:40.123+00:00"
+    with pytest.raises(FileNotFoundError):
+        ingest(spark, str(folder / "none"), table, str(folder / "other"), "p", decode)
+
+
 def test_tasks_are_cut_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(tasks, "GROUP_FILES", 300)
     rng = random.Random(3)

@@ -32,8 +32,12 @@ from pixelkin.llm import arrow_text
 from pixelkin.operators.components import components
 from pixelkin.session import materialize
 
-#: Characters of text whose shingles meet in one task, and bounds of a verified block.
-BLOCK_CHARS = 8_000_000
+#: Characters of text whose shingles meet in one task, shingles that are sorted there at once, and characters of text whose
+#: sets come home to one task. A document is named once in each block that it has shingles in, so blocks are large.
+BLOCK_CHARS = 32_000_000
+PART_SHINGLES = 1_500_000
+HOME_CHARS = 8_000_000
+#: Bounds of a verified block.
 #: Bytes of text whose sets are dealt out at once.
 DEALT_BYTES = 4 << 20
 BLOCK_SETS = 256
@@ -77,12 +81,30 @@ def _short(counts: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [whole.astype("<u2"), *(np.repeat(c, parts) for c in columns)]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by the place of their bytes, all first bytes first: places where most of them agree weigh little when shuffled."""
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def _from_planes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers of all rows of a column that ``_planes`` has packed."""
+    packed, width = column.to_pylist(), np.dtype(kind).itemsize
+    out = np.empty((sum(map(len, packed)) // width, width), np.uint8)
+    at = 0
+    for x in packed:
+        many = len(x) // width
+        out[at : at + many] = np.frombuffer(x, np.uint8).reshape(width, many).T
+        at += many
+    return out.reshape(-1).view(kind)
+
+
 def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     """Shingles by block of the hash range, packed: a row for each batch and block."""
     names = ["block", "refs", "sizes", "counts", "high", "low"]
 
     def dealt(sets):
-        refs, parts = (list(x) for x in zip(*sets.items()))
+        # In the order of their names, whose first bytes then repeat.
+        refs, parts = (list(x) for x in zip(*sorted(sets.items(), key=lambda x: x[0])))
         sizes = np.array([len(x) for x in parts])
         every = np.concatenate(parts)
         block = ((every & _LOW) % np.uint64(blocks)).astype(np.uint32)
@@ -95,8 +117,8 @@ def _dealt(docs: DataFrame, width: int, blocks: int) -> DataFrame:
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]):
             here, runs = np.unique(owner[a:b], return_counts=True)
             runs, here = _short(runs, here)
-            packed = (refs[here], sizes[here].astype("<u4"), runs, high[a:b], low[a:b])
-            rows.append((int(block[a]), *(x.tobytes() for x in packed)))
+            owners = (refs[here], sizes[here].astype("<u4"), runs)
+            rows.append((int(block[a]), *map(_planes, owners), high[a:b].tobytes(), low[a:b].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
 
     def run(batches):
@@ -136,17 +158,23 @@ def _shared(homes: int):
     """Of one block, the shingles of two or more classes, with class counts, packed by the home of their class."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        refs, first, back = np.unique(_joined(table["refs"], "<i8"), return_index=True, return_inverse=True)
-        sizes = _joined(table["sizes"], "<u4")[first]
-        token = _joined(table["high"], "<u4").astype(np.uint64)
-        token <<= np.uint64(8)
-        token |= _joined(table["low"], np.uint8)
-        token, owner = _distinct(token, np.repeat(back.astype(np.uint32), _joined(table["counts"], "<u2")), len(refs))
-        runs = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-        many = np.diff(runs, append=len(token)).astype(np.uint32)
-        count = np.repeat(many, many)
-        keep = count > 1
-        token, owner, count = token[keep] | np.uint64(key[0].as_py() << 40), owner[keep], count[keep]
+        refs, first, back = np.unique(_from_planes(table["refs"], "<i8"), return_index=True, return_inverse=True)
+        sizes = _from_planes(table["sizes"], "<u4")[first]
+        owners = np.repeat(back.astype(np.uint32), _from_planes(table["counts"], "<u2"))
+        high, low = _joined(table["high"], "<u4"), _joined(table["low"], np.uint8)
+        parts, found = min(255, max(1, -(-len(low) // PART_SHINGLES))), []
+        for part in range(parts):
+            here = np.flatnonzero(low % np.uint8(parts) == part) if parts > 1 else slice(None)
+            token = high[here].astype(np.uint64)
+            token <<= np.uint64(8)
+            token |= low[here]
+            token, owner = _distinct(token, owners[here], len(refs))
+            runs = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+            many = np.diff(runs, append=len(token)).astype(np.uint32)
+            count = np.repeat(many, many)
+            keep = count > 1
+            found.append((token[keep] | np.uint64(key[0].as_py() << 40), owner[keep], count[keep]))
+        token, owner, count = (np.concatenate(x) for x in zip(*found))
         home = arrow_text.mix(refs.view(np.uint64)) % np.uint64(homes)
         order = np.lexsort((owner, home[owner]))
         token, owner, count = token[order], owner[order], count[order]
@@ -157,7 +185,7 @@ def _shared(homes: int):
             here, lengths = np.unique(owner[a:b], return_counts=True)
             lengths, here = _short(lengths, here)
             packed = (refs[here], sizes[here].astype("<u4"), lengths, token[a:b].astype("<u8"), count[a:b].astype("<u4"))
-            rows.append((int(at[a]), *(x.tobytes() for x in packed)))
+            rows.append((int(at[a]), *map(_planes, packed)))
         columns = list(zip(*rows)) or [()] * 6
         kinds = [pa.int64()] + [pa.binary()] * 5
         names = ["home", "refs", "sizes", "runs", "tokens", "counts"]
@@ -170,15 +198,15 @@ def _profiled(percent: int):
     """Of the classes of one home, those that can have a partner: shingles in global order, prefix, name of the group."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        runs = _joined(table["runs"], "<u2")
-        refs, first, owner = np.unique(_joined(table["refs"], "<i8"), return_index=True, return_inverse=True)
-        sizes = _joined(table["sizes"], "<u4")[first].astype(np.int64)
+        runs = _from_planes(table["runs"], "<u2")
+        refs, first, owner = np.unique(_from_planes(table["refs"], "<i8"), return_index=True, return_inverse=True)
+        sizes = _from_planes(table["sizes"], "<u4")[first].astype(np.int64)
         owner = np.repeat(owner, runs)
         shared = np.bincount(owner, minlength=len(refs))
         able = 100 * shared >= percent * sizes
         keep = able[owner]
         owner = owner[keep]
-        token, count = _joined(table["tokens"], "<u8")[keep], _joined(table["counts"], "<u4")[keep]
+        token, count = _from_planes(table["tokens"], "<u8")[keep], _from_planes(table["counts"], "<u4")[keep]
         order = np.lexsort((token, count, owner))
         token = token[order]
         ends = np.cumsum(np.where(able, shared, 0))
@@ -277,12 +305,12 @@ def _profiles(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     spark = docs.sparkSession
     # One total decides how many blocks there are, so that a block is bounded at any size.
     chars = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(spark.sparkContext.defaultParallelism, -(-chars // BLOCK_CHARS))
+    blocks, homes = (max(spark.sparkContext.defaultParallelism, -(-chars // x)) for x in (BLOCK_CHARS, HOME_CHARS))
     packed = "refs binary, sizes binary, runs binary, tokens binary, counts binary"
     profiled = (
         _dealt(docs, width, blocks)
         .groupBy("block")
-        .applyInArrow(_shared(blocks), f"home long, {packed}")
+        .applyInArrow(_shared(homes), f"home long, {packed}")
         .groupBy("home")
         .applyInArrow(_profiled(percent), "ref long, n long, tokens binary, prefix array<long>, gid long")
     )

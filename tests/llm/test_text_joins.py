@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from llm_cases import DOCS, documents, frame, prose
 
@@ -43,6 +44,39 @@ def result(df):
     return Counter(tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "n_links").collect())
 
 
+def test_what_shingles_cost_when_dealt(spark):
+    # Beside its shingles a document sends little more than its name to a block, and 32 million letters make one block.
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(k, prose(rng, rng.randint(100, 400))) for k in range(1500)], "doc_id long, text string").coalesce(1)
+    rows = ngram_join._dealt(docs, 5, 64).collect()
+    entries = sum(len(r.counts) // 2 for r in rows)
+    packed = sum(len(pa.compress(bytes(x), codec="lz4", asbytes=True)) for r in rows for x in (r.refs, r.sizes, r.counts))
+    assert packed < 11.6 * entries
+    assert sum(len(r.low) for r in rows) == sum(len(shingle_set(r.text)) for r in docs.collect())
+    assert ngram_join.BLOCK_CHARS >= 4 * ngram_join.HOME_CHARS
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4", "<i8"])
+def test_numbers_by_the_place_of_their_bytes(kind):
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 1 << 15, n).astype(kind) * np.array(3, kind) for n in (0, 1, 70)]
+    column = pa.chunked_array([pa.array([ngram_join._planes(x) for x in parts], pa.binary())])
+    assert ngram_join._from_planes(column, kind).tolist() == np.concatenate(parts).tolist()
+    assert len(ngram_join._from_planes(column.slice(0, 0), kind)) == 0
+
+
+def test_blocks_sorted_in_parts(spark, monkeypatch):
+    column = frame(spark, documents(8)).select("doc_id", "text").coalesce(1)
+    tables = []
+    for most in (1_500_000, 40):
+        monkeypatch.setattr(ngram_join, "PART_SHINGLES", most)
+        dealt = pa.Table.from_pylist([r.asDict() for r in ngram_join._dealt(column, 5, 1).collect()])
+        found = ngram_join._shared(3)((pa.scalar(0),), dealt)
+        profile = pa.concat_tables([ngram_join._profiled(75)((pa.scalar(h),), found.filter(pa.compute.equal(found["home"], h))) for h in range(3)])
+        tables.append(profile.sort_by("ref").to_pylist())
+    assert tables[0] == tables[1] and tables[0]
+
+
 def test_words_and_shingles_of_a_column():
     texts = [None, "", "a", "A b\tc\x0bd e f", "é b", "x" * 70 + " y" * 9, " lead", "trail "]
     data, offsets = arrow_text.utf8(pa.array(texts))

@@ -55,7 +55,8 @@ def ingest(
     log = f"{qualified(spark, checkpoint).rstrip('/')}/listed"
     _log_new(spark, folder, log)
     stream = spark.readStream.schema(LISTED).parquet(log)
-    listed = stream.withColumn("file_type", classify_extension(F.col("path")))
+    # Empty files are passed over, as Spark's file sources do; the log has them.
+    listed = stream.where("file_size > 0").withColumn("file_type", classify_extension(F.col("path")))
 
     def add(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession

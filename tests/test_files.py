@@ -290,6 +290,7 @@ def test_ingest_lists_in_tasks(spark, folder):
     src, table, mark = folder / "src", str(folder / "cat"), folder / "mark"
     for name in (".hidden.mp3", "_skipped.mp3", "_k=1.mp3", "plain name+%20.mp3"):
         (src / "a" / name).write_bytes(b"x")
+    (src / "a" / "empty.mp3").write_bytes(b"")
     (src / ".cache").mkdir()
     (src / ".cache" / "seen.mp3").write_bytes(b"x")
     for k in range(60):
@@ -298,13 +299,13 @@ def test_ingest_lists_in_tasks(spark, folder):
     rows = {r.path: r for r in catalog.read_table(spark, table, FILES).collect()}
     names = {r.file_name for r in rows.values()}
     assert {"_k=1.mp3", "plain name+%20.mp3", "song59.mp3"} <= names
-    assert not names & {".hidden.mp3", "_skipped.mp3", "seen.mp3", "_two.png"}
+    assert not names & {".hidden.mp3", "_skipped.mp3", "seen.mp3", "_two.png", "empty.mp3"}
     for r in rows.values():
         assert r.md5 == hashlib.md5(open(r.path, "rb").read()).hexdigest() and r.file_size == os.path.getsize(r.path)
     remembered = "".join(p.read_text() for p in (mark / "sources").rglob("*") if p.is_file() and not p.name.startswith("."))
     assert "part-" in remembered and "song" not in remembered
-    assert spark.read.parquet(str(mark / "listed")).count() == len(rows)
-    # A file that is gone from the catalog was seen all the same; a new one is taken, whatever its age.
+    assert spark.read.parquet(str(mark / "listed")).count() == len(rows) + 1
+    # A new file is taken, whatever its age.
     old = src / "a" / "old.mp3"
     old.write_bytes(b"old")
     os.utime(old, (10**9, 10**9 + 0.123456))

@@ -31,8 +31,11 @@ _KEY_COST, _CANDIDATE_COST, _BLOCK_COST = 1e-6, 5e-8, 1.5e-9
 _BLOCK_ROWS = 4096
 # Rows and columns of distances worked out at once: they stay in the nearest cache.
 _TILE = (8, 4096)
-# Hashes of a metric partition that are stored together.
-_BAND_ROWS = 1 << 15
+# Inside a task: rough seconds to compare a pair and to gather what is near one band value, the most band values times reach of a
+# layout, and how many found pairs are sent on at once.
+_PAIR_COST, _VALUE_COST, _TILE_KEYS, _FOUND_ROWS = 7e-10, 5e-5, 1 << 21, 1 << 16
+# Most hashes of a metric partition that are stored together; the more meet in a task, the fewer of their pairs it compares.
+_BAND_ROWS = 1 << 18
 # Above so many hashes, blocks are those of a metric partition, and pairs of blocks that lie apart are never joined.
 PIVOT_ROWS = 50_000
 # Band values shared by more hashes than this are compared in blocks instead of inside one join task.
@@ -150,33 +153,108 @@ def _meets_once(bands: list[Band], band: Column, key: Column, a: Column, b: Colu
     return (band == first) & (key == meeting)
 
 
-def _compare(left: np.ndarray, right: np.ndarray, threshold: int, mirrored: bool):
-    """Pairs within ``threshold``; unless mirrored only those with left < right."""
-    # Unsigned, because numpy counts the bits of the absolute value of a signed number.
-    left, right = left.view(np.uint64), right.view(np.uint64)
+def _dense(left: np.ndarray, right: np.ndarray, threshold: int):
+    """(a, b, dist) of the pairs within ``threshold``, comparing every pair."""
     for at in range(0, len(right), _TILE[1]):
         columns = right[at : at + _TILE[1]]
-        diff, dist = np.empty((_TILE[0], len(columns)), np.uint64), np.empty((_TILE[0], len(columns)), np.uint8)
-        found = []
-        for start in range(0, len(left), _TILE[0]):
-            rows = left[start : start + _TILE[0]]
+        high = min(len(left), _TILE[0] * _TILE[1] // len(columns))
+        diff, dist = np.empty((high, len(columns)), np.uint64), np.empty((high, len(columns)), np.uint8)
+        for start in range(0, len(left), high):
+            rows = left[start : start + high]
             x, d = diff[: len(rows)], dist[: len(rows)]
             np.bitwise_xor(rows[:, None], columns[None, :], out=x)
             np.bitwise_count(x, out=d)
             if d.min() <= threshold:
-                i, j = np.nonzero(d <= threshold)
-                found.append((rows[i], columns[j], d[i, j]))
-        if not found:
-            continue
-        a, b, d = (np.concatenate(x) for x in zip(*found))
-        a, b = a.view(np.int64), b.view(np.int64)
-        if mirrored:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-        else:
-            keep = a < b
-            a, b, d = a[keep], b[keep], d[keep]
-        if len(a):
-            yield a, b, d.astype(np.int32)
+                i, j = np.divmod(np.flatnonzero(d <= threshold), len(columns))
+                yield rows[i], columns[j], d[i, j]
+
+
+def _ball(width: int, radius: int) -> np.ndarray:
+    """All numbers of ``width`` bits with up to ``radius`` of them set."""
+    return np.array([sum(1 << i for i in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)])
+
+
+def _values(hashes: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+    """The bits of a band, packed into a small number."""
+    value = np.zeros(len(hashes), np.int64)
+    for i, bit in enumerate(bits):
+        value |= (((hashes >> np.uint64(bit)) & np.uint64(1)) << np.uint64(i)).view(np.int64)
+    return value
+
+
+def _tile_layouts(threshold: int) -> list[list[Band]]:
+    """Layouts whose band values can be counted in small arrays."""
+    layouts = [bands_for(threshold, m) for m in range(4, min(threshold + 1, 16) + 1)]
+    return [x for x in layouts if max(b.reach(b.radius) << len(b.bits) for b in x) <= _TILE_KEYS]
+
+
+def _tile_layout(left: np.ndarray, right: np.ndarray, threshold: int) -> list[Band] | None:
+    """The cheapest layout for two arrays of hashes by counts of their own band values; None when all pairs cost less."""
+    best, best_cost = None, len(left) * len(right) * _PAIR_COST
+    if best_cost < _VALUE_COST * 1000:
+        return None
+    for bands in _tile_layouts(threshold):
+        cost = 0.0
+        for band in bands:
+            width = 1 << len(band.bits)
+            own, other = (np.bincount(_values(x, band.bits), minlength=width).astype(np.float64) for x in (left, right))
+            every = np.arange(width)
+            cost += sum(own @ other[every ^ f] for f in _ball(len(band.bits), band.radius)) * _PAIR_COST
+            cost += np.count_nonzero(own) * _VALUE_COST
+            if cost >= best_cost:
+                break
+        if cost < best_cost:
+            best, best_cost = bands, cost
+    return best
+
+
+def _banded(left: np.ndarray, right: np.ndarray, threshold: int, bands: list[Band]):
+    """What ``_dense`` finds, comparing only hashes that agree in a band up to its radius; each pair comes from its first such band."""
+    for n, band in enumerate(bands):
+        lv, rv = _values(left, band.bits), _values(right, band.bits)
+        rows, columns = left[np.argsort(lv)], right[np.argsort(rv)]
+        width, ball = 1 << len(band.bits), _ball(len(band.bits), band.radius)
+        first = np.concatenate([[0], np.cumsum(np.bincount(lv, minlength=width))])
+        start = np.concatenate([[0], np.cumsum(np.bincount(rv, minlength=width))])
+        for value in np.unique(lv).tolist():
+            at = start[value ^ ball]
+            many = start[(value ^ ball) + 1] - at
+            ends = np.cumsum(many)
+            near = columns[np.repeat(at - ends + many, many) + np.arange(ends[-1])]
+            for a, b, d in _dense(rows[first[value] : first[value + 1]], near, threshold) if len(near) else ():
+                fresh = np.ones(len(a), bool)
+                for earlier in bands[:n]:
+                    fresh &= np.bitwise_count((a ^ b) & np.uint64(earlier.mask & _MASK64)) > earlier.radius
+                yield a[fresh], b[fresh], d[fresh]
+
+
+def _compare(left: np.ndarray, right: np.ndarray, threshold: int, mirrored: bool):
+    """Pairs within ``threshold``; unless mirrored only those with left < right."""
+    # Unsigned, because numpy counts the bits of the absolute value of a signed number.
+    left, right = left.view(np.uint64), right.view(np.uint64)
+    bands = _tile_layout(left, right, threshold)
+    found, held = [], 0
+    for part in _dense(left, right, threshold) if bands is None else _banded(left, right, threshold, bands):
+        found.append(part)
+        held += len(part[0])
+        if held >= _FOUND_ROWS:
+            yield from _ordered(found, mirrored)
+            found, held = [], 0
+    yield from _ordered(found, mirrored)
+
+
+def _ordered(found: list, mirrored: bool):
+    if not found:
+        return
+    a, b, d = (np.concatenate(x) for x in zip(*found))
+    a, b = a.view(np.int64), b.view(np.int64)
+    if mirrored:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    else:
+        keep = a < b
+        a, b, d = a[keep], b[keep], d[keep]
+    if len(a):
+        yield a, b, d.astype(np.int32)
 
 
 def _compared(threshold: int):
@@ -261,12 +339,13 @@ def grid_hamming_pairs(hashes: DataFrame, threshold: int, n: int) -> DataFrame:
 
 def hash_partition(hashes: DataFrame, threshold: int, n: int, block_rows: int = _BLOCK_ROWS) -> Partition:
     """Blocks of near hashes of a stored table (phash), and the pairs of blocks that may hold a pair."""
-    return partitioned(hashes, "phash", "phash", ["phash"], HAMMING, threshold, n, block_rows, _BAND_ROWS)
+    band_rows = min(_BAND_ROWS, max(_BLOCK_ROWS, -(-n // max(1, busy_blocks(hashes.sparkSession, n)))))
+    return partitioned(hashes, "phash", "phash", ["phash"], HAMMING, threshold, n, block_rows, band_rows, packed=True)
 
 
 def pivot_hamming_pairs(hashes: DataFrame, threshold: int, n: int, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """Pairs by comparing only those blocks that the triangle inequality does not keep apart."""
-    return hash_partition(hashes, threshold, n, block_rows).compared(_compared(threshold), PAIRS_SCHEMA)
+    return hash_partition(hashes, threshold, n, block_rows).compared(_compared(threshold), PAIRS_SCHEMA, whole_from=0.1)
 
 
 def band_hamming_pairs(

@@ -29,6 +29,8 @@ SAMPLE_POINTS = 8192
 MOST_PIVOTS = 128
 #: Rings of a cell.
 RINGS = 16
+#: Files of packed bands, unless there are more cores.
+MOST_PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -144,10 +146,11 @@ def _sides(batch: pa.RecordBatch, name: str):
     return of_band, matrix_of(struct_field(blocks, "low")), matrix_of(struct_field(blocks, "high")), at - at[0], held.flatten()
 
 
-def _tile_kernel(limit: float, compare: Callable):
+def _tile_kernel(limit: float, compare: Callable, whole_from: float):
     """Pairs of bands (left, right, same) -> what ``compare`` (left items, right items, same) finds in blocks within the limit.
 
-    Where most of a pair of bands is to be compared, it is compared as a whole; else each block with all that are near it.
+    Where the share ``whole_from`` of a pair of bands is to be compared, it is compared as a whole; else each block with all that
+    are near it.
     """
 
     def run(batches):
@@ -162,9 +165,10 @@ def _tile_kernel(limit: float, compare: Callable):
                 kept = np.array([_apart(low[k : k + 1], high[k : k + 1], other_low[j], other_high[j])[0] for k in range(i.start, i.stop)]) <= limit
                 if same[r]:
                     kept = np.triu(kept)
-                many, others = np.diff(la[i.start : i.stop + 1]), np.diff(ra[j.start : j.stop + 1])
+                # Products of sizes need 64 bits.
+                many, others = (np.diff(x[y.start : y.stop + 1]).astype(np.int64) for x, y in ((la, i), (ra, j)))
                 whole = many.sum() * others.sum() / (2 if same[r] else 1)
-                if 2 * (many @ kept @ others) >= whole:
+                if many @ kept @ others >= whole_from * whole:
                     a, b = int(la[i.start]), int(ra[j.start])
                     yield from compare(left.slice(a, int(many.sum())), right.slice(b, int(others.sum())), same[r])
                     continue
@@ -203,8 +207,11 @@ class Partition:
         n, kept = self.blocks.count(), self.pairs().count()
         return {"blocks": n, "block_pairs": n * (n + 1) // 2, "skipped": n * (n + 1) // 2 - kept}
 
-    def compared(self, compare: Callable, schema) -> DataFrame:
-        """What ``compare`` (left items, right items, same) yields for the blocks that do not lie apart."""
+    def compared(self, compare: Callable, schema, whole_from: float = 0.5) -> DataFrame:
+        """What ``compare`` (left items, right items, same) yields for the blocks that do not lie apart.
+
+        ``whole_from`` is the share of a pair of bands from which ``compare`` is better given all of it.
+        """
         left = self.bands.toDF("band", "left", "low", "high")
         right = self.bands.toDF("partner", "right", "other_low", "other_high")
         gap = [F.array_max(F.zip_with(a, b, lambda x, y: x - y)) for a, b in (("low", "other_high"), ("other_low", "high"))]
@@ -212,16 +219,16 @@ class Partition:
         # Read in parts from storage, never shuffled: each task meets one part with another.
         met = left.join(right.hint("shuffle_replicate_nl"), near)
         met = met.select("left", "right", (F.col("band") == F.col("partner")).alias("same"))
-        return met.mapInArrow(_tile_kernel(self.limit, compare), schema)
+        return met.mapInArrow(_tile_kernel(self.limit, compare, whole_from), schema)
 
 
 def partitioned(
     points: DataFrame, value: str, spread_by: str, fields: list[str], metric: Metric, reach: float, rows: int, block_rows: int,
-    band_rows: int,
+    band_rows: int, packed: bool = False,
 ) -> Partition:
     """The metric partition of stored ``points`` whose ``value`` column holds the points; ``rows`` is their number.
 
-    Bands hold about ``band_rows`` points.
+    Bands hold about ``band_rows`` points, of one cell, or if ``packed`` of as many cells as it takes.
     """
     spark = points.sparkSession
     share = max(1, rows // SAMPLE_POINTS)
@@ -241,12 +248,18 @@ def partitioned(
     blocks = blocks.mapInArrow(_ranged(metric, pivots, value), f"{kind}, low array<double>, high array<double>")
     blocks = materialize(blocks, "metric-blocks")
     # One row per cell, at most one per pivot.
-    sizes = blocks.groupBy("cell").agg(F.ceil(F.sum(F.size("items")) / F.lit(float(band_rows))).cast("long").alias("pieces"))
-    band = F.col("cell") * wide + F.pmod(F.xxhash64("block"), F.col("pieces"))
+    sizes = blocks.groupBy("cell").agg(F.sum(F.size("items")).alias("n")).orderBy("cell").collect()
+    first, total = _first_bands([(r["cell"], r["n"]) for r in sizes], band_rows, packed)
+    first = spark.createDataFrame(first, "cell long, first long, pieces long")
+    banded = blocks.join(F.broadcast(first), "cell").withColumn("band", F.col("first") + F.pmod(F.xxhash64("block"), F.col("pieces")))
     # So many files that a product of their parts keeps every core busy, whatever adaptive execution makes of small tables.
-    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, max(count, -(-rows // band_rows))))
-    bands = blocks.join(F.broadcast(sizes), "cell").withColumn("band", band).repartition(parts, "band")
-    bands = bands.groupBy("band").agg(F.collect_list(F.struct("low", "high", "items")).alias("blocks"))
+    parts = 4 * spark.sparkContext.defaultParallelism
+    parts = max(1, min(max(parts, MOST_PARTS), total)) if packed else max(1, min(parts, max(count, -(-rows // band_rows))))
+    if not packed:
+        banded = banded.repartition(parts, "band")
+    bands = banded.groupBy("band").agg(F.collect_list(F.struct("low", "high", "items")).alias("blocks"))
+    if packed:
+        bands = bands.repartitionById(parts, F.pmod(F.col("band"), F.lit(parts)).cast("int"))
     over = F.sequence(F.lit(0), F.lit(len(pivots) - 1))
     low = F.transform(over, lambda k: F.array_min(F.transform("blocks", lambda b: F.get(b["low"], k))))
     high = F.transform(over, lambda k: F.array_max(F.transform("blocks", lambda b: F.get(b["high"], k))))
@@ -254,6 +267,21 @@ def partitioned(
     return Partition(blocks, bands, len(pivots), reach + 2 * metric.slack)
 
 
+def _first_bands(sizes: list[tuple[int, int]], band_rows: int, packed: bool) -> tuple[list[tuple[int, int, int]], int]:
+    """(cell, its first band, number of its bands) for cells and their sizes, and the number of bands."""
+    first, bands, room = [], 0, 0
+    for cell, n in sizes:
+        pieces = -(-n // band_rows)
+        if packed and n <= room:
+            first.append((cell, bands - 1, 1))
+            room -= n
+            continue
+        first.append((cell, bands, pieces))
+        bands += pieces
+        room = band_rows - n if pieces == 1 else 0
+    return first, bands
+
+
 def _near_cells(ranges: DataFrame, pivots: int, limit: float) -> list[tuple[int, int]]:
     """Pairs of cells whose ranges come within the limit; one row per cell, at most one per pivot, is collected."""
     over = [F.min(F.get("low", F.lit(k))).alias(f"l{k}") for k in range(pivots)]

@@ -7,7 +7,7 @@ import pytest
 from brute import popcount
 from cases import signed
 
-from pixelkin.operators import pairs, vectors
+from pixelkin.operators import pairs, pivots, vectors
 
 
 @pytest.fixture(scope="module")
@@ -169,3 +169,48 @@ def test_comparisons_stay_in_bounded_pieces(monkeypatch):
     far = np.bitwise_count((left[:, None] ^ right[None, :]).view(np.uint64)) <= 12
     assert got == {(min(int(left[i]), int(right[j])), max(int(left[i]), int(right[j]))) for i, j in zip(*np.nonzero(far))}
     assert max(sizes) <= 1 << 20
+
+
+def test_search_inside_a_task_by_band_values(monkeypatch):
+    """Fewer pairs are compared than there are, none is lost or found twice, also where a band value is shared by many."""
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64) << np.uint64(1)
+    hashes = np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.repeat(centres, 30)])
+    for _ in range(7):
+        hashes ^= np.uint64(1) << rng.integers(0, 64, len(hashes), dtype=np.uint64)
+    hashes[:200] = rng.integers(0, 1 << 20, 200, dtype=np.uint64)
+    hashes = rng.permutation(np.unique(hashes)).view(np.int64)
+    left, right = hashes[:2000], hashes[2000:]
+    monkeypatch.setattr(pairs, "_VALUE_COST", 0)
+    monkeypatch.setattr(pairs, "_FOUND_ROWS", 50)
+    dense, compared = pairs._dense, []
+
+    def counted(a, b, threshold):
+        compared.append(len(a) * len(b))
+        return dense(a, b, threshold)
+
+    monkeypatch.setattr(pairs, "_dense", counted)
+    for threshold in (3, 8, 12, 17):
+        for a, b, mirrored in ((left, right, True), (hashes, hashes, False)):
+            compared.clear()
+            got = [(x, y, d) for p in pairs._compare(a, b, threshold, mirrored) for x, y, d in zip(*(c.tolist() for c in p))]
+            away = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64))
+            i, j = np.nonzero(away <= threshold)
+            want = {(min(x, y), max(x, y), d) for x, y, d in zip(a[i].tolist(), b[j].tolist(), away[i, j].tolist()) if x != y}
+            assert set(got) == want and len(got) == len(want)
+            assert sum(compared) < 0.7 * len(a) * len(b)
+
+
+def test_bands_are_packed_and_bounded():
+    assert pivots._first_bands([(0, 10), (1, 70), (2, 20), (5, 250), (7, 30)], 100, True) == (
+        [(0, 0, 1), (1, 0, 1), (2, 0, 1), (5, 1, 3), (7, 4, 1)], 5
+    )
+    assert pivots._first_bands([(0, 10), (3, 250)], 100, False) == ([(0, 0, 1), (3, 1, 3)], 4)
+    assert pivots._first_bands([], 100, True) == ([], 0)
+
+
+def test_hashes_of_many_cells_meet_in_few_bands(sample):
+    frame, every = sample
+    partition = pairs.hash_partition(frame, 12, frame.count(), 16)
+    cells = partition.blocks.select("cell").distinct().count()
+    assert partition.bands.count() == 1 < cells

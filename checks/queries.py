@@ -154,7 +154,8 @@ def need_vectors(spark, sf):
     points = rows.groupBy(F.col("phash").alias("cid"), "phash").agg(F.count("*").alias("w"))
     placed = points.select("cid", F.col("cid").alias("cl"), F.lit(0).alias("seq"), F.col("w").alias("files"))
     found = pairs.hamming_pairs(rows, 12).where("dist > 8")
-    suspects = found.select(F.col("a").alias("phash")).union(found.select("b")).distinct()
+    # One pass: a union of both sides would search twice.
+    suspects = found.select(F.explode(F.array("a", "b")).alias("phash")).distinct()
     need = dedup.needed_for_vectors(placed, suspects, points)
     return rows.join(need.select("phash"), "phash", "left_semi").select("file_id")
 

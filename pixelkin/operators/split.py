@@ -3,7 +3,8 @@
 Members with equal hash (or vector) always land in the same part, so only the distinct values of a group,
 in order of first appearance, are placed. A group with more distinct values than one task should hold is
 placed in batches: the fit of a batch to the existing parts is computed by joins, only the batch itself is
-walked in order. What a batch has placed is added to a store and never written again, with one tally for each part.
+walked in order. What a batch has placed is added to a store and never written again, in chunks that later batches meet as
+a product of stored parts, with one tally for each part.
 """
 
 from __future__ import annotations
@@ -114,9 +115,8 @@ def _count_kernel(metric: str, limit: float, grp_type: pa.DataType):
                 to, more = int(ro[r]), int(ro[r + 1] - ro[r])
                 fits = _fit_matrix(metric, limit, lval.slice(at, size), rval.slice(to, more))
                 numbers, codes = np.unique(part[to : to + more], return_inverse=True)
-                counts = np.zeros((size, len(numbers)), np.int64)
-                for c in range(len(numbers)):
-                    counts[:, c] = fits[:, codes == c].sum(axis=1)
+                order = np.argsort(codes, kind="stable")
+                counts = np.add.reduceat(fits[:, order], np.searchsorted(codes[order], np.arange(len(numbers))), axis=1, dtype=np.int64)
                 i, c = np.nonzero(counts)
                 rows.append(
                     {
@@ -156,15 +156,17 @@ def _place_in_batches(points: DataFrame, metric: str, limit: float, batch_rows:
     ordered = materialize(ordered.withColumn("batch", F.floor(F.col("at") / batch_rows)), "split-batches")
     rounds = ordered.agg(F.max("batch")).first()[0] + 1
     store = Added("split-placed", points.sparkSession)
+    chunks = Added("split-chunks", points.sparkSession)
     tallies = Added("split-tallies", points.sparkSession)
-    placed = tallied = None
+    placed = packed = tallied = None
     for number in range(rounds):
         fresh = ordered.where(F.col("batch") == number).select("grp", "pos", "id", "value")
         if placed is None:
             ready = fresh.withColumn("start", F.lit(0).cast("long")).withColumn("allowed", F.lit(None).cast("array<bigint>"))
         else:
             left = chunked(fresh, ["grp"], "id", ["id", "value"], chunk_rows).select("grp", F.col("items").alias("left"))
-            right = chunked(placed, ["grp"], "id", ["value", "part"], chunk_rows).select("grp", F.col("items").alias("right"))
+            left = materialize(left, "split-fresh")
+            right = packed.select(F.col("grp").alias("_grp"), F.col("items").alias("right"))
             schema = T.StructType(
                 [
                     T.StructField("grp", grp_type),
@@ -173,7 +175,9 @@ def _place_in_batches(points: DataFrame, metric: str, limit: float, batch_rows:
                     T.StructField("fitting", T.LongType()),
                 ]
             )
-            counted = left.join(right, "grp").mapInArrow(_count_kernel(metric, limit, to_arrow_type(grp_type)), schema)
+            # What is placed is read in parts from storage and never shuffled again.
+            met = right.join(left.hint("shuffle_replicate_nl"), F.col("_grp") == F.col("grp")).select("grp", "left", "right")
+            counted = met.mapInArrow(_count_kernel(metric, limit, to_arrow_type(grp_type)), schema)
             sizes = tallied.groupBy("grp", "part").agg(F.sum("size").alias("size"))
             fitting = counted.groupBy("grp", "id", "part").agg(F.sum("fitting").alias("fitting")).join(sizes, ["grp", "part"])
             allowed = (
@@ -186,6 +190,8 @@ def _place_in_batches(points: DataFrame, metric: str, limit: float, batch_rows:
         parts = _place(_pack(ready), metric, limit, grp_type)
         parts = fresh.join(parts, ["grp", "id"]).select("grp", "id", "value", "part")
         placed, own = store.add(parts)
+        if number + 1 < rounds:
+            packed, _ = chunks.add(chunked(own, ["grp"], "id", ["value", "part"], chunk_rows).select("grp", "items"))
         tallied, _ = tallies.add(own.groupBy("grp", "part").agg(F.count("*").alias("size")))
     return placed.select("grp", "id", "part")
 

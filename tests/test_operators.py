@@ -92,6 +92,16 @@ def test_batches_of_a_split_are_written_once(spark):
     assert sizes == Counter(got.values())
 
 
+def test_placed_values_are_packed_once(spark, monkeypatch):
+    """Each batch is packed as the one to place and as what is placed; the values of earlier batches are not packed again."""
+    packed, chunked = [], split.chunked
+    monkeypatch.setattr(split, "chunked", lambda df, *rest: packed.append(df.count()) or chunked(df, *rest))
+    rows = [(1, k, str(k), (k * 0x9E3779B97F4A7C15) % (1 << 63)) for k in range(60)]
+    df = spark.createDataFrame(rows, "grp int, pos int, id string, value long")
+    assert split.split_by_first_fit(df, "hamming", 12, 10, 4).count() == 60
+    assert max(packed) == 10 and sum(packed) == 100
+
+
 def values(spark, rows, schema, **columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*[c.alias(n) for n, c in columns.items()]).collect()]
 

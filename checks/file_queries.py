@@ -28,12 +28,13 @@ TAKEN = (
 
 def _write(batches):
     for batch in batches:
-        for path, text in zip(batch["path"], batch["text"]):
-            system, inner = storage.locate(path)
+        # One text after the other becomes a Python object; a batch of them may be large.
+        for path, text in zip(batch.column("path"), batch.column("text")):
+            system, inner = storage.locate(path.as_py())
             system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(inner, compression=None) as out:
-                out.write((text or "").encode())
-        yield batch[["path"]]
+                out.write((text.as_py() or "").encode())
+        yield batch.select(["path"])
 
 
 def _new_folder(spark) -> str:
@@ -44,7 +45,7 @@ def _written(spark, sf: str, root: str) -> None:
     """One file per document below ``root``/src, written by tasks."""
     docs = fixtures.table(spark, sf, "documents")
     path = F.concat(F.lit(f"{root}/src/"), F.col("doc_id") % 10, F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".mp3"))
-    materialize(docs.select(path.alias("path"), "text").mapInPandas(_write, "path string"), "written")
+    materialize(docs.select(path.alias("path"), "text").mapInArrow(_write, "path string"), "written")
 
 
 def _doc_id(name: str = "file_name"):

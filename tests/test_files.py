@@ -5,13 +5,16 @@ import os
 import random
 import struct
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from checks import file_queries
 from pixelkin.operators import catalog
 from pixelkin.plans import dedup, deletes, flows, organize
 from pixelkin.plans.scan import scan
@@ -435,3 +438,17 @@ def test_only_new_images_are_decoded(spark, folder, monkeypatch):
     fresh, _ = scan(spark, [src], rows, "p")
     assert len(asked) == 1
     assert [(r.path, r.phash) for r in fresh.collect()] == [(str(odd), {r.file_name: r.phash for r in rows.collect()}["one.PNG"])]
+
+
+def test_texts_are_written_one_after_the_other(tmp_path):
+    """A batch of texts is never held a second time as Python objects."""
+    size, names = 200_000, [f"{tmp_path}/{k % 3}/{k}.mp3" for k in range(64)]
+    batch = pa.RecordBatch.from_pydict({"path": names, "text": ["é" * (size // 2)] * 63 + [None]})
+    tracemalloc.start()
+    try:
+        done = [p for b in file_queries._write([batch]) for p in b.column("path").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert done == names and peak < 8 * size
+    assert [os.path.getsize(n) for n in names] == [size] * 63 + [0]

@@ -5,7 +5,7 @@ equals the product of their point counts. Pairs are taken in the order of their
 a connected component of the initiating pairs, so components are independent of each other:
 
 * a component whose clusters are all mutually similar is one group, whatever the order;
-* a component of bounded size is merged in one task;
+* a component of bounded size is merged in one task, a dense one in a matrix, which holds more edges;
 * any larger one is merged level by level. In a level every cluster points at its first choice, and what hangs together by
   first choices is a group. The least rank of a pair that leaves a group bounds what nothing outside can precede: a group of
   bounded size is settled in one task below that rank. Groups beyond that are cut at a quantile of the ranks of their
@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelkin.config import DedupConfig
-from pixelkin.operators.chunks import batches_of, items_of, struct_field
+from pixelkin.operators.chunks import batches_of
 from pixelkin.operators.components import components
 from pixelkin.session import is_empty, materialize
 
@@ -38,6 +39,13 @@ _SAMPLE_RANKS = 1024
 _LEAST_SHARE = 1.0 / 64
 # Edges of a group that a level settles in one task, if a component may not have more.
 _GROUP_EDGES = 100_000
+# Links are counted in a square matrix where it has no more places than this for each edge, and in maps elsewhere.
+_MATRIX_SHARE = 64
+# Edges that are looked at together for the next merge, at least and at most.
+_LOOK = (256, 1 << 15)
+# Edges in maps take about so many bytes each. A matrix takes a fixed part, 4 bytes a place and 17 bytes an edge, so that a task
+# holds more edges of a dense component in the space that ``component_edge_limit`` edges would take.
+_MAP_BYTES, _FIXED_BYTES, _PLACE_BYTES, _EDGE_BYTES = 400, 20_000, 4, 17
 
 
 def cluster_edges(point_pairs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -90,53 +98,135 @@ def greedy_merge(a, b, links, initiating, points, weights):
     return [m for m in members if m]
 
 
+def _matrix_merge(a, b, links, initiating, points, weights):
+    """What ``greedy_merge`` gives, from a square matrix of links; many edges at once are looked at for the next merge."""
+    home, members, at, step = np.arange(len(points)), [[c] for c in range(len(points))], 0, _LOOK[0]
+    while at < len(a):
+        ca, cb = home[a[at : at + step]], home[b[at : at + step]]
+        may = (ca != cb) & (links[ca, cb] == points[ca] * points[cb]) & initiating[at : at + step]
+        next_one = int(may.argmax())
+        if not may[next_one]:
+            at, step = at + step, min(2 * step, _LOOK[1])
+            continue
+        at, step = at + next_one + 1, max(_LOOK[0], next_one)
+        first, second = int(ca[next_one]), int(cb[next_one])
+        keep, gone = (second, first) if weights[first] <= weights[second] else (first, second)
+        home[members[gone]] = keep
+        members[keep] += members[gone]
+        members[gone] = []
+        points[keep] += points[gone]
+        weights[keep] += weights[gone]
+        links[keep] += links[gone]
+        links[:, keep] += links[:, gone]
+    return [m for m in members if m]
+
+
+class _Gathered:
+    """Edges of whole components, in order, as numbers: clusters by their place of first appearance."""
+
+    def __init__(self):
+        self.places, self.names, self.points, self.weights = {}, [], [], []
+        self.columns: list[list[np.ndarray]] = [[], [], [], []]
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        sides = [batch.column("a"), batch.column("b")]
+        names = pa.concat_arrays(sides).dictionary_encode()
+        codes, known = names.indices.to_numpy(), len(self.places)
+        places = np.array([self.places.setdefault(x, len(self.places)) for x in names.dictionary.to_pylist()], np.int32)
+        self.names.append(names.dictionary.filter(pa.array(places >= known)))
+        for found, field in ((self.points, "n"), (self.weights, "w")):
+            of = np.zeros(len(places), np.int64)
+            of[codes] = np.concatenate([batch.column(f"{field}{side}").to_numpy() for side in "ab"])
+            found.append(of[places >= known])
+        a, b = np.split(places[codes], 2)
+        count = batch.column("cnt").to_numpy()
+        if len(count) and count.max() < 1 << 31:
+            count = count.astype(np.int32)
+        for column, part in zip(self.columns, (a, b, count, batch.column("init").to_numpy(zero_copy_only=False))):
+            column.append(part)
+
+    def merged(self):
+        """Batches of (cid, final, seq)."""
+        # One column after the other gives its parts back.
+        a, b, count, init = (np.concatenate(self.columns.pop(0)) for _ in range(4))
+        names, points, weights = pa.concat_arrays(self.names), np.concatenate(self.points), np.concatenate(self.weights)
+        n, own = len(points), points.copy()
+        if n * n <= _MATRIX_SHARE * len(a):
+            small = points.sum() < 1 << 16
+            links = np.zeros((n, n), np.int32 if small else np.int64)
+            for k in range(0, len(a), _LOOK[1]):
+                part = slice(k, k + _LOOK[1])
+                links[a[part], b[part]] = links[b[part], a[part]] = count[part]
+            groups = _matrix_merge(a, b, links, init, points, weights)
+        else:
+            links = [{} for _ in range(n)]
+            for x, y, c in zip(a.tolist(), b.tolist(), count.tolist()):
+                links[x][y] = links[y][x] = c
+            groups = greedy_merge(a.tolist(), b.tolist(), links, init.tolist(), points.tolist(), weights.tolist())
+        order = np.array([m for g in groups for m in g])
+        sizes = np.array([len(g) for g in groups])
+        first = np.cumsum(sizes) - sizes
+        before = np.cumsum(own[order]) - own[order]
+        out = {
+            "cid": names.take(pa.array(order)),
+            "final": names.take(pa.array(np.repeat(order[first], sizes))),
+            "seq": before - np.repeat(before[first], sizes),
+        }
+        return batches_of([out], pa.schema([("cid", names.type), ("final", names.type), ("seq", pa.int64())]))
+
+
 def _merge_kernel(batches):
-    """One row per component with its sorted edges -> (cid, final, seq)."""
+    """Edges, those of a component one after the other and in order -> (cid, final, seq).
+
+    Components share no cluster, so the whole ones of a batch are merged in one pass.
+    """
+    held, unfinished = None, None
     for batch in batches:
-        offsets, edges = items_of(batch, "edges")
-        ids_a, ids_b = struct_field(edges, "a"), struct_field(edges, "b")
-        fields = {f: struct_field(edges, f).to_numpy() for f in ("na", "nb", "wa", "wb", "cnt")}
-        starts = struct_field(edges, "init").to_numpy(zero_copy_only=False)
-        schema = pa.schema([("cid", ids_a.type), ("final", ids_a.type), ("seq", pa.int64())])
-        rows = []
-        for r in range(batch.num_rows):
-            lo, hi = int(offsets[r]), int(offsets[r + 1])
-            names = pa.concat_arrays([ids_a.slice(lo, hi - lo), ids_b.slice(lo, hi - lo)]).dictionary_encode()
-            codes = names.indices.to_numpy()
-            a, b = codes[: hi - lo], codes[hi - lo :]
-            points, weights = np.zeros(len(names.dictionary), np.int64), np.zeros(len(names.dictionary), np.int64)
-            points[a], points[b] = fields["na"][lo:hi], fields["nb"][lo:hi]
-            weights[a], weights[b] = fields["wa"][lo:hi], fields["wb"][lo:hi]
-            links = [{} for _ in points]
-            for x, y, c in zip(a.tolist(), b.tolist(), fields["cnt"][lo:hi].tolist()):
-                links[x][y] = links[y][x] = c
-            own = points.tolist()
-            groups = greedy_merge(a.tolist(), b.tolist(), links, starts[lo:hi], points.tolist(), weights.tolist())
-            order = [m for g in groups for m in g]
-            seq = [s for g in groups for s in np.cumsum([0] + [own[m] for m in g[:-1]]).tolist()]
-            heads = [g[0] for g in groups for _ in g]
-            rows.append(
-                {
-                    "cid": names.dictionary.take(pa.array(order)),
-                    "final": names.dictionary.take(pa.array(heads)),
-                    "seq": np.array(seq, np.int64),
-                }
-            )
-        yield from batches_of(rows, schema)
+        if not batch.num_rows:
+            continue
+        component = batch.column("component")
+        starts = np.flatnonzero(pc.not_equal(component.slice(1), component.slice(0, len(component) - 1))) + 1
+        first, last = (int(starts[0]), int(starts[-1])) if len(starts) else (0, 0)
+        if held and component[0].as_py() != unfinished:
+            yield from held.merged()
+            held = None
+        if held and last:
+            held.add(batch.slice(0, first))
+            yield from held.merged()
+            held = None
+        else:
+            first = 0
+        if last > first:
+            whole = _Gathered()
+            whole.add(batch.slice(first, last - first))
+            yield from whole.merged()
+        held = held or _Gathered()
+        held.add(batch.slice(last))
+        unfinished = component[-1].as_py()
+    if held:
+        yield from held.merged()
 
 
 def _merge_bounded(edges: DataFrame, id_type: T.DataType) -> DataFrame:
-    """Components of bounded size, one array of edges each (a, b, ..., component)."""
-    entry = F.struct("k", "a", "b", "na", "nb", "wa", "wb", "cnt", F.col("k").isNotNull().alias("init"))
-    packed = edges.groupBy("component").agg(F.array_sort(F.collect_list(entry)).alias("edges"))
-    slim = F.transform(
-        "edges",
-        lambda e: F.struct(*[e[f].alias(f) for f in ("a", "b", "na", "nb", "wa", "wb", "cnt", "init")]),
+    """Components of bounded size (a, b, ..., component), each in one task.
+
+    The shuffle brings the edges in order: sorting them as arrays took most of the time of a large component.
+    """
+    dealt = edges.select("component", "k", "a", "b", *_SIZES, "cnt").repartition("component")
+    ordered = dealt.sortWithinPartitions("component", "k", "a", "b").select(
+        "component", "a", "b", *_SIZES, "cnt", F.col("k").isNotNull().alias("init")
     )
     schema = T.StructType(
         [T.StructField("cid", id_type), T.StructField("final", id_type), T.StructField("seq", T.LongType())]
     )
-    return packed.select(slim.alias("edges")).mapInArrow(_merge_kernel, schema)
+    return ordered.mapInArrow(_merge_kernel, schema)
+
+
+def _fits_task(nodes: F.Column, edges: F.Column, limit: int) -> F.Column:
+    """One task may hold a component: ``limit`` edges in maps, or as many bytes of a matrix."""
+    places = nodes.cast("double") * nodes
+    space = places * _PLACE_BYTES + edges * _EDGE_BYTES + _FIXED_BYTES
+    return (edges <= limit) | ((places <= edges * _MATRIX_SHARE) & (space <= limit * _MAP_BYTES))
 
 
 def _live(edges: DataFrame) -> DataFrame:
@@ -256,11 +346,12 @@ def _inside(tagged: DataFrame) -> DataFrame:
     return tagged.where(F.col("ga") == F.col("gb")).withColumnRenamed("ga", "component").drop("gb")
 
 
-def _too_large(tagged: DataFrame, cfg: DedupConfig) -> DataFrame:
+def _too_large(tagged: DataFrame, nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
     """(component) of the groups with more edges than one task should hold."""
     limit = max(cfg.component_edge_limit, _GROUP_EDGES)
-    counts = _inside(tagged).groupBy("component").agg((F.count("*") > limit).alias("large"))
-    return materialize(counts.where("large").select("component"), "level-large")
+    counts = _inside(tagged).groupBy("component").agg(F.count("*").alias("edges")).where(F.col("edges") > limit)
+    members = nodes.join(counts, "component").groupBy("component", "edges").agg(F.count("*").alias("nodes"))
+    return materialize(members.where(~_fits_task(F.col("nodes"), F.col("edges"), limit)).select("component"), "level-large")
 
 
 def _before_others(tagged: DataFrame) -> DataFrame:
@@ -284,14 +375,14 @@ def merge_levels(edges: DataFrame, placed: DataFrame, cfg: DedupConfig) -> tuple
         choices = materialize(_choices(starters), "level-choices")
         nodes = components(choices)
         tagged = _tagged(edges, nodes)
-        large = _too_large(tagged, cfg)
+        large = _too_large(tagged, nodes, cfg)
         all_bounded = is_empty(large)
         if not all_bounded:
             kept = nodes.join(large, "component", "left_anti").select("node", "component")
             cut = choices.join(nodes.join(large, "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
             nodes = kept.unionByName(components(cut.where(F.col("k") <= _bound(cut, share))))
             tagged = _tagged(edges, nodes)
-            large = _too_large(tagged, cfg)
+            large = _too_large(tagged, nodes, cfg)
             share = min(1.0, share * 2) if is_empty(large) else max(_LEAST_SHARE, share / 2)
         moves = _settled_moves(_before_others(tagged).join(large, "component", "left_anti"), id_type)
         if not all_bounded:
@@ -333,7 +424,7 @@ def complete_linkage(
         is_whole &= F.col("ends") <= cfg.max_group_size * (n - 1)
     kinds = counts.select(
         "component",
-        F.when(is_whole, "whole").when(m <= cfg.component_edge_limit, "bounded").otherwise("large").alias("kind"),
+        F.when(is_whole, "whole").when(_fits_task(n, m, cfg.component_edge_limit), "bounded").otherwise("large").alias("kind"),
     )
     kinds = materialize(kinds, "linkage-kinds")
     whole = nodes.join(kinds.where("kind = 'whole'"), "component", "left_semi").select(

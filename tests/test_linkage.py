@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from pixelkin.config import DedupConfig
@@ -76,3 +77,34 @@ def test_levels_of_hubs(spark, monkeypatch, group_edges, hubs, size):
     got, taken = merged(spark, edges, DedupConfig(component_edge_limit=2))
     assert got == one_pass(edges, {c: 1 for e in edges for c in e[:2]})
     assert taken <= 8
+
+
+@pytest.mark.parametrize("share,rows,look", [(0, 7, (1, 8)), (64, 7, (1, 8)), (64, 64, (4, 16)), (64, 10**6, (256, 1 << 15))])
+def test_edges_of_components_in_a_row(monkeypatch, share, rows, look):
+    """Components that begin and end anywhere in a batch, in maps and in matrices."""
+    monkeypatch.setattr(linkage, "_MATRIX_SHARE", share)
+    monkeypatch.setattr(linkage, "_LOOK", look)
+    rng, table, expected = random.Random(5), [], {}
+    for component, nodes in enumerate([2, 40, 3, 2, 60, 25, 2]):
+        edges, weights = family(rng, nodes, 0.8, 3)
+        edges.sort(key=lambda e: (e[7] is not None, e[7] or (), e[:2]))
+        expected |= {
+            f"{component}-{m}": (f"{component}-{f}", s)
+            for m, (f, s) in one_pass(edges, {c: weights[c] for e in edges for c in e[:2]}).items()
+        }
+        table += [(component, f"{component}-{e[0]}", f"{component}-{e[1]}", *e[2:7], e[7] is not None) for e in edges]
+    names = ["component", "a", "b", "na", "nb", "wa", "wb", "cnt", "init"]
+    batches = pa.table(dict(zip(names, map(list, zip(*table))))).to_batches(max_chunksize=rows)
+    out = [r for batch in linkage._merge_kernel(batches) for r in batch.to_pylist()]
+    assert {r["cid"]: (r["final"], r["seq"]) for r in out} == expected and len(out) == len(expected)
+
+
+def test_dense_family_beyond_the_edge_limit_needs_no_levels(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "merge_levels", lambda *args: pytest.fail("merged level by level"))
+    rng = random.Random(3)
+    edges, weights = family(rng, 30, 0.7, 4)
+    edges = [(*e[:7], e[7] or (9, *e[:2])) for e in edges]
+    assert len(edges) > 200
+    frame = spark.createDataFrame(edges, EDGES).repartition(3)
+    out = linkage.complete_linkage(frame, DedupConfig(component_edge_limit=100), ordered=True, all_initiate=True)
+    assert {r.cid: (r.final, r.seq) for r in out.collect()} == one_pass(edges, {c: weights[c] for e in edges for c in e[:2]})

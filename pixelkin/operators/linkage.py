@@ -6,17 +6,21 @@ a connected component of the initiating pairs, so components are independent of
 
 * a component whose clusters are all mutually similar is one group, whatever the order;
 * a component of bounded size is merged in one task, a dense one in a matrix, which holds more edges;
-* any larger one is merged level by level. In a level every cluster points at its first choice, and what hangs together by
-  first choices is a group. The least rank of a pair that leaves a group bounds what nothing outside can precede: a group of
-  bounded size is settled in one task below that rank. Groups beyond that are cut at a quantile of the ranks of their
-  choices; in those that are still too large, every cluster pair that is the first choice of both sides merges. After
-  each level, edges of merged clusters are folded and incompatible ones dropped.
-
-All three give the result of one sequential pass over the whole pair list.
+* any larger one is merged level by level. Components that have become small enough for one task are settled first; in the
+  others every cluster points at its first choice, and what hangs together by first choices is a group. The least rank of a
+  pair that leaves a group bounds what nothing outside can precede: a group of bounded size is settled in one task below
+  that rank. Groups beyond that are cut at a quantile of the ranks of their choices; in those that are still too large,
+  every cluster pair that is the first choice of both sides merges. After each level, edges of merged clusters are folded
+  and incompatible ones dropped.
+
+All three give the result of one sequential pass over the whole pair list. Where the caller gives the points themselves, a
+component of bounded size is merged from them (``families``), and edges are only made for larger ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +30,8 @@ from pyspark.sql import types as T
 
 from pixelkin.config import DedupConfig
 from pixelkin.operators.chunks import batches_of
-from pixelkin.operators.components import components
+from pixelkin.operators.components import connected
+from pixelkin.operators.families import MAP_BYTES, Family, fits, greedy_merge, hopeless, merge_families, task_bytes, whole_components
 from pixelkin.session import is_empty, materialize
 
 _SIZES = ("na", "nb", "wa", "wb")
@@ -45,7 +50,7 @@ _MATRIX_SHARE = 64
 _LOOK = (256, 1 << 15)
 # Edges in maps take about so many bytes each. A matrix takes a fixed part, 4 bytes a place and 17 bytes an edge, so that a task
 # holds more edges of a dense component in the space that ``component_edge_limit`` edges would take.
-_MAP_BYTES, _FIXED_BYTES, _PLACE_BYTES, _EDGE_BYTES = 400, 20_000, 4, 17
+_FIXED_BYTES, _PLACE_BYTES, _EDGE_BYTES = 20_000, 4, 17
 
 
 def cluster_edges(point_pairs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -72,32 +77,6 @@ def cluster_edges(point_pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return sided.select(*EDGE_COLUMNS)
 
 
-def greedy_merge(a, b, links, initiating, points, weights):
-    """Merge clusters 0..n-1 along edges in the given order -> member lists in merge order.
-
-    ``links[c][d]`` counts similar cross pairs and is consumed.
-    """
-    home = list(range(len(points)))
-    members = [[c] for c in home]
-    for first, second, may_start in zip(a, b, initiating):
-        ca, cb = home[first], home[second]
-        if not may_start or ca == cb or links[ca].get(cb, 0) != points[ca] * points[cb]:
-            continue
-        keep, gone = (cb, ca) if weights[ca] <= weights[cb] else (ca, cb)
-        for m in members[gone]:
-            home[m] = keep
-        members[keep] += members[gone]
-        members[gone] = []
-        points[keep] += points[gone]
-        weights[keep] += weights[gone]
-        for other, count in links[gone].items():
-            del links[other][gone]
-            if other != keep:
-                links[keep][other] = links[other][keep] = links[keep].get(other, 0) + count
-        links[gone] = {}
-    return [m for m in members if m]
-
-
 def _matrix_merge(a, b, links, initiating, points, weights):
     """What ``greedy_merge`` gives, from a square matrix of links; many edges at once are looked at for the next merge."""
     home, members, at, step = np.arange(len(points)), [[c] for c in range(len(points))], 0, _LOOK[0]
@@ -212,7 +191,7 @@ def _merge_bounded(edges: DataFrame, id_type: T.DataType) -> DataFrame:
 
     The shuffle brings the edges in order: sorting them as arrays took most of the time of a large component.
     """
-    dealt = edges.select("component", "k", "a", "b", *_SIZES, "cnt").repartition("component")
+    dealt = whole_components(edges.select("component", "k", "a", "b", *_SIZES, "cnt"))
     ordered = dealt.sortWithinPartitions("component", "k", "a", "b").select(
         "component", "a", "b", *_SIZES, "cnt", F.col("k").isNotNull().alias("init")
     )
@@ -226,7 +205,7 @@ def _fits_task(nodes: F.Column, edges: F.Column, limit: int) -> F.Column:
     """One task may hold a component: ``limit`` edges in maps, or as many bytes of a matrix."""
     places = nodes.cast("double") * nodes
     space = places * _PLACE_BYTES + edges * _EDGE_BYTES + _FIXED_BYTES
-    return (edges <= limit) | ((places <= edges * _MATRIX_SHARE) & (space <= limit * _MAP_BYTES))
+    return (edges <= limit) | ((places <= edges * _MATRIX_SHARE) & (space <= limit * MAP_BYTES))
 
 
 def _live(edges: DataFrame) -> DataFrame:
@@ -301,10 +280,15 @@ def _moved(edges: DataFrame, placed: DataFrame, moves: DataFrame) -> tuple[DataF
         "cnt",
         F.col("best.k").alias("k"),
     )
+    return materialize(_live(folded), "linkage-edges"), _replaced(placed, moves)
+
+
+def _replaced(placed: DataFrame, moves: DataFrame) -> DataFrame:
+    """Places (cid, current, seq) after the moves."""
     placed = placed.join(moves.select(F.col("old").alias("current"), "new", "shift"), "current", "left").select(
         "cid", F.coalesce("new", "current").alias("current"), (F.col("seq") + F.coalesce("shift", F.lit(0))).alias("seq")
     )
-    return materialize(_live(folded), "linkage-edges"), materialize(placed, "linkage-placed")
+    return materialize(placed, "linkage-placed")
 
 
 def _literal(value, kind: T.DataType) -> F.Column:
@@ -364,45 +348,96 @@ def _before_others(tagged: DataFrame) -> DataFrame:
     return inside.withColumn("k", F.when(first, F.col("k"))).drop("bound")
 
 
+def _one_level(edges: DataFrame, placed: DataFrame, cfg: DedupConfig, share: float) -> tuple[DataFrame, DataFrame, float]:
+    """Edges and places after the merges inside groups that hang together by first choices, and the next share of a cut."""
+    starters = edges.where(F.col("k").isNotNull())
+    choices = materialize(_choices(starters), "level-choices")
+    nodes = connected(choices)
+    tagged = _tagged(edges, nodes)
+    large = _too_large(tagged, nodes, cfg)
+    all_bounded = is_empty(large)
+    if not all_bounded:
+        kept = nodes.join(large, "component", "left_anti").select("node", "component")
+        cut = choices.join(nodes.join(large, "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+        nodes = kept.unionByName(connected(cut.where(F.col("k") <= _bound(cut, share))))
+        tagged = _tagged(edges, nodes)
+        large = _too_large(tagged, nodes, cfg)
+        share = min(1.0, share * 2) if is_empty(large) else max(_LEAST_SHARE, share / 2)
+    moves = _settled_moves(_before_others(tagged).join(large, "component", "left_anti"), edges.schema["a"].dataType)
+    if not all_bounded:
+        held = nodes.join(large, "component", "left_semi").select(F.col("node").alias("old"))
+        moves = moves.unionByName(_agreed_moves(starters).join(held, "old", "left_semi"))
+    return *_moved(edges, placed, materialize(moves, "moves")), share
+
+
 def merge_levels(edges: DataFrame, placed: DataFrame, cfg: DedupConfig) -> tuple[DataFrame, int]:
-    """``placed`` (cid, current, seq) after all merges along live ``edges``, and the number of levels taken."""
+    """``placed`` (cid, current, seq) after all merges along live ``edges``, and the number of levels taken.
+
+    Before each level, what is left is looked at as a whole: components that a level may settle in one task are done, and only
+    the larger ones go on.
+    """
     id_type, share, levels = edges.schema["a"].dataType, 0.5, 0
     while True:
         starters = edges.where(F.col("k").isNotNull())
         if is_empty(starters):
             return placed, levels
         levels += 1
-        choices = materialize(_choices(starters), "level-choices")
-        nodes = components(choices)
+        nodes = connected(starters)
         tagged = _tagged(edges, nodes)
         large = _too_large(tagged, nodes, cfg)
-        all_bounded = is_empty(large)
-        if not all_bounded:
-            kept = nodes.join(large, "component", "left_anti").select("node", "component")
-            cut = choices.join(nodes.join(large, "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
-            nodes = kept.unionByName(components(cut.where(F.col("k") <= _bound(cut, share))))
-            tagged = _tagged(edges, nodes)
-            large = _too_large(tagged, nodes, cfg)
-            share = min(1.0, share * 2) if is_empty(large) else max(_LEAST_SHARE, share / 2)
-        moves = _settled_moves(_before_others(tagged).join(large, "component", "left_anti"), id_type)
-        if not all_bounded:
-            held = nodes.join(large, "component", "left_semi").select(F.col("node").alias("old"))
-            moves = moves.unionByName(_agreed_moves(starters).join(held, "old", "left_semi"))
-        edges, placed = _moved(edges, placed, materialize(moves, "moves"))
+        # Nothing outside a component can come before a pair inside.
+        bounded = _inside(tagged).join(large, "component", "left_anti")
+        placed = _replaced(placed, materialize(_settled_moves(bounded, id_type), "moves"))
+        if is_empty(large):
+            return placed, levels
+        rest = materialize(_inside(tagged).join(large, "component", "left_semi").select(*EDGE_COLUMNS), "level-rest")
+        edges, placed, share = _one_level(rest, placed, cfg, share)
+
+
+def _from_points(family: Family, cfg: DedupConfig) -> tuple[DataFrame, DataFrame | None]:
+    """Merges of the components that one task holds, and the clusters (a) of larger ones, if there are any."""
+    nodes = connected(family.links)
+    width = F.lit(0)
+    if family.likeness.cosine is not None:
+        width = F.greatest(F.size("vector"), width)
+    limit = task_bytes(cfg)
+    points = materialize(family.points.join(nodes, "node"), "family-points")
+    sizes = points.groupBy("component").agg(F.count("*").alias("points"), F.max(width).alias("width"))
+    large = sizes.where(~fits(F.col("points"), F.col("width"), limit)).select("component")
+    if is_empty(large):
+        return merge_families(points, family.places, family.likeness), None
+    large = materialize(large, "large-families")
+    merged = merge_families(points.join(large, "component", "left_anti"), family.places, family.likeness)
+    return merged, materialize(points.join(large, "component", "left_semi").select(F.col("cid").alias("a")).distinct(), "large-clusters")
 
 
 def complete_linkage(
-    edges: DataFrame, cfg: DedupConfig = DedupConfig(), ordered: bool = False, all_initiate: bool = False
+    edges: DataFrame | Callable[[], DataFrame],
+    cfg: DedupConfig = DedupConfig(),
+    ordered: bool = False,
+    all_initiate: bool = False,
+    family: Family | None = None,
 ) -> DataFrame:
     """Merge clusters -> (cid, final, seq) for every cluster that an initiating pair touches.
 
+    With a ``family`` the components that one task holds are merged from its points. ``edges`` may be a function, which
+    is called if others remain.
+
     ``seq`` orders the clusters of a final group (in points). Member order only matters for groups above
     ``cfg.max_group_size`` files; for smaller ones it may be left at 0 unless ``ordered``.
     ``all_initiate`` tells that every edge has a key, so both of its ends share a component.
     """
+    if family is not None and not hopeless(cfg.component_edge_limit * MAP_BYTES):
+        merged, rest = _from_points(family, cfg)
+        if rest is None:
+            return materialize(merged, "linkage")
+        others = (edges() if callable(edges) else edges).join(rest, "a", "left_semi")
+        others = complete_linkage(others, cfg, ordered, all_initiate)
+        return materialize(merged.unionByName(others.select("cid", "final", "seq")), "linkage")
+    edges = edges() if callable(edges) else edges
     id_type = edges.schema["a"].dataType
     live = materialize(_live(edges), "linkage-live")
-    nodes = components(live.where(F.col("k").isNotNull()))
+    nodes = connected(live.where(F.col("k").isNotNull()))
     if all_initiate:
         inside = live.join(nodes.select(F.col("node").alias("a"), "component"), "a")
     else:

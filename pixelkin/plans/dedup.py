@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from pixelkin.config import DedupConfig
 from pixelkin.functions.paths import path_key, under_dir
 from pixelkin.operators.catalog import vector_lookup
+from pixelkin.operators.components import connected
+from pixelkin.operators.families import BITS, PLACE, Family, Likeness, fits, start_links, task_bytes
 from pixelkin.operators.linkage import cluster_edges, complete_linkage
 from pixelkin.operators.pairs import two_band_pairs
 from pixelkin.operators.skew import keyed_join
@@ -239,8 +241,12 @@ def _hash_stage(rows: DataFrame, reach: int, cfg: DedupConfig, ordered: bool):
     )
     points = materialize(points, "points")
     pairs = materialize(two_band_pairs(points, cfg.phash_threshold, reach, collapsed=plain), "hash-pairs")
-    edges = _hash_edges(points, pairs.where("sure").drop("sure"), plain)
-    merged = complete_linkage(edges, cfg, ordered, all_initiate=True)
+    sure, family = pairs.where("sure").drop("sure"), None
+    if plain:
+        # Every hash is a cluster of one point.
+        values = points.select(F.col("phash").alias("node"), "cid", "w", "phash")
+        family = Family(sure.select("a", "b"), values, ["phash"], Likeness(BITS, bits=cfg.phash_threshold))
+    merged = complete_linkage(lambda: _hash_edges(points, sure, plain), cfg, ordered, all_initiate=True, family=family)
     return pairs, clustered, points, materialize(_placed(points, merged), "placed"), plain
 
 
@@ -329,27 +335,33 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     stages.mark("vector verification")
 
     seeing = spots.where(F.size("vector") > 0).select(F.col("phash").alias("key"), F.col("pid").alias("id"), "vector")
-    links = suspects.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    starts = _point_pairs(links, seeing, state, cfg)
-    starts = starts.where((F.col("ua") != F.col("ub")) & (F.col("a") != F.col("b")))
+    starts = materialize(_starting_homes(pairs, suspects, seeing, state, plain, cfg), "starts")
     active = materialize(starts.select(F.explode(F.array("a", "b")).alias("home")).distinct(), "active")
     if is_empty(active):
         final = state.select("pid", F.col("home").alias("cl"), F.lit(0).cast("long").alias("late"), "loose", "w", "home")
     else:
         live = materialize(state.join(active, "home", "left_semi"), "active-spots")
-        keys = materialize(live.select("phash").distinct(), "active-hashes")
-        near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        for side in ("x", "y"):
-            near = near.join(keys.withColumnRenamed("phash", side), side, "left_semi")
-        near = near.unionByName(keys.select(F.col("phash").alias("x"), F.col("phash").alias("y")))
-        points2 = seeing.join(live.select(F.col("pid").alias("id")), "id", "left_semi").select("key", "id", "vector")
-        found = _point_pairs(near, points2, live, cfg)
-        may_start = (F.bit_count(F.col("ra.phash").bitwiseXOR(F.col("rb.phash"))) > cfg.phash_threshold) & (
-            F.col("ua") != F.col("ub")
+
+        def edges() -> DataFrame:
+            keys = materialize(live.select("phash").distinct(), "active-hashes")
+            near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            for side in ("x", "y"):
+                near = near.join(keys.withColumnRenamed("phash", side), side, "left_semi")
+            near = near.unionByName(keys.select(F.col("phash").alias("x"), F.col("phash").alias("y")))
+            points2 = seeing.join(live.select(F.col("pid").alias("id")), "id", "left_semi").select("key", "id", "vector")
+            found = _point_pairs(near, points2, live, cfg)
+            may_start = (F.bit_count(F.col("ra.phash").bitwiseXOR(F.col("rb.phash"))) > cfg.phash_threshold) & (
+                F.col("ua") != F.col("ub")
+            )
+            ranked = found.select("a", "b", F.when(may_start, F.struct("ra", "rb")).alias("k"))
+            sizes = live.groupBy(F.col("home").alias("cid")).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+            return cluster_edges(ranked, sizes)
+
+        values = live.join(seeing.select(F.col("id").alias("pid"), "vector"), "pid").select(
+            F.col("home").alias("node"), F.col("home").alias("cid"), "w", "phash", "path", F.col("cid").alias("unit"), "vector"
         )
-        ranked = found.select("a", "b", F.when(may_start, F.struct("ra", "rb")).alias("k"))
-        sizes = live.groupBy(F.col("home").alias("cid")).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-        merged = complete_linkage(cluster_edges(ranked, sizes), cfg)
+        family = Family(starts, values, ["phash", "path", "cid"], _confirming(cfg))
+        merged = complete_linkage(edges, cfg, family=family)
         merged = merged.select(F.col("cid").alias("home"), F.col("final"), F.col("seq").alias("late"))
         final = state.join(merged, "home", "left").select(
             "pid", F.coalesce("final", "home").alias("cl"), F.coalesce("late", F.lit(0)).alias("late"), "loose", "w", "home"
@@ -389,6 +401,37 @@ def _run_phash_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages:
     return groups, suspect_count, int(confirmed), fresh
 
 
+def _confirming(cfg: DedupConfig) -> Likeness:
+    """Suspects start merges, in the order of their files; clusters agree when all cross pairs are near by hash and vector."""
+    return Likeness(PLACE, bits=cfg.suspect_max, cosine=cfg.cosine_threshold, above=cfg.phash_threshold)
+
+
+def _starting_homes(pairs: DataFrame, suspects: DataFrame, seeing: DataFrame, state: DataFrame, plain: bool, cfg: DedupConfig) -> DataFrame:
+    """Links (a, b) between clusters that tell which of them similar suspects of different MD5 units connect.
+
+    Most suspects are of one family, whose sure pairs hang together. Its contents meet in one task, if it holds them; the
+    other suspects are looked up one by one.
+    """
+    links, inside = suspects.select(F.col("a").alias("x"), F.col("b").alias("y")), None
+    if plain:
+        nodes = materialize(connected(pairs.where("sure").select("a", "b")).toDF("phash", "component"), "families")
+        spots = state.join(nodes, "phash").join(seeing.select(F.col("id").alias("pid"), "vector"), "pid")
+        spots = materialize(spots.select("component", F.col("home").alias("cid"), "w", "phash", "path", F.col("cid").alias("unit"), "vector"), "family-spots")
+        sizes = spots.groupBy("component").agg(F.count("*").alias("points"), F.max(F.size("vector")).alias("width"))
+        held = sizes.where(fits(F.col("points"), F.col("width"), task_bytes(cfg))).select("component")
+        nodes = materialize(nodes.join(held, "component", "left_semi").select("phash", "component"), "held-families")
+        inside = start_links(spots.join(held, "component", "left_semi"), ["phash", "path", "cid"], _confirming(cfg))
+        for side in ("x", "y"):
+            links = links.join(nodes.toDF(side, f"c{side}"), side, "left")
+        apart = F.col("cx").isNull() | F.col("cy").isNull() | (F.col("cx") != F.col("cy"))
+        links = materialize(links.where(apart).select("x", "y"), "links")
+        ends = links.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+        seeing = seeing.join(ends, "key", "left_semi")
+    starts = _point_pairs(links, seeing, state, cfg)
+    starts = starts.where((F.col("ua") != F.col("ub")) & (F.col("a") != F.col("b"))).select("a", "b")
+    return starts if inside is None else inside.unionByName(starts)
+
+
 def _point_pairs(links: DataFrame, points: DataFrame, state: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Similar point pairs with their clusters (a, b), MD5 units (ua, ub) and ranks (ra < rb)."""
     found = linked_cosine_pairs(links, points, cfg.cosine_threshold, cfg.chunk_rows).select(

@@ -19,7 +19,7 @@ from pixelkin.config import DedupConfig
 from pixelkin.functions.paths import path_key, under_dir
 from pixelkin.operators.catalog import vector_lookup
 from pixelkin.operators.components import connected
-from pixelkin.operators.families import BITS, PLACE, Family, Likeness, fits, start_links, task_bytes
+from pixelkin.operators.families import BITS, COSINE, PLACE, Family, Likeness, fits, start_links, task_bytes
 from pixelkin.operators.linkage import cluster_edges, complete_linkage
 from pixelkin.operators.pairs import two_band_pairs
 from pixelkin.operators.skew import keyed_join
@@ -471,33 +471,30 @@ def _run_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages: _Stage
     distinct = seen.where(F.col("vkey").isNotNull()).groupBy(F.col("vkey").alias("id")).agg(
         F.any_value("vector").alias("vector")
     )
-    distinct = materialize(distinct, "distinct-vectors")
-    pairs = materialize(cosine_pairs(distinct, cfg.cosine_threshold), "vector-pairs")
+    # Numbers instead of digests name the vectors in pairs, of which there may be very many.
+    distinct = materialize(distinct.withColumn("num", F.monotonically_increasing_id()), "distinct-vectors")
+    numbers = distinct.select(F.col("id").alias("vkey"), "num")
+    pairs = cosine_pairs(distinct.select(F.col("num").alias("id"), "vector"), cfg.cosine_threshold)
+    pairs = materialize(pairs, "vector-pairs")
     units = clustered.where(F.col("vkey").isNotNull()).groupBy("vkey", _unit().alias("unit")).agg(F.count("*").alias("w"))
+    units = units.join(numbers, "vkey").select(F.col("num").alias("vkey"), "unit", "w")
     suspect_count = _similar_file_pairs(units, pairs, plain)
 
-    pairs = pairs.select("a", "b", F.negative("sim").alias("far"))
-    if not plain:
-        self_pairs = distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(-1.0).alias("far"))
-        pairs = pairs.unionByName(self_pairs)
-    for side in ("a", "b"):
-        known = points.where(F.col("vkey").isNotNull()).select(
-            F.col("vkey").alias(side), F.struct("rank", "cid").alias(f"r{side}")
+    numbered = materialize(points.where(F.col("vkey").isNotNull()).join(numbers, "vkey"), "numbered-points")
+    family = None
+    if plain:
+        # Every vector is a cluster of one point.
+        values = numbered.join(distinct.select("num", "vector"), "num").select(
+            F.col("num").alias("node"), "cid", "w", "rank", "vector"
         )
-        pairs = pairs.join(known, side)
-    i, j = F.least("ra", "rb"), F.greatest("ra", "rb")
-    ranked = pairs.where(F.col("ra") != F.col("rb")).select("a", "b", "far", i.alias("i"), j.alias("j"))
-    # A pair of one vector with itself comes in both directions.
-    ranked = ranked.where((F.col("a") != F.col("b"))).unionByName(
-        ranked.where(F.col("a") == F.col("b")).dropDuplicates(["i", "j"])
-    )
-    ranked = ranked.select(
-        F.col("i.cid").alias("a"),
-        F.col("j.cid").alias("b"),
-        F.struct("far", F.col("i.rank").alias("ri"), F.col("j.rank").alias("rj")).alias("k"),
-    )
-    sizes = points.groupBy("cid").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    merged = complete_linkage(cluster_edges(ranked, sizes), cfg, all_initiate=True)
+        family = Family(pairs.select("a", "b"), values, ["rank", "cid"], Likeness(COSINE, cosine=cfg.cosine_threshold))
+
+    def edges() -> DataFrame:
+        ranked = _vector_ranks(pairs, numbered, plain)
+        sizes = points.groupBy("cid").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+        return cluster_edges(ranked, sizes)
+
+    merged = complete_linkage(edges, cfg, all_initiate=True, family=family)
     placed = materialize(_placed(points, merged), "placed")
 
     apart = clustered.groupBy("cid").agg(F.count_distinct(_unit()).alias("units"))
@@ -528,6 +525,29 @@ def _run_ai(rows: DataFrame, vectors, embedder, cfg: DedupConfig, stages: _Stage
     return groups, suspect_count, int(confirmed), fresh
 
 
+def _vector_ranks(pairs: DataFrame, numbered: DataFrame, plain: bool) -> DataFrame:
+    """Similar pairs (a, b, k) of clusters, ranked by similarity, then by the order of the two files."""
+    pairs = pairs.select("a", "b", F.negative("sim").alias("far"))
+    if not plain:
+        own = numbered.select("num").distinct()
+        self_pairs = own.select(F.col("num").alias("a"), F.col("num").alias("b"), F.lit(-1.0).alias("far"))
+        pairs = pairs.unionByName(self_pairs)
+    for side in ("a", "b"):
+        known = numbered.select(F.col("num").alias(side), F.struct("rank", "cid").alias(f"r{side}"))
+        pairs = pairs.join(known, side)
+    i, j = F.least("ra", "rb"), F.greatest("ra", "rb")
+    ranked = pairs.where(F.col("ra") != F.col("rb")).select("a", "b", "far", i.alias("i"), j.alias("j"))
+    # A pair of one vector with itself comes in both directions.
+    ranked = ranked.where((F.col("a") != F.col("b"))).unionByName(
+        ranked.where(F.col("a") == F.col("b")).dropDuplicates(["i", "j"])
+    )
+    return ranked.select(
+        F.col("i.cid").alias("a"),
+        F.col("j.cid").alias("b"),
+        F.struct("far", F.col("i.rank").alias("ri"), F.col("j.rank").alias("rj")).alias("k"),
+    )
+
+
 def _similar_file_pairs(units: DataFrame, pairs: DataFrame, plain: bool) -> int:
     """Number of similar file pairs of different MD5, from weights alone."""
     per_vector = units.groupBy("vkey").agg(

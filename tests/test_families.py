@@ -114,9 +114,10 @@ def test_unequal_widths_are_not_similar():
 
 
 def test_components_stay_whole_after_a_join(spark):
-    """A join on the component is planned by sort and then done by broadcast; its shuffle is then read in other parts."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    """Every component is in one task, also where a join on it came before and became a broadcast."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10m", "adaptive.coalescePartitions.enabled": "false"}
+    for key, value in conf.items():
+        spark.conf.set(f"spark.sql.{key}", value)
     try:
         rows = spark.range(6000).selectExpr("id % 300 AS component", "id").repartition(7)
         few = rows.groupBy("component").count().where("count > 1").select("component")
@@ -128,8 +129,8 @@ def test_components_stay_whole_after_a_join(spark):
 
         assert dealt.mapInArrow(seen, "component long").groupBy("component").count().agg(F.max("count")).first()[0] == 1
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for key in conf:
+            spark.conf.unset(f"spark.sql.{key}")
 
 
 @pytest.mark.parametrize("kind", ["long", "string"])
